@@ -27,7 +27,7 @@ def with_consensus(
     weights: dict[str, float | None] | None = None,
     policy: str = "sum",
 ) -> DataFrame:
-    """Add ``consensus`` STRUCT<winner, score, consensus, models, avg_percent_consensus,
+    """Add ``vote`` STRUCT<winner, score, consensus, models, avg_percent_consensus,
     avg_percent_all> from ``ranks`` and ``panel``.
 
     A feature scores the sum of |coefficient| x model weight over the models that rank it
@@ -94,36 +94,34 @@ def with_consensus(
     df = df.withColumn("__drops", F.when(winner.isNotNull(), drops))
     voters = F.filter("__drops", lambda d: F.array_contains(winner["models"], d["model"]))
     mean_drop = lambda items: add_all(items, lambda d: d["drop"]) / F.size(items)
-    consensus = F.struct(
+    vote = F.struct(
         winner["feature"].alias("winner"),
         winner["score"].alias("score"),
-        F.size(winner["models"]).alias("consensus"),
+        F.when(winner.isNotNull(), F.size(winner["models"])).alias("consensus"),
         winner["models"].alias("models"),
         F.when(winner.isNotNull(), mean_drop(voters)).alias("avg_percent_consensus"),
         F.when(winner.isNotNull(), mean_drop(F.col("__drops"))).alias("avg_percent_all"),
     )
-    return df.withColumn("consensus", consensus).drop("__votes", "__best", "__drops")
+    return df.withColumn("vote", vote).drop("__votes", "__best", "__drops")
 
 
 def consensus_rows(df: DataFrame) -> DataFrame:
     """The vote as flat columns."""
-    rest = [c for c in df.columns if c not in ("panel", "ranks", "rbos", "consensus")]
-    votes = F.when(F.col("consensus.winner").isNotNull(), F.col("consensus.consensus"))
-    return df.select(
-        *rest,
-        "consensus.winner",
-        "consensus.score",
-        votes.alias("consensus"),
-        "consensus.models",
-        "consensus.avg_percent_consensus",
-        "consensus.avg_percent_all",
-    )
+    rest = [c for c in df.columns if c not in ("panel", "ranks", "rbos", "vote")]
+    return df.select(*rest, unpacked(F.col("vote")))
+
+
+def unpacked(struct: Column) -> Column:
+    """Fields of a computed struct as columns. Going through a generator keeps later filters on
+    the fields above this point; through a plain projection the optimizer would copy the whole
+    vote into the filter and compute it twice."""
+    return F.inline_outer(F.array(struct))
 
 
 def overlap_of_voters() -> tuple[Column, Column]:
     """Least and greatest overlap among the model pairs that both voted for the winner."""
-    both = lambda r: F.array_contains("consensus.models", r["model_a"]) & F.array_contains(
-        "consensus.models", r["model_b"]
+    both = lambda r: F.array_contains("vote.models", r["model_a"]) & F.array_contains(
+        "vote.models", r["model_b"]
     )
     among = F.transform(F.filter("rbos", both), lambda r: r["rbo"])
     return F.array_min(among).alias("rbo_min"), F.array_max(among).alias("rbo_max")
@@ -131,14 +129,14 @@ def overlap_of_voters() -> tuple[Column, Column]:
 
 def consensus_with_overlap(df: DataFrame) -> DataFrame:
     """The vote with rbo_min and rbo_max; null for a single voter."""
-    rest = [c for c in df.columns if c not in ("panel", "ranks", "rbos", "consensus")]
+    rest = [c for c in df.columns if c not in ("panel", "ranks", "rbos", "vote")]
     return df.select(
         *rest,
-        "consensus.winner",
-        "consensus.score",
-        "consensus.consensus",
-        "consensus.avg_percent_consensus",
-        "consensus.avg_percent_all",
+        "vote.winner",
+        "vote.score",
+        "vote.consensus",
+        "vote.avg_percent_consensus",
+        "vote.avg_percent_all",
         *overlap_of_voters(),
     )
 
@@ -167,14 +165,14 @@ def best_feature(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add best_feat, new_risk, rank_feat, rank_val, rank_risk.
 
     best_feat has the lowest mean perturbed risk when that is below the mean original risk, else
-    it is the first declared feature. rank_feat has the lowest coefficient sum. Ties go to the
-    feature declared first.
+    it is the first declared feature. rank_feat has the lowest coefficient sum; a model without a
+    defined norm adds nothing. Ties go to the feature declared first.
     """
     sums = _per_feature(
         features,
         lambda name, order, mine: F.struct(
             (add_all(mine, lambda e: e["perturb_prob"]) / F.size(mine)).alias("risk"),
-            add_all(mine, lambda e: e["magec"]).alias("total"),
+            add_all(mine, lambda e: F.coalesce(e["magec"], F.lit(0.0))).alias("total"),
             order.alias("order"),
             name.alias("feature"),
         ),
@@ -182,31 +180,20 @@ def best_feature(df: DataFrame, features: Sequence[str]) -> DataFrame:
     df = df.withColumn("__sums", sums)
     lowest = F.array_min("__sums")
     top = F.array_min(
-        F.transform(
-            "__sums",
-            lambda s: F.when(
-                s["total"].isNotNull(),
-                F.struct(
-                    s["total"].alias("total"),
-                    s["order"].alias("order"),
-                    s["feature"].alias("feature"),
-                    s["risk"].alias("risk"),
-                ),
-            ),
-        )
+        F.transform("__sums", lambda s: F.struct(s["total"], s["order"], s["feature"], s["risk"]))
     )
     first = F.get("__sums", 0)
     df = df.withColumns({"__low": lowest, "__top": top, "__risk": ensemble_risk()})
     helps = F.col("__low.risk") < F.col("__risk")
-    return df.withColumns(
-        {
-            "best_feat": F.when(helps, F.col("__low.feature")).otherwise(first["feature"]),
-            "new_risk": F.when(helps, F.col("__low.risk")).otherwise(first["risk"]),
-            "rank_feat": F.col("__top.feature"),
-            "rank_val": F.col("__top.total"),
-            "rank_risk": F.col("__top.risk"),
-        }
-    ).drop("__sums", "__low", "__top", "__risk")
+    found = F.struct(
+        F.when(helps, F.col("__low.feature")).otherwise(first["feature"]).alias("best_feat"),
+        F.when(helps, F.col("__low.risk")).otherwise(first["risk"]).alias("new_risk"),
+        F.col("__top.feature").alias("rank_feat"),
+        F.col("__top.total").alias("rank_val"),
+        F.col("__top.risk").alias("rank_risk"),
+    )
+    scratch = ("__sums", "__low", "__top", "__risk")
+    return df.select(*[c for c in df.columns if c not in scratch], unpacked(found))
 
 
 def most_abnormal(features: Sequence[str]) -> Column:

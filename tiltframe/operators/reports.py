@@ -13,7 +13,7 @@ from tiltframe.schemas import NOT_FOUND
 
 
 def _rest(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ("panel", "ranks", "rbos", "consensus")]
+    return [c for c in df.columns if c not in ("panel", "ranks", "rbos", "vote")]
 
 
 def case_effect_stats(df: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def panel_table(
     total: bool = True,
 ) -> DataFrame:
     """Coefficient per row, model and feature to 3 decimals, and a SUM row of the rounded values
-    to 2 decimals. The model named ``ensemble`` is left out."""
+    to 2 decimals. The model named ``ensemble`` is left out. Sums are taken in decimal, so a sum
+    that ends in 5 rounds the same way everywhere."""
     shown = [m for m in models if m != ensemble]
     cells = F.flatten(
         F.transform(
@@ -75,7 +76,7 @@ def panel_table(
                 lambda e: F.struct(
                     F.upper(m["model"]).alias("model"),
                     e["feature"].alias("feature"),
-                    F.round(e["magec"], 3).alias("value"),
+                    F.round(e["magec"], 3).cast("decimal(18,3)").alias("value"),
                 ),
             ),
         )
@@ -87,12 +88,20 @@ def panel_table(
             F.lit("SUM").alias("model"),
             f.alias("feature"),
             F.round(
-                add_all(F.filter("__cells", lambda c: c["feature"] == f), lambda c: c["value"]), 2
-            ).alias("value"),
+                F.aggregate(
+                    F.filter("__cells", lambda c: c["feature"] == f),
+                    F.lit(0).cast("decimal(18,3)"),
+                    lambda acc, c: (acc + c["value"]).cast("decimal(18,3)"),
+                ),
+                2,
+            )
+            .cast("decimal(18,3)")
+            .alias("value"),
         ),
     )
     rows = F.concat("__cells", sums) if total else F.col("__cells")
-    return df.select(*[c for c in df.columns if c != "__cells"], F.inline_outer(rows))
+    out = df.select(*[c for c in df.columns if c != "__cells"], F.inline_outer(rows))
+    return out.withColumn("value", F.col("value").cast("double"))
 
 
 def _heatmap(rows: DataFrame, by: str, timepoint: int) -> DataFrame:
@@ -102,7 +111,7 @@ def _heatmap(rows: DataFrame, by: str, timepoint: int) -> DataFrame:
         .where(F.col(by).isNotNull())
         .groupBy(by)
         .pivot("timepoint", times)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
     )
     return counted.select(
         by, *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("bigint").alias(f"t{t}") for t in times]

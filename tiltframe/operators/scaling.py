@@ -44,14 +44,16 @@ def impute(
     stats_from: DataFrame | None = None,
 ) -> DataFrame:
     """Null becomes the column mean (of this frame, or of ``stats_from``) or zero."""
-    stats = column_stats(df if stats_from is None else stats_from, mean_columns)
-    filled = {
-        c: F.coalesce(F.col(c).cast("double"), F.lit(stats[c].mean).cast("double"))
-        for c in mean_columns
-    }
-    return df.withColumns(filled).fillna(0, subset=list(zero_columns) or None) if (
-        zero_columns
-    ) else df.withColumns(filled)
+    out = df
+    if mean_columns:
+        stats = column_stats(df if stats_from is None else stats_from, mean_columns)
+        out = out.withColumns(
+            {
+                c: F.coalesce(F.col(c).cast("double"), F.lit(stats[c].mean).cast("double"))
+                for c in mean_columns
+            }
+        )
+    return out.fillna(0, subset=list(zero_columns)) if zero_columns else out
 
 
 def zero_as_missing(df: DataFrame, columns: Sequence[str], exempt: Iterable[str] = ()) -> DataFrame:

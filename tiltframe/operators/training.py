@@ -146,12 +146,17 @@ def train_forest_calibrated(
 
 
 def train_svm_calibrated(
-    df: DataFrame, features: Sequence[str], case: str = "case", folds: int = 5, seed: int = 7
+    df: DataFrame,
+    features: Sequence[str],
+    case: str = "case",
+    folds: int = 5,
+    seed: int = 7,
+    iterations: int = 100,
 ) -> SigmoidCalibrated:
     """Balanced linear SVM with sigmoid probabilities."""
 
     def fit(part: DataFrame) -> Scorer:
-        svm = LinearSVC(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, regParam=1e-3)
+        svm = LinearSVC(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, regParam=1e-3, maxIter=iterations)
         return MarginScorer(svm.fit(_balanced(_assembled(part, features))), features)
 
     return _calibrate(df, features, fit, case, folds, seed)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from tiltframe.operators import consensus, effects, ranking
 from tiltframe.operators.scorers import Scorer
 from tiltframe.schemas import KEYS
@@ -57,10 +55,3 @@ def panel_report(
 def weights_from_metrics(metrics: DataFrame, name: str) -> dict[str, float]:
     """Model weights for the vote from an evaluation table: one number per model."""
     return {row["model"]: row[name] for row in metrics.select("model", name).collect()}
-
-
-def winner_rows(df: DataFrame) -> DataFrame:
-    """(case, timepoint, winner) of the rows that have one."""
-    return df.where(F.col("consensus.winner").isNotNull()).select(
-        *KEYS, F.col("consensus.winner").alias("winner")
-    )

@@ -93,10 +93,11 @@ def wide_scores(spark, sf):
 
 
 def filled_days(spark, sf):
-    """The daily panel: forward filled, then the column mean, then standardized."""
+    """The daily panel: forward filled, standardized by the known values, then missing ones set to
+    the mean, which is 0 in these units."""
     filled = values.forward_fill_series(data.user_days(spark, sf), DAY_FEATURES)
-    filled = scaling.impute(filled, DAY_FEATURES)
-    return scaling.Scaler.fit(filled, DAY_FEATURES).transform(filled)
+    scaled_days = scaling.Scaler.fit(filled, DAY_FEATURES).transform(filled)
+    return scaling.impute(scaled_days, [], DAY_FEATURES)
 
 
 def day_effects(spark, sf):
@@ -181,8 +182,14 @@ def cohort(spark, sf):
     return extraction.cohort(_clinical(spark, sf), MIN_HOURS)
 
 
+def stored(spark, df, name):
+    """Write a small derived table once and read it back, as the cohort is published between the
+    steps of the extraction; the steps that follow do not recompute it."""
+    return tables.replace_table(df, new_table_path(spark, name))
+
+
 def event_times(spark, sf):
-    users = visits.event_users(cohort(spark, sf))
+    users = stored(spark, visits.event_users(cohort(spark, sf)), "event-users")
     return visits.event_time_assignment(data.icustays(spark, sf), users, WINDOW_AND_LEAD)
 
 
@@ -237,7 +244,8 @@ def _(spark, sf):
 
 @query("event_time_assignment")
 def _(spark, sf):
-    return event_times(spark, sf)
+    users = visits.event_users(cohort(spark, sf))
+    return visits.event_time_assignment(data.icustays(spark, sf), users, WINDOW_AND_LEAD)
 
 
 @query("first_labs_before_event")
@@ -277,7 +285,10 @@ def _(spark, sf):
 
 @query("study_table")
 def _(spark, sf):
-    return extraction.study(_clinical(spark, sf), MIN_HOURS, WINDOW_AND_LEAD, LEAD)
+    selected = stored(spark, cohort(spark, sf), "cohort")
+    return extraction.study(
+        _clinical(spark, sf), MIN_HOURS, WINDOW_AND_LEAD, LEAD, selected=selected
+    )
 
 
 @query("case_lookup")
@@ -467,7 +478,7 @@ FITS = {
         )
         for i, seed in enumerate((123, 321, 231), start=1)
     },
-    "train_svm_calibrated": {"svm": lambda rows: training.train_svm_calibrated(rows, ORDER_FEATURES)},
+    "train_svm_calibrated": {"svm": lambda rows: training.train_svm_calibrated(rows, ORDER_FEATURES, iterations=20)},
     "train_boosted_trees": {
         "gbt": lambda rows: training.train_boosted_trees(rows, ORDER_FEATURES, rounds=10, depth=4)
     },
@@ -479,7 +490,7 @@ def _trained(fits):
 
     def run(spark, sf):
         # Iterative fits read the training rows many times: store the matrix once.
-        rows = tables.replace_table(scaled(spark, sf), new_table_path(spark, "training"))
+        rows = stored(spark, scaled(spark, sf), "training")
         train, valid = split.split_by_case(rows)
         fitted = {name: fit(train) for name, fit in fits.items()}
         return scorers.score_long(valid, ORDER_FEATURES, fitted, ["case", "label"])
@@ -540,7 +551,7 @@ def _(spark, sf):
 
 @query("cv_scores")
 def _(spark, sf):
-    rows = tables.replace_table(scaled(spark, sf), new_table_path(spark, "training"))
+    rows = stored(spark, scaled(spark, sf), "training")
     held = training.out_of_fold_scores(
         rows, ORDER_FEATURES, lambda part: training.train_logistic(part, ORDER_FEATURES), "case"
     )
