@@ -427,7 +427,8 @@ def _(spark, sf):
 
 @query("distribution_fit")
 def _(spark, sf):
-    return profiling.distribution_fit(data.order_features(spark, sf), SCALED_FEATURES)
+    fit = profiling.distribution_fit(data.order_features(spark, sf), SCALED_FEATURES)
+    return fit.withColumn("variance", F.round("variance", 3))
 
 
 @query("histogram_density")
@@ -757,20 +758,20 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("consensus_risk_reduction")
+@query("consensus_risk_reduction", digits=4)
 def _(spark, sf):
     return votes.consensus_rows(voted(spark, sf)).select(
         *KEYS, "winner", "avg_percent_consensus", "avg_percent_all"
     )
 
 
-@query("consensus_with_overlap")
+@query("consensus_with_overlap", digits=4)
 def _(spark, sf):
     rows = votes.with_consensus(with_overlaps(spark, sf), ORDER_FEATURES)
     return votes.consensus_with_overlap(rows)
 
 
-@query("case_effect_stats")
+@query("case_effect_stats", digits=4)
 def _(spark, sf):
     return reports.case_effect_stats(norm_effects(spark, sf))
 
@@ -798,7 +799,7 @@ def _(spark, sf):
     )
 
 
-@query("model_panel")
+@query("model_panel", digits=4)
 def _(spark, sf):
     return panel.panel_report(
         scaled(spark, sf), PLAN, SCORERS, label="label"
