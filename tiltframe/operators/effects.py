@@ -148,6 +148,49 @@ def static_effects(
     return rows.select(*kept, _pack_panel(plan, list(scorers), preprocess, compare))
 
 
+def exploded_effects(
+    df: DataFrame,
+    plan: Sequence[Perturbation],
+    scorers: dict[str, Scorer],
+    baselines: Sequence[float | None] | None = None,
+    keys: Sequence[str] = KEYS,
+    inputs: Sequence[str] | None = None,
+    preprocess: Callable[[Column], Column] = base2_logit,
+    compare: Callable[[Column, Column], Column] = lambda before, after: after - before,
+) -> DataFrame:
+    """Long effects with one score per exploded row, for feature sets so wide that one projection
+    with every variant outgrows the generated code. Originals are scored before the explode, the
+    model inputs are dropped right after scoring."""
+    features = [step.feature for step in plan]
+    inputs = list(inputs or features)
+    rows = _with_baselines(df.select(*dict.fromkeys([*keys, *inputs])), baselines)
+    baseline = F.col("baseline") if baselines is not None else None
+    for model, scorer in scorers.items():
+        rows = scorer.add_scores(rows, {f"__{model}_orig": {f: F.col(f) for f in inputs}})
+    rows = rows.withColumn("feature", F.explode(literal_array(features)))
+    changed = {f: F.col(f) for f in inputs}
+    for step in plan:
+        new = step.apply(F.col(step.feature), baseline)
+        changed[step.feature] = F.when(F.col("feature") == step.feature, new).otherwise(
+            F.col(step.feature)
+        )
+    rows = rows.withColumns(changed)
+    for model, scorer in scorers.items():
+        rows = scorer.add_scores(rows, {f"__{model}_new": {f: F.col(f) for f in inputs}})
+    entries = [
+        F.struct(
+            F.lit(m).alias("model"),
+            F.col(f"__{m}_orig").alias("orig_prob"),
+            F.col(f"__{m}_new").alias("perturb_prob"),
+            compare(preprocess(F.col(f"__{m}_orig")), preprocess(F.col(f"__{m}_new"))).alias("magec"),
+        )
+        for m in scorers
+    ]
+    kept = [*keys] + (["baseline"] if baselines is not None else [])
+    out = rows.select(*kept, "feature", F.inline_outer(F.array(*entries)))
+    return out.select(*kept, "model", "feature", "orig_prob", "perturb_prob", "magec")
+
+
 def series_effects(
     df: DataFrame,
     plan: Sequence[Perturbation],

@@ -114,9 +114,11 @@ def evaluate_models(
 ) -> DataFrame:
     """Accuracy, precision, recall, F1 and AUC of every model from long scores
     (label, model, prob)."""
+    keys = list(by) or ["__all"]
     classed = df.withColumn("predicted", predict_class(F.col(prob), threshold))
-    metrics, auc = binary_metrics(classed, by), roc_auc(df, by, prob)
-    joined = metrics.join(auc, list(by)) if by else metrics.join(auc, how="inner")
+    if not by:
+        classed = classed.withColumn("__all", F.lit(1))
+    joined = binary_metrics(classed, keys).join(roc_auc(classed, keys, prob), keys)
     return joined.select(*by, "accuracy", "precision", "recall", "f1", "roc_auc")
 
 

@@ -48,21 +48,38 @@ def histogram_density(
 
     All features are counted in one pass; empty bins are listed with density 0.
     """
-    edges = df.groupBy(*by).agg(
-        F.array(
+    keys = list(by)
+    if not by:
+        # Without groups the edges are one row of numbers and enter the plan as constants.
+        stats, n = column_stats(df, features), df.agg(*[F.count(f) for f in features]).first()
+        constant = F.array(
             *[
                 F.struct(
                     F.lit(f).alias("feature"),
-                    F.min(f).cast("double").alias("low"),
-                    F.max(f).cast("double").alias("high"),
-                    F.count(f).alias("n"),
+                    F.lit(stats[f].low).cast("double").alias("low"),
+                    F.lit(stats[f].high).cast("double").alias("high"),
+                    F.lit(n[i]).alias("n"),
                 )
-                for f in features
+                for i, f in enumerate(features)
             ]
-        ).alias("edges")
-    )
-    # One row per group: small by construction, and Spark broadcasts it only below its threshold.
-    joined = df.join(edges, list(by)) if by else df.join(edges, F.lit(True), "inner")
+        )
+        edges = df.sparkSession.range(1).select(constant.alias("edges"))
+        joined = df.withColumn("edges", constant)
+    else:
+        edges = df.groupBy(*by).agg(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(f).alias("feature"),
+                        F.min(f).cast("double").alias("low"),
+                        F.max(f).cast("double").alias("high"),
+                        F.count(f).alias("n"),
+                    )
+                    for f in features
+                ]
+            ).alias("edges")
+        )
+        joined = df.join(edges, keys)
     values = F.array(*[F.col(f).cast("double") for f in features])
     cells = F.transform(
         F.arrays_zip(values.alias("value"), F.col("edges").alias("edge")),

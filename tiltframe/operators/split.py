@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,26 +32,22 @@ def with_split(
     cells = hashed.groupBy(F.shiftrightunsigned("__hash", 16).alias("cell")).agg(
         F.count("*").alias("n")
     )
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = cells.select("cell", "n", F.sum("n").over(before).alias("upto"))
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    wanted = int(total * test_size)
-    edge = (
-        running.where(F.col("upto") >= max(wanted, 1)).orderBy("cell").limit(1).first()
-        if wanted
-        else None
-    )
+    counts = sorted((r["cell"], r["n"]) for r in cells.collect())  # at most 65,536 pairs
+    wanted = int(sum(n for _, n in counts) * test_size)
+    upto, edge = 0, None
+    for cell, n in counts:
+        if upto < wanted <= upto + n:
+            edge = cell
+            break
+        upto += n
     case_col = F.col(case)
     hash_col = case_hash(case, seed)
     if edge is None:
         chosen = F.lit(False)
     else:
-        left = wanted - (edge["upto"] - edge["n"])
-        inside = hashed.where(F.shiftrightunsigned("__hash", 16) == edge["cell"])
-        by_hash = Window.orderBy("__hash", "__case")
-        last = (
-            inside.withColumn("__r", F.row_number().over(by_hash)).where(F.col("__r") == left).first()
-        )
+        inside = hashed.where(F.shiftrightunsigned("__hash", 16) == edge)
+        last = inside.orderBy("__hash", "__case").limit(wanted - upto)
+        last = last.agg(F.max(F.struct("__hash", "__case")).alias("m")).first()["m"]
         chosen = (hash_col < last["__hash"]) | (
             (hash_col == last["__hash"]) & (case_col <= F.lit(last["__case"]))
         )
