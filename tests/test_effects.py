@@ -131,6 +131,16 @@ def test_thirty_features(spark):
     )
     total = lambda v: sum((v[n] * (0.1 * (i % 5) - 0.2) for i, n in enumerate(names)), F.lit(0.0))
     scorers = {m: ColumnScorer(lambda v, k=k: 1.0 / (1.0 + F.exp(-k * total(v)))) for m, k in (("x", 0.5), ("y", 1.0))}
+    few = names[:6]
+    plan = [fx.Perturbation(n) for n in few]
+    small = {m: ColumnScorer(lambda v, k=k: 1.0 / (1.0 + F.exp(-k * sum((v[n] for n in few), F.lit(0.0))))) for m, k in (("x", 0.5), ("y", 1.0))}
+    packed = votes.consensus_rows(panel_frame(df, plan, small, carry=["f0"])).collect()
+    limit, fx.PACKED_LIMIT = fx.PACKED_LIMIT, 0
+    try:
+        regrouped = votes.consensus_rows(panel_frame(df, plan, small, carry=["f0"])).collect()
+    finally:
+        fx.PACKED_LIMIT = limit
+    assert sorted(map(str, packed)) == sorted(map(str, regrouped))
     frame = panel_frame(df, [fx.Perturbation(n) for n in names], scorers, rank=3)
     assert votes.consensus_rows(frame).where("winner is not null").count() > 0
 

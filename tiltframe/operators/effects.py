@@ -174,9 +174,10 @@ def exploded_effects(
         changed[step.feature] = F.when(F.col("feature") == step.feature, new).otherwise(
             F.col(step.feature)
         )
-    rows = rows.withColumns(changed)
+    # The changed copies get names of their own: a carried key may be an input as well.
+    rows = rows.withColumns({f"__in_{f}": c for f, c in changed.items()})
     for model, scorer in scorers.items():
-        rows = scorer.add_scores(rows, {f"__{model}_new": {f: F.col(f) for f in inputs}})
+        rows = scorer.add_scores(rows, {f"__{model}_new": {f: F.col(f"__in_{f}") for f in inputs}})
     entries = [
         F.struct(
             F.lit(m).alias("model"),
@@ -191,6 +192,31 @@ def exploded_effects(
     return out.select(*kept, "model", "feature", "orig_prob", "perturb_prob", "magec")
 
 
+# Feature slots in one projection (variants x inputs x models) above which rows are exploded.
+PACKED_LIMIT = 800
+
+
+def panel_effects(
+    df: DataFrame,
+    plan: Sequence[Perturbation],
+    scorers: dict[str, Scorer],
+    baselines: Sequence[float | None] | None = None,
+    keys: Sequence[str] = KEYS,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Panel frame by the form that suits the number of features and models.
+
+    Few features: every variant side by side in the row, no shuffle. Many: exploded scoring and a
+    regroup by the row key, whose map-side combine folds a row's effects before the shuffle.
+    """
+    if len(plan) * (len(plan) + 1) * len(scorers) <= PACKED_LIMIT:
+        return static_effects(df, plan, scorers, baselines, keys, carry)
+    kept = [*keys, *carry]
+    long = exploded_effects(df, plan, scorers, baselines, kept)
+    group = kept + (["baseline"] if baselines is not None else [])
+    return panel_from_long(long, list(scorers), [step.feature for step in plan], group)
+
+
 def series_effects(
     df: DataFrame,
     plan: Sequence[Perturbation],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+
 from tiltframe.operators import consensus, effects, ranking
 from tiltframe.operators.scorers import Scorer
 from tiltframe.schemas import KEYS
@@ -21,10 +22,10 @@ def panel_frame(
     baselines: Sequence[float | None] | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Normalized panel with ranks, pairwise overlaps and consensus; no shuffle."""
+    """Normalized panel with ranks, pairwise overlaps and consensus, all inside the row."""
     features = [step.feature for step in plan]
     depth = rank or len(features)
-    rows = effects.static_effects(df, plan, scorers, baselines, carry=carry)
+    rows = effects.panel_effects(df, plan, scorers, baselines, carry=carry)
     rows = ranking.rank_effects(effects.normalize_effects(rows), depth)
     rows = ranking.with_rbos(rows, list(scorers), depth, p)
     return consensus.with_consensus(rows, features, weights, policy)
