@@ -54,9 +54,14 @@ def query(name: str, digits: int = 6):
     return register
 
 
+# Percentages are a hundred times larger, so two digits less are comparable.
+PERCENT = ("avg_percent_consensus", "avg_percent_all", "risk_prc_reduct")
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in doubles}) if doubles else df
+    places = {c: digits - 2 if c in PERCENT else digits for c in doubles}
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), n) for c, n in places.items()})
 
 
 # --- shared inputs ----------------------------------------------------------------------------
@@ -84,12 +89,19 @@ def voted(spark, sf, rank=5, weights=None, policy="sum", baselines=None):
     return votes.with_consensus(ranked(spark, sf, rank, baselines), ORDER_FEATURES, weights, policy)
 
 
+# Averages of the same values in another order differ in the last bit. Scores are compared after
+# dropping those bits, so that tied rows are tied in both engines.
+SCORE_DIGITS = 12
+
+
 def scores(spark, sf):
-    return scorers.score_long(scaled(spark, sf), ORDER_FEATURES, SCORERS, ["case", "label"])
+    rows = scorers.score_long(scaled(spark, sf), ORDER_FEATURES, SCORERS, ["case", "label"])
+    return rows.withColumn("prob", F.round("prob", SCORE_DIGITS))
 
 
 def wide_scores(spark, sf):
-    return scorers.score_rows(scaled(spark, sf), ORDER_FEATURES, SCORERS)
+    rows = scorers.score_rows(scaled(spark, sf), ORDER_FEATURES, SCORERS)
+    return rows.withColumns({f"prob_{m}": F.round(f"prob_{m}", SCORE_DIGITS) for m in MODELS})
 
 
 def filled_days(spark, sf):
@@ -304,6 +316,8 @@ def _(spark, sf):
 @query("cohort_profile")
 def _(spark, sf):
     clean = visits.clean_demographics(demographics(spark, sf), MIN_HOURS)
+    clean = stored(spark, clean, "demographics")
+    chosen = stored(spark, cohort(spark, sf).select("subject_id", "ventnum"), "cohort")
     columns = [
         "adult_icu", "age", "admission_type", "ethnicity", "diagnosis", "first_hosp_stay",
         "first_icu_stay", "mort_icu",
@@ -312,7 +326,7 @@ def _(spark, sf):
         {
             "services": (data.services(spark, sf), ["curr_service"]),
             "demographics": (clean.withColumn("age", F.col("age").cast("int")), columns),
-            "cohort": (cohort(spark, sf), ["ventnum"]),
+            "cohort": (chosen, ["ventnum"]),
         },
         "subject_id",
     )
@@ -758,20 +772,20 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("consensus_risk_reduction", digits=4)
+@query("consensus_risk_reduction")
 def _(spark, sf):
     return votes.consensus_rows(voted(spark, sf)).select(
         *KEYS, "winner", "avg_percent_consensus", "avg_percent_all"
     )
 
 
-@query("consensus_with_overlap", digits=4)
+@query("consensus_with_overlap")
 def _(spark, sf):
     rows = votes.with_consensus(with_overlaps(spark, sf), ORDER_FEATURES)
     return votes.consensus_with_overlap(rows)
 
 
-@query("case_effect_stats", digits=4)
+@query("case_effect_stats")
 def _(spark, sf):
     return reports.case_effect_stats(norm_effects(spark, sf))
 
@@ -799,7 +813,7 @@ def _(spark, sf):
     )
 
 
-@query("model_panel", digits=4)
+@query("model_panel")
 def _(spark, sf):
     return panel.panel_report(
         scaled(spark, sf), PLAN, SCORERS, label="label"
