@@ -68,7 +68,7 @@ def test_effects_against_python(rows, plan):
             new[r["feature"]] = 0.0 if r["baseline"] is None else x[r["feature"]] * 0.5
         assert r["orig_prob"] == pytest.approx(score(x))
         assert r["perturb_prob"] == pytest.approx(score(new))
-        assert r["magec"] == pytest.approx(logit(score(new)) - logit(score(x)), abs=1e-9)
+        assert r["effect"] == pytest.approx(logit(score(new)) - logit(score(x)), abs=1e-9)
         seen += 1
     assert seen == 60 * 3 * 2
 
@@ -85,21 +85,21 @@ def test_batch_and_vote_scorers_agree_with_columns(rows, plan):
     }
     by_key = {}
     for r in fx.effects_long(fx.static_effects(rows, plan, scorers)).collect():
-        by_key.setdefault((r["case"], r["feature"]), []).append(r["magec"])
+        by_key.setdefault((r["case"], r["feature"]), []).append(r["effect"])
     assert all(max(v) - min(v) < 1e-9 and len(v) == 3 for v in by_key.values())
 
 
 def test_norm_is_one_and_null_for_a_flat_model(rows, plan):
     scorers = {"m": ColumnScorer(linear), "flat": ColumnScorer(lambda v: F.lit(0.4))}
     long = fx.effects_long(fx.normalize_effects(fx.static_effects(rows, plan, scorers)))
-    norms = long.groupBy("case", "model").agg(F.sum(F.pow("magec", 2)).alias("n"), F.count("magec").alias("k"))
+    norms = long.groupBy("case", "model").agg(F.sum(F.pow("effect", 2)).alias("n"), F.count("effect").alias("k"))
     for r in norms.collect():
         if r["model"] == "m":
             assert r["n"] == pytest.approx(1.0)
         else:
             assert r["n"] is None and r["k"] == 0
     part = fx.effects_long(fx.normalize_effects(fx.static_effects(rows, plan, scorers), ["a", "b"]))
-    chosen = part.where("model = 'm' and feature in ('a', 'b')").groupBy("case").agg(F.sum(F.pow("magec", 2)))
+    chosen = part.where("model = 'm' and feature in ('a', 'b')").groupBy("case").agg(F.sum(F.pow("effect", 2)))
     assert all(r[1] == pytest.approx(1.0) for r in chosen.collect())
 
 
@@ -188,22 +188,22 @@ def test_series_effects_against_python(spark, reverse):
 
 
 def panel_of(spark, models):
-    """One-row panel frame from {model: (orig, {feature: (new, magec)})}."""
+    """One-row panel frame from {model: (orig, {feature: (new, effect)})}."""
     rows = [(m, orig, [(f, p, g) for f, (p, g) in e.items()]) for m, (orig, e) in models.items()]
     return spark.createDataFrame(
         [(1, 0, rows)],
         "`case` bigint, timepoint int, panel array<struct<model:string,orig_prob:double,"
-        "effects:array<struct<feature:string,perturb_prob:double,magec:double>>>>",
+        "effects:array<struct<feature:string,perturb_prob:double,effect:double>>>>",
     )
 
 
 def test_rank_order_ties_and_not_found(spark):
     panel = panel_of(spark, {"m": (0.6, {"a": (0.5, -0.2), "b": (0.5, -0.2), "c": (0.6, 0.0), "d": (0.7, 0.3), "e": (0.6, None)})})
     long = ranking.ranks_long(ranking.rank_effects(panel, 5))
-    got = [(r["rank"], r["feature"], r["magec"]) for r in long.orderBy("rank").collect()]
+    got = [(r["rank"], r["feature"], r["effect"]) for r in long.orderBy("rank").collect()]
     assert got == [(1, "b", -0.2), (2, "a", -0.2), (3, "c", 0.0), (4, "not_found", None), (5, "not_found", None)]
     wide = ranking.ranks_wide(ranking.rank_effects(panel, 1), ["m"], 1)
-    assert wide.columns == ["case", "timepoint", "m_magec", "m_feat"] and wide.first()["m_feat"] == "b"
+    assert wide.columns == ["case", "timepoint", "m_effect", "m_feat"] and wide.first()["m_feat"] == "b"
     with pytest.raises(ValueError):
         ranking.rank_effects(panel, 3, features=["a", "b"])
 
@@ -266,7 +266,7 @@ def test_sweep_covers_static_and_series_models(spark, tmp_path):
     last = lambda s: 1.0 / (1.0 + F.exp(-F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x["a"] + x["b"])))
     run_sweep(df, plan, {"m": ColumnScorer(lambda v: 1.0 / (1.0 + F.exp(-(v["a"] - v["b"]))))}, str(tmp_path / "out"),
               {"seq": last}, 3)
-    schema = "`case` bigint, timepoint int, feature string, orig_prob double, perturb_prob double, magec double, model string, perturb string"
+    schema = "`case` bigint, timepoint int, feature string, orig_prob double, perturb_prob double, effect double, model string, perturb string"
     from pyspark.sql.types import StructType
 
     back = read_sweep_csv(spark, str(tmp_path / "out"), StructType.fromDDL(schema))

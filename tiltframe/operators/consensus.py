@@ -45,7 +45,7 @@ def with_consensus(
                 lambda r: F.struct(
                     m["model"].alias("model"),
                     r["feature"].alias("feature"),
-                    (F.abs(r["magec"]) * _weight(m["model"], weights)).alias("score"),
+                    (F.abs(r["effect"]) * _weight(m["model"], weights)).alias("score"),
                 ),
             ),
         )
@@ -172,7 +172,7 @@ def best_feature(df: DataFrame, features: Sequence[str]) -> DataFrame:
         features,
         lambda name, order, mine: F.struct(
             (add_all(mine, lambda e: e["perturb_prob"]) / F.size(mine)).alias("risk"),
-            add_all(mine, lambda e: F.coalesce(e["magec"], F.lit(0.0))).alias("total"),
+            add_all(mine, lambda e: F.coalesce(e["effect"], F.lit(0.0))).alias("total"),
             order.alias("order"),
             name.alias("feature"),
         ),

@@ -2,7 +2,7 @@
 
 The working layout is the *panel frame*, one row per (case, timepoint[, baseline]):
 
-    panel ARRAY<STRUCT<model, orig_prob, effects ARRAY<STRUCT<feature, perturb_prob, magec>>>>
+    panel ARRAY<STRUCT<model, orig_prob, effects ARRAY<STRUCT<feature, perturb_prob, effect>>>>
 
 so norms, ranks, overlaps and votes are array expressions without any shuffle. ``effects_long``
 explodes it to one row per perturbation, ``effects_wide`` gives one column per coefficient.
@@ -103,7 +103,7 @@ def _pack_panel(
                 F.struct(
                     F.lit(step.feature).alias("feature"),
                     new.alias("perturb_prob"),
-                    compare(preprocess(orig), preprocess(new)).alias("magec"),
+                    compare(preprocess(orig), preprocess(new)).alias("effect"),
                 )
             )
         entries.append(
@@ -183,13 +183,13 @@ def exploded_effects(
             F.lit(m).alias("model"),
             F.col(f"__{m}_orig").alias("orig_prob"),
             F.col(f"__{m}_new").alias("perturb_prob"),
-            compare(preprocess(F.col(f"__{m}_orig")), preprocess(F.col(f"__{m}_new"))).alias("magec"),
+            compare(preprocess(F.col(f"__{m}_orig")), preprocess(F.col(f"__{m}_new"))).alias("effect"),
         )
         for m in scorers
     ]
     kept = [*keys] + (["baseline"] if baselines is not None else [])
     out = rows.select(*kept, "feature", F.inline_outer(F.array(*entries)))
-    return out.select(*kept, "model", "feature", "orig_prob", "perturb_prob", "magec")
+    return out.select(*kept, "model", "feature", "orig_prob", "perturb_prob", "effect")
 
 
 # Feature slots in one projection (variants x inputs x models) above which rows are exploded.
@@ -291,14 +291,14 @@ def normalize_effects(df: DataFrame, features: Sequence[str] | None = None) -> D
         "panel",
         lambda m: m.withField(
             "norm",
-            F.sqrt(add_all(F.filter(m["effects"], chosen), lambda e: e["magec"] * e["magec"])),
+            F.sqrt(add_all(F.filter(m["effects"], chosen), lambda e: e["effect"] * e["effect"])),
         ),
     )
     scaled = lambda m: F.transform(
         m["effects"],
         lambda e: e.withField(
-            "magec",
-            F.when(chosen(e), F.try_divide(e["magec"], m["norm"])).otherwise(e["magec"]),
+            "effect",
+            F.when(chosen(e), F.try_divide(e["effect"], m["norm"])).otherwise(e["effect"]),
         ),
     )
     out = df.withColumn("panel", with_norm)
@@ -325,7 +325,7 @@ def effects_long(df: DataFrame) -> DataFrame:
     per_model = df.select(*rest, F.explode_outer("panel").alias("m"))
     per_effect = per_model.select(*rest, "m.model", "m.orig_prob", F.explode_outer("m.effects").alias("e"))
     return per_effect.select(
-        *rest, "model", "e.feature", "orig_prob", "e.perturb_prob", "e.magec"
+        *rest, "model", "e.feature", "orig_prob", "e.perturb_prob", "e.effect"
     )
 
 
@@ -344,7 +344,7 @@ def panel_from_long(
         for j, f in enumerate(features):
             here = is_m & (F.col("feature") == f)
             cell[f"__{i}_{j}_new"] = F.max(F.when(here, F.col("perturb_prob")))
-            cell[f"__{i}_{j}_magec"] = F.max(F.when(here, F.col("magec")))
+            cell[f"__{i}_{j}_effect"] = F.max(F.when(here, F.col("effect")))
     chosen = effects.where(F.col("model").isin(list(models)) & F.col("feature").isin(list(features)))
     gathered = chosen.groupBy(*keys).agg(*[c.alias(n) for n, c in cell.items()])
     complete = gathered.dropna(subset=[f"__{i}_orig" for i in range(len(models))])
@@ -358,7 +358,7 @@ def panel_from_long(
                         F.struct(
                             F.lit(f).alias("feature"),
                             F.col(f"__{i}_{j}_new").alias("perturb_prob"),
-                            F.col(f"__{i}_{j}_magec").alias("magec"),
+                            F.col(f"__{i}_{j}_effect").alias("effect"),
                         )
                         for j, f in enumerate(features)
                     ]
@@ -400,7 +400,7 @@ def effects_wide(df: DataFrame, models: Sequence[str], features: Sequence[str])
         out.append(entry["orig_prob"].alias(original_name(m)))
         for f in features:
             effect = effect_entry(entry, f)
-            out.append(effect["magec"].alias(coefficient_name(m, f)))
+            out.append(effect["effect"].alias(coefficient_name(m, f)))
             out.append(effect["perturb_prob"].alias(perturbed_name(m, f)))
     return found.select(*rest, *out)
 

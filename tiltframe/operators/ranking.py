@@ -2,7 +2,7 @@
 
 Everything that concerns one row works on the panel frame (see ``effects``) and adds columns:
 
-    ranks   ARRAY<STRUCT<model, ranked ARRAY<STRUCT<rank, feature, magec>>>>
+    ranks   ARRAY<STRUCT<model, ranked ARRAY<STRUCT<rank, feature, effect>>>>
     rbos    ARRAY<STRUCT<model_a, model_b, rbo>>
 """
 
@@ -41,7 +41,7 @@ def rank_effects(
             effects = F.filter(effects, lambda e: e["feature"].isin(list(features)))
         # Descending order of (gain, feature); null gains come last.
         gains = F.transform(
-            effects, lambda e: F.struct((-e["magec"]).alias("gain"), e["feature"].alias("feature"))
+            effects, lambda e: F.struct((-e["effect"]).alias("gain"), e["feature"].alias("feature"))
         )
         top = F.slice(F.sort_array(gains, asc=False), 1, rank)
         return F.transform(
@@ -49,7 +49,7 @@ def rank_effects(
             lambda g, i: F.struct(
                 (i + 1).alias("rank"),
                 F.when(g["gain"] >= 0, g["feature"]).otherwise(NOT_FOUND).alias("feature"),
-                F.when(g["gain"] >= 0, -g["gain"]).alias("magec"),
+                F.when(g["gain"] >= 0, -g["gain"]).alias("effect"),
             ),
         )
 
@@ -69,7 +69,7 @@ def ranks_long(df: DataFrame) -> DataFrame:
 
 
 def ranks_wide(df: DataFrame, models: Sequence[str], rank: int) -> DataFrame:
-    """{model}_magec_{r}, {model}_feat_{r}; without the suffix when rank is 1."""
+    """{model}_effect_{r}, {model}_feat_{r}; without the suffix when rank is 1."""
     rest = [c for c in df.columns if c not in ("panel", "ranks", "rbos")]
     out = []
     for m in models:
@@ -77,7 +77,7 @@ def ranks_wide(df: DataFrame, models: Sequence[str], rank: int) -> DataFrame:
         for r in range(rank, 0, -1):
             item = F.get(entry["ranked"], r - 1)
             suffix = "" if rank == 1 else f"_{r}"
-            out.append(item["magec"].alias(f"{m}_magec{suffix}"))
+            out.append(item["effect"].alias(f"{m}_effect{suffix}"))
             out.append(item["feature"].alias(f"{m}_feat{suffix}"))
     return df.select(*rest, *out)
 

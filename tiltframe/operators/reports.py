@@ -17,7 +17,7 @@ def _rest(df: DataFrame) -> list[str]:
 
 
 def case_effect_stats(df: DataFrame) -> DataFrame:
-    """model, feature, magec, risk, risk_new and percent risk reduction of every row."""
+    """model, feature, effect, risk, risk_new and percent risk reduction of every row."""
     per_model = df.select(*_rest(df), F.explode_outer("panel").alias("m"))
     rows = per_model.select(
         *_rest(df), "m.model", F.col("m.orig_prob").alias("risk"), F.explode_outer("m.effects").alias("e")
@@ -26,7 +26,7 @@ def case_effect_stats(df: DataFrame) -> DataFrame:
         *_rest(df),
         "model",
         "e.feature",
-        "e.magec",
+        "e.effect",
         "risk",
         F.col("e.perturb_prob").alias("risk_new"),
         (F.try_divide(F.col("risk") - F.col("e.perturb_prob"), F.col("risk")) * 100.0).alias(
@@ -76,7 +76,7 @@ def panel_table(
                 lambda e: F.struct(
                     F.upper(m["model"]).alias("model"),
                     e["feature"].alias("feature"),
-                    F.round(e["magec"], 3).cast("decimal(18,3)").alias("value"),
+                    F.round(e["effect"], 3).cast("decimal(18,3)").alias("value"),
                 ),
             ),
         )

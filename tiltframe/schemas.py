@@ -17,7 +17,7 @@ EFFECTS = T.StructType(
         T.StructField("feature", T.StringType()),
         T.StructField("orig_prob", T.DoubleType()),
         T.StructField("perturb_prob", T.DoubleType()),
-        T.StructField("magec", T.DoubleType()),
+        T.StructField("effect", T.DoubleType()),
     ]
 )
 

@@ -159,7 +159,7 @@ def _(spark, sf):
     schema = T.StructType(
         [T.StructField("case", T.LongType()), T.StructField("timepoint", T.IntegerType())]
         + [T.StructField("feature", T.StringType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("orig_prob", "perturb_prob", "magec")]
+        + [T.StructField(c, T.DoubleType()) for c in ("orig_prob", "perturb_prob", "effect")]
         + [T.StructField(c, T.StringType()) for c in ("model", "perturb")]
     )
     return delimited.read_sweep_csv(spark, path, schema)
