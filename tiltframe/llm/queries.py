@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltframe.llm import chat, linededup, sharding
+from tiltframe.llm import chat, linededup, packing, sharding
 from tiltframe.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,18 @@ FROM whole
 """
 
 
+def byte_bpe() -> str:
+    """The public vocabulary file, which is installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_best_fit_packing(spark, sf):
+    return packing.pack(packing.token_pieces(table(spark, sf, "documents"), byte_bpe()))
+
+
 @query
 def op8_virtual_slots(spark, sf):
     return sharding.shard_by_bytes(table(spark, sf, "documents"), 24)
