@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltframe.llm import chat, linededup, packing, sharding
+from tiltframe.llm import chat, decontaminate, linededup, packing, sharding, toxicity
 from tiltframe.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,17 @@ def op4_best_fit_packing(spark, sf):
     return packing.pack(packing.token_pieces(table(spark, sf, "documents"), byte_bpe()))
 
 
+@query
+def op6_toxicity_chain(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query
+def op7_string_tiling(spark, sf):
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op8_virtual_slots(spark, sf):
     return sharding.shard_by_bytes(table(spark, sf, "documents"), 24)

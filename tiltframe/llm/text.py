@@ -48,8 +48,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _block_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a run of bytes; ``begins`` are places where a text begins."""
+def _plain_table() -> np.ndarray:
+    """Every ASCII sign that is no letter or digit becomes a space."""
+    return np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+
+
+_PLAIN = _plain_table()
+
+
+def _block_words(
+    data: np.ndarray, begins: np.ndarray, prefixes: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hash, start and prefix hashes of each word of a run of bytes; ``begins`` are places where a
+    text begins."""
     solid = (data != 32) & ((data - np.uint8(9)) > 4)
     before = np.empty(len(data), bool)
     before[0] = False
@@ -57,7 +68,7 @@ def _block_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     before[begins] = False
     starts = np.flatnonzero(solid & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), starts, [np.zeros(0, np.uint64) for _ in prefixes]
     after = np.empty(len(data), bool)
     after[-1] = False
     after[:-1] = solid[1:]
@@ -69,28 +80,52 @@ def _block_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     power, inverse = _powers(size)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(low * power[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * inverse[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
 
+    def hashes(ends: np.ndarray) -> np.ndarray:
+        raw = (total[ends] - total[starts]) * inverse[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    heads = []
+    for size in prefixes:
+        head = hashes(np.minimum(starts + size, ends)) ^ np.uint64(size)
+        head[ends - starts <= size] = 0
+        heads.append(head)
+    return hashes(ends), starts, heads
+
+
+def word_hashes(column: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All word hashes of a text column in order, and for each text the index of its first word
-    (one more entry than texts)."""
+    (one more entry than texts). ``plain``: ASCII signs that are no letters or digits part words."""
+    words, first, _ = word_features(column, (), plain)
+    return words, first
+
+
+def word_features(
+    column: pa.Array, prefixes: tuple[int, ...], plain: bool = True
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``word_hashes``, and for each prefix length the hashes of the words' first bytes (0 where the
+    word is no longer than that)."""
     data, offsets = text_bytes(column)
     hashes, places = [], []
+    heads: list[list[np.ndarray]] = [[] for _ in prefixes]
     at = 0
     while at < len(offsets) - 1:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
         low, high = offsets[at], offsets[end]
         if high > low:
             begins = np.unique(offsets[at:end] - low)
-            h, s = _block_words(data[low:high], begins[begins < high - low])
+            block = _PLAIN[data[low:high]] if plain else data[low:high]
+            h, s, p = _block_words(block, begins[begins < high - low], prefixes)
             hashes.append(h)
             places.append(s + low)
+            for column_heads, own in zip(heads, p, strict=True):
+                column_heads.append(own)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(len(offsets), np.int64), [none for _ in prefixes]
+    first = np.searchsorted(np.concatenate(places), offsets)
+    return np.concatenate(hashes), first, [np.concatenate(h) for h in heads]
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
