@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltframe.llm import chat, decontaminate, linededup, packing, sharding, toxicity
+from tiltframe.llm import chat, decontaminate, jaccard, linededup, packing, sharding, toxicity
 from tiltframe.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op4_best_fit_packing(spark, sf):
     return packing.pack(packing.token_pieces(table(spark, sf, "documents"), byte_bpe()))
 
 
+@query
+def op5_jaccard_join(spark, sf):
+    return jaccard.linked(table(spark, sf, "documents"), 3, 90)
+
+
 @query
 def op6_toxicity_chain(spark, sf):
     docs = table(spark, sf, "documents")

@@ -40,7 +40,9 @@ FEATURES = 256
 MIN_DOCS = 3
 FOLDS = 3
 PREFIXES = (4, 6)
-THRESHOLD = 0.5
+PARTS = 6
+ITERATIONS = 30
+THRESHOLD = 0.2
 
 
 def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
         return Chain(names, features, weights, tuple((0.0,) * k for k in range(len(names))), tuple(intercepts))
     dense_path = new_table_path(spark, "training-rows")
     rows.select("text", "fold", *names).mapInArrow(dense, kinds).write.parquet(dense_path)
-    training = spark.read.parquet(dense_path).withColumn("before", F.array().cast("array<double>"))
+    # About ``sample`` rows at most: a few partitions, as every step of the fitting reads them all.
+    training = spark.read.parquet(dense_path).coalesce(PARTS).withColumn("before", F.array().cast("array<double>"))
 
     def model(part: DataFrame, name: str):
         part = part.select(array_to_vector(F.concat("x", "before")).alias("features"), F.col(name).alias("label"))
@@ -170,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
         if both.low == both.high:
             share = float(both.low or 0)
             return None, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-        fitted = LogisticRegression(maxIter=60, regParam=1e-3, standardization=False).fit(part.persist())
+        part = part.persist()
+        fitted = LogisticRegression(maxIter=ITERATIONS, regParam=1e-4, standardization=False).fit(part)
         part.unpersist()
         return fitted, float(fitted.intercept)
 
@@ -196,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
                 parts = own if parts is None else parts.unionByName(own)
             next_path = new_table_path(spark, "out-of-fold")
             parts.write.parquet(next_path)
-            training = spark.read.parquet(next_path)
+            training = spark.read.parquet(next_path).coalesce(PARTS)
     return Chain(names, features, weights, tuple(links), tuple(intercepts))
 
 
