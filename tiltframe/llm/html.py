@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -77,21 +77,52 @@ def _unwanted(names: str) -> bool:
     return False
 
 
-class Page(HTMLParser):
+# A comment, a declaration, or a tag with its attributes, whose quoted values may hold anything.
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S
+)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements whose content is text up to their end tag.
+RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+
+
+class Page:
     """The containers and the blocks of one page."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.paths, self.states = ["#"], [-1], [""], [""]
         self.open = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.words: list[str] = []
         self.linked = 0
         self.links = 0
-        self.feed(html)
-        self.close()
+        self._read(html)
         self._end_block()
 
+    def _read(self, html: str) -> None:
+        at = 0
+        while found := MARKUP.search(html, at):
+            if found.start() > at:
+                self.handle_data(html[at : found.start()])
+            at = found.end()
+            tag = found[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if found[1]:
+                self.handle_endtag(tag)
+                continue
+            attributes = found[3]
+            self.handle_starttag(tag, attributes)
+            if tag in RAW:
+                end = RAW[tag].search(html, at)
+                at = end.end() if end else len(html)
+                self.handle_endtag(tag)
+            elif attributes.endswith("/") and tag not in VOID and tag not in BLOCKS:
+                self.handle_endtag(tag)
+        if at < len(html):
+            self.handle_data(html[at:])
+
     def _end_block(self) -> None:
         if self.words:
             text = " ".join("".join(self.words).split())
@@ -104,7 +135,7 @@ class Page(HTMLParser):
             self.links -= self.tags[node] == "a"
         del self.open[count:]
 
-    def handle_starttag(self, tag: str, attrs) -> None:
+    def handle_starttag(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.words.append(" ")
         if tag in BLOCKS:
@@ -112,20 +143,25 @@ class Page(HTMLParser):
             self._close_implied(tag)
         if tag in VOID:
             return
-        values = {k: v or "" for k, v in attrs}
-        names = f"{values.get('class', '')} {values.get('id', '')}"
+        values = {}
+        if attributes:
+            for k, a, b, c in ATTRIBUTE.findall(attributes):
+                values.setdefault(k.lower(), unescape(a or b or c))
+        names = f"{values.get('class', '')} {values.get('id', '')}" if values else ""
         above = self.states[self.open[-1]]
         state = above
         if above != "out":
             if tag in SKIPPED or "hidden" in values or values.get("role") in ("navigation", "banner", "search", "contentinfo"):
                 state = "out"
-            elif tag not in TRUSTED and _unwanted(names):
+            elif names and tag not in TRUSTED and _unwanted(names):
                 state = "out"
             elif tag == "article" and _unwanted(values.get("class", "")) and "article" in self._open_tags():
                 state = "out"
             elif tag == "header":
                 state = "headings" if {"article", "main"} & self._open_tags() else "out"
-        kind = ".".join((tag, *sorted(_NUMBER.sub("#", n) for n in values.get("class", "").split())))
+        kind = tag
+        if "class" in values:
+            kind = ".".join((tag, *sorted(_NUMBER.sub("#", n) for n in values["class"].split())))
         self.tags.append(tag)
         self.parents.append(self.open[-1])
         self.paths.append(f"{self.paths[self.open[-1]]}/{kind}")
@@ -148,11 +184,6 @@ class Page(HTMLParser):
             elif own in BARRIERS and own not in ("table",):
                 break
 
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in ("script", "style"):
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_block()
@@ -166,7 +197,7 @@ class Page(HTMLParser):
         state = self.states[node]
         if state == "out" or state == "headings" and not HEADINGS & {self.tags[n] for n in self.open}:
             return
-        self.words.append(data)
+        self.words.append(unescape(data) if "&" in data else data)
         if self.links:
             self.linked += len(data.strip())
 

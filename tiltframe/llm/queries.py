@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltframe.llm import chat, decontaminate, html, jaccard, linededup, packing, sharding, toxicity
+from tiltframe.llm import chat, decontaminate, html, jaccard, linededup, packing, sharding, toxicity, vectors
 from tiltframe.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op2_host_paths(spark, sf):
     return html.main_text(table(spark, sf, "pages"))
 
 
+@query
+def op3_cap_filters(spark, sf):
+    return vectors.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def byte_bpe() -> str:
     """The public vocabulary file, which is installed alike on every machine."""
     import public_tokenizers
