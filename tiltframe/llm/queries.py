@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiltframe.llm import chat, decontaminate, html, jaccard, linededup, packing, sharding, toxicity, vectors
+from tiltframe.llm import chat, decontaminate, html, jaccard, katz, linededup, packing, sharding, toxicity, vectors
 from tiltframe.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,11 @@ def op8_virtual_slots(spark, sf):
     return sharding.shard_by_bytes(table(spark, sf, "documents"), 24)
 
 
+@query
+def op9_katz_backoff(spark, sf):
+    return katz.score(table(spark, sf, "documents"))
+
+
 @query
 def op10_line_dedup(spark, sf):
     docs = table(spark, sf, "documents")
