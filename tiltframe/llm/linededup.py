@@ -204,7 +204,7 @@ class LineIndex:
         return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
     def _kept(self, docs: DataFrame, result: str, finish) -> DataFrame:
-        others = [f for f in docs.schema if f.name not in ("text", "n_lines", "n_dropped", "lost")]
+        others = [f for f in docs.schema if f.name not in ("text", "n_lines", "n_dropped")]
         # Clashing names are carried under numbers.
         carried = docs.select(
             *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)),
