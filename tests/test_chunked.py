@@ -57,3 +57,14 @@ def test_split_is_exact_disjoint_and_independent_of_the_layout(spark):
     marked = {r["case"]: r["is_valid"] for r in with_split(df, forced_valid=forced).collect()}
     assert all(marked[c] == 1 for c in (1, 2, 3)) and 5000 not in marked
     assert with_split(df, test_size=0.0).agg(F.sum("is_valid")).first()[0] == 0
+
+
+def test_no_row_is_lost_to_nulls(spark):
+    rows = [(1, 5, 1), (1, None, 2), (1, 40, 4), (None, 5, 8), (None, None, 16)]
+    df = spark.createDataFrame(rows, "k int, t int, v int").withColumn("chunk", F.floor(F.col("t") / 16))
+    got = running_sum(df, ["k"], "chunk", ["t"], F.col("v"), "a").where("k = 1").select("t", "a").collect()
+    assert set(map(tuple, got)) == {(5, 1), (40, 5), (None, 7)}
+    assert running_sum(df, ["k"], "chunk", ["t"], F.col("v"), "a").count() == 5
+    got = dense_positions(df, ["k"], "t", lambda c: F.floor(c / 16), "p")
+    assert got.count() == 5
+    assert {(r.t, r.p) for r in got.where("k = 1").collect()} == {(5, 1), (40, 2), (None, 3)}

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tiltframe.codes import COMORBIDITY_CODES, code_list
+from tiltframe.codes import COMORBIDITY_CODES
 from tiltframe.operators import comorbidity, measurements, records, visits
 from tiltframe.operators.ventilation import ventilation_episodes
 
@@ -127,10 +127,24 @@ def test_comorbidity_flags(spark):
     assert out[6]["obesity"] == 0 and out[7]["aids"] is None and out[7]["solid_tumor"] == 0
 
 
-def test_code_runs():
-    assert code_list("042-044 V56") == ["042", "043", "044", "V56"]
-    assert len(code_list(COMORBIDITY_CODES["tumor"])) == 55 and "173" not in code_list(COMORBIDITY_CODES["tumor"])
-    assert {len(c) for text in COMORBIDITY_CODES.values() for c in code_list(text)} == {3, 4, 5}
+def test_codes_are_written_out():
+    assert COMORBIDITY_CODES["aids"] == ("042", "043", "044")
+    assert len(COMORBIDITY_CODES["tumor"]) == 55 and "173" not in COMORBIDITY_CODES["tumor"]
+    assert {len(c) for listed in COMORBIDITY_CODES.values() for c in listed} == {3, 4, 5}
+
+
+def test_stays_without_a_time_are_kept_and_numbered_last(spark):
+    icu = "subject_id bigint, hadm_id bigint, icustay_id bigint, intime timestamp_ntz, outtime timestamp_ntz, first_careunit string"
+    day = lambda d: dt.datetime(2020, 1, d)
+    stays = spark.createDataFrame([(1, 10, 100, day(5), day(7), "A"), (1, 10, 101, None, None, "A"), (1, 10, 102, day(2), day(3), "A")], icu)
+    adm = spark.createDataFrame(
+        [(1, 10, day(1), day(20), None, "d", "white", "e", 1)],
+        "subject_id bigint, hadm_id bigint, admittime timestamp_ntz, dischtime timestamp_ntz, deathtime timestamp_ntz, "
+        "diagnosis string, ethnicity string, admission_type string, has_chartevents_data int",
+    )
+    people = spark.createDataFrame([(1, "M", dt.date(1960, 1, 1))], "subject_id bigint, gender string, dob date")
+    got = visits.stay_demographics(stays, adm, people).collect()
+    assert {r.icustay_id: r.icustay_seq for r in got} == {102: 1, 100: 2, 101: 3}
 
 
 EVENTS = (

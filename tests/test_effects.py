@@ -2,6 +2,7 @@ import math
 import random
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -116,11 +117,30 @@ def test_stored_effects_come_back_as_a_panel(spark, rows, plan):
     assert set(EFFECTS.fieldNames()) - {"baseline"} == set(long.columns)
 
 
-def test_exploded_form_is_the_same(rows, plan):
-    scorers = {"m": ColumnScorer(linear), "s": ColumnScorer(steep)}
-    packed = fx.effects_long(fx.static_effects(rows, plan, scorers, [None, 0.7]))
-    flat = fx.exploded_effects(rows, plan, scorers, [None, 0.7])
-    assert sorted(map(str, flat.select(*packed.columns).collect())) == sorted(map(str, packed.collect()))
+def test_every_row_is_kept_at_any_width(spark):
+    """Repeated keys and null features: as many rows out as in, each scored from its own values."""
+    for width, batch in ((5, 16), (32, 16), (32, 7)):
+        names = [f"f{i}" for i in range(width)]
+        values = [(1, 0, *([1.0] * width)), (1, 0, *([2.0] * width)), (2, 0, None, *([1.0] * (width - 1)))]
+        kinds = "case long, timepoint int, " + ", ".join(f"{n} double" for n in names)
+        df = spark.createDataFrame(values, kinds)
+        risk = lambda v, k: 1.0 / (1.0 + F.exp(-k * sum((v[n] for n in names), F.lit(0.0))))
+        scorers = {f"m{k}": ColumnScorer(lambda v, k=k: risk(v, k / 10)) for k in range(1, 5)}
+        fx.BATCH, kept = batch, fx.BATCH
+        try:
+            got = fx.static_effects(df, [fx.Perturbation(n) for n in names], scorers, carry=["f1"]).collect()
+        finally:
+            fx.BATCH = kept
+        assert len(got) == 3
+        for r in got:
+            for k, m in enumerate(r.panel, 1):
+                assert [e.feature for e in m.effects] == names
+                if r.case == 2:
+                    # Setting the missing value is the only variant without a null.
+                    assert m.orig_prob is None and [e.perturb_prob is None for e in m.effects] == [False] + [True] * (width - 1)
+                else:
+                    want = 1 / (1 + np.exp(-k / 10 * r.f1 * (width - 1)))
+                    assert all(e.perturb_prob == pytest.approx(want) for e in m.effects)
 
 
 def test_thirty_features(spark):
@@ -131,16 +151,6 @@ def test_thirty_features(spark):
     )
     total = lambda v: sum((v[n] * (0.1 * (i % 5) - 0.2) for i, n in enumerate(names)), F.lit(0.0))
     scorers = {m: ColumnScorer(lambda v, k=k: 1.0 / (1.0 + F.exp(-k * total(v)))) for m, k in (("x", 0.5), ("y", 1.0))}
-    few = names[:6]
-    plan = [fx.Perturbation(n) for n in few]
-    small = {m: ColumnScorer(lambda v, k=k: 1.0 / (1.0 + F.exp(-k * sum((v[n] for n in few), F.lit(0.0))))) for m, k in (("x", 0.5), ("y", 1.0))}
-    packed = votes.consensus_rows(panel_frame(df, plan, small, carry=["f0"])).collect()
-    limit, fx.PACKED_LIMIT = fx.PACKED_LIMIT, 0
-    try:
-        regrouped = votes.consensus_rows(panel_frame(df, plan, small, carry=["f0"])).collect()
-    finally:
-        fx.PACKED_LIMIT = limit
-    assert sorted(map(str, packed)) == sorted(map(str, regrouped))
     frame = panel_frame(df, [fx.Perturbation(n) for n in names], scorers, rank=3)
     assert votes.consensus_rows(frame).where("winner is not null").count() > 0
 

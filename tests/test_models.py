@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from tiltframe.operators.split import split_by_case
 from tiltframe.operators import attribution, metrics, profiling, scaling, training
 from tiltframe.operators.scorers import ColumnScorer, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
@@ -158,7 +159,7 @@ def test_histogram_equals_numpy(spark, rows):
 def test_demo_csv_with_windows_line_ends(spark, tmp_path):
     header = "Pregnancies,Glucose,BloodPressure,SkinThickness,Insulin,BMI,DiabetesPedigreeFunction,Age,Outcome"
     path = tmp_path / "demo.csv"
-    path.write_bytes((header + "\r\n6,148,72,35,0,33.6,0.627,50,1\r\n1,85,66,0,0,26.6,0.351,31,0\r\n").encode())
+    path.write_bytes((header + "\r\n3,131,70,35,0,29.5,0.44,52,1\r\n2,97,61,0,0,24.25,0.3,33,0\r\n").encode())
     df = delimited.read_feature_csv(spark, str(path))
     assert df.orderBy("Age").first()["Outcome"] == 0
     columns = df.columns
@@ -184,3 +185,12 @@ def test_vote_weights_from_metrics(rows):
     assert set(weights) == {"p", "q"} and all(0.5 < w < 1 for w in weights.values())
     wide = rows.withColumns({"prob_p": F.lit(0.2), "prob_q": F.lit(0.6)})
     assert soft_vote(wide, ["p", "q"]).first()["prob_ensemble"] == pytest.approx(0.4)
+
+
+def test_null_scores_and_null_cases_are_named(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, None), (0, 0.3), (0, 0.95)], "label int, prob double")
+    with pytest.raises(Exception, match="prob is null"):
+        metrics.roc_auc(df).collect()
+    cases = spark.createDataFrame([(1,), (None,)], "case long")
+    with pytest.raises(ValueError, match="case is null"):
+        split_by_case(cases)

@@ -58,12 +58,12 @@ def test_random_lists_match_the_definition(spark):
     ]
     s, t = F.col("s"), F.col("t")
     got = lists(spark, rows).select(
-        rank_biased_overlap(s, t, p=0.9, max_depth=9),
-        rank_biased_overlap(s, t, p=0.9, k=3, max_depth=9),
-        rank_biased_overlap(s, t, p=0.9, ext=True, max_depth=9),
-        rank_biased_overlap(s, t, p=1.0, max_depth=9),
-        rank_biased_overlap_uneven(s, t, p=0.98, max_depth=9),
-        rank_biased_overlap(t, s, p=0.9, max_depth=9),
+        rank_biased_overlap(s, t, p=0.9),
+        rank_biased_overlap(s, t, p=0.9, k=3),
+        rank_biased_overlap(s, t, p=0.9, ext=True),
+        rank_biased_overlap(s, t, p=1.0),
+        rank_biased_overlap_uneven(s, t, p=0.98),
+        rank_biased_overlap(t, s, p=0.9),
     ).collect()
     for (a, b), r in zip(rows, got):
         assert r[0] == pytest.approx(by_depth(a, b, 0.9), abs=1e-12)
@@ -80,11 +80,30 @@ def test_top_weight(spark):
     assert got == pytest.approx([0.85559, 0.85223, 1.0, 0.1 / 0.9 * math.log(10)], abs=1e-5)
 
 
-def test_repeated_items_and_lists_beyond_max_depth_fail(spark):
+def test_repeated_items_fail(spark):
     s, t = F.col("s"), F.col("t")
     with pytest.raises(PySparkException):
         lists(spark, [([1, 1], [1, 2])]).select(rank_biased_overlap(s, t)).collect()
-    with pytest.raises(PySparkException):
-        lists(spark, [([1, 2, 3], [1, 2, 3])]).select(rank_biased_overlap(s, t, max_depth=2)).collect()
     with pytest.raises(ValueError):
         rank_biased_overlap(s, t, p=1.5)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_long_lists_and_null_lists(spark, ansi):
+    rng = random.Random(5)
+    s, t = rng.sample(range(700), 500), rng.sample(range(700), 450)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(s, t), (s, s), (None, t), (s, None)], "s array<int>, t array<int>")
+        a, b = F.col("s"), F.col("t")
+        got = df.select(
+            rank_biased_overlap(a, b, p=0.9), average_overlap(a, b), rank_biased_overlap(a, b, 0.995, ext=True),
+            rank_biased_overlap_uneven(a, b, 0.995),
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    want = (by_depth(s, t, 0.9), by_depth(s, t, 1), by_depth(s, t, 0.995, ext=True), uneven_by_depth(s, t, 0.995))
+    assert tuple(got[0]) == pytest.approx(want)
+    assert got[1][1] == pytest.approx(1.0)
+    assert tuple(got[2]) == tuple(got[3]) == (None,) * 4

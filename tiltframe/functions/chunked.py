@@ -8,9 +8,11 @@ combine, carried over the few chunk rows, and joined back, so a task only ever h
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_carry(
@@ -22,8 +24,10 @@ def with_carry(
     """Add, per row, values folded from all *earlier* chunks of the same key.
 
     ``parts`` maps an output name to (aggregate within a chunk, fold over earlier chunks).
-    Keys and chunk must not be null.
+    Every row is kept: a null chunk (an integer or a date) becomes the last one of its key, and
+    rows with a null key are carried nothing.
     """
+    df = df.withColumn(chunk, F.coalesce(chunk, _last_chunk(df, chunk)))
     totals = df.groupBy(*keys, chunk).agg(*[agg.alias(name) for name, (agg, _) in parts.items()])
     earlier = (
         Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -31,7 +35,14 @@ def with_carry(
     carried = totals.select(
         *keys, chunk, *[fold(F.col(name)).over(earlier).alias(name) for name, (_, fold) in parts.items()]
     )
-    return df.join(carried, [*keys, chunk], "inner")
+    return df.join(carried, [*keys, chunk], "left")
+
+
+def _last_chunk(df: DataFrame, chunk: str) -> Column:
+    kind = df.schema[chunk].dataType
+    if isinstance(kind, T.DateType):
+        return F.lit("9999-12-31").cast(kind)
+    return F.lit((1 << 31) - 1 if isinstance(kind, T.IntegerType) else (1 << 63) - 1).cast(kind)
 
 
 def running_sum(
@@ -65,10 +76,14 @@ def row_positions(
 def dense_positions(
     df: DataFrame, keys: Sequence[str], order: str, chunk_of: Callable[[Column], Column], name: str
 ) -> DataFrame:
-    """Dense rank of ``order`` inside ``keys``: distinct values are numbered, then joined back."""
+    """Dense rank of ``order`` inside ``keys``, a null as the last value: distinct values are numbered,
+    then joined back. Rows with a null key are kept and numbered within their chunk."""
     distinct = df.select(*keys, order).distinct().withColumn("__chunk", chunk_of(F.col(order)))
     numbered = row_positions(distinct, keys, "__chunk", [order], name).drop("__chunk")
-    return df.join(numbered.withColumn(name, F.col(name).cast("int")), [*keys, order], "inner")
+    by = {c: f"__by_{c}" for c in [*keys, order]}
+    numbered = numbered.withColumnsRenamed(by).withColumn(name, F.col(name).cast("int"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(b)) for c, b in by.items()])
+    return df.join(numbered, same, "left").drop(*by.values())
 
 
 def global_positions(

@@ -2,23 +2,40 @@
 
 An item that both lists hold by depth r (the larger of its two ranks) adds w_d/d at every depth
 d >= r, so the overlap is a sum over common items of a difference of two prefix sums of w_d/d.
-The prefix sums only depend on p and are literals; nothing leaves the row.
+The prefix sums only depend on p: the first ``TABLED`` are literals, deeper ones add the weights
+beyond. Lists may be of any length; nothing leaves the row. A null list has a null overlap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tiltframe.functions.scalar import add_all, literal_array
 
 
-def _weight_prefix(p: float, max_depth: int) -> list[float]:
-    total, out = 0.0, [0.0]
-    for d in range(1, max_depth + 1):
+TABLED = 100
+
+
+def _prefix_sum(p: float) -> Callable[[Column], Column]:
+    """The sum of w_i/i for i = 1 to d."""
+    total, table = 0.0, [0.0]
+    for d in range(1, TABLED + 1):
         total += 1.0 / d if p == 1.0 else (1.0 - p) * p ** (d - 1) / d
-        out.append(total)
-    return out
+        table.append(total)
+    literal = literal_array(table)
+
+    def weight(i: Column) -> Column:
+        return 1.0 / i if p == 1.0 else (1.0 - p) * F.pow(F.lit(p), i - 1) / i
+
+    def upto(d: Column) -> Column:
+        beyond = F.when(d > TABLED, F.sequence(F.lit(TABLED + 1), F.greatest(d, F.lit(TABLED + 1))))
+        deep = F.coalesce(add_all(beyond, weight), F.lit(0.0))
+        return F.element_at(literal, F.least(d, F.lit(TABLED)) + 1) + deep
+
+    return upto
 
 
 def _check_p(p: float, allow_one: bool) -> None:
@@ -43,7 +60,8 @@ def _bounded(value: Column) -> Column:
 
 def _guarded(s: Column, t: Column, value: Column, check: bool) -> Column:
     out = (
-        F.when((F.size(s) == 0) & (F.size(t) == 0), F.lit(1.0))
+        F.when(s.isNull() | t.isNull(), F.lit(None).cast("double"))
+        .when((F.size(s) == 0) & (F.size(t) == 0), F.lit(1.0))
         .when((F.size(s) == 0) | (F.size(t) == 0), F.lit(0.0))
         .otherwise(_bounded(value))
     )
@@ -61,18 +79,15 @@ def rank_biased_overlap(
     p: float = 1.0,
     k: int | None = None,
     ext: bool = False,
-    max_depth: int = 100,
     check: bool = True,
 ) -> Column:
     """Overlap down to depth min(|S|, |T|, k); p = 1 is the average overlap.
 
-    ``ext`` adds the agreement at the last depth times p^k. ``max_depth`` must cover the lists;
-    a deeper list fails the query instead of being cut.
+    ``ext`` adds the agreement at the last depth times p^k.
     """
     _check_p(p, allow_one=True)
     depth = F.least(F.size(s), F.size(t), *([F.lit(k)] if k is not None else []))
-    prefix = literal_array(_weight_prefix(p, max_depth))
-    upto = lambda d: F.element_at(prefix, d + 1)
+    upto = _prefix_sum(p)
     within = F.filter(_common_depths(s, t), lambda r: r <= depth)
     total = add_all(within, lambda r: upto(depth) - upto(r - 1))
     if p == 1.0:
@@ -87,15 +102,14 @@ def average_overlap(s: Column, t: Column, k: int | None = None, **kw) -> Column:
 
 
 def rank_biased_overlap_uneven(
-    s: Column, t: Column, p: float = 0.98, max_depth: int = 100, check: bool = True
+    s: Column, t: Column, p: float = 0.98, check: bool = True
 ) -> Column:
     """Extrapolated overlap of lists of different length."""
     _check_p(p, allow_one=False)
     one = F.lit(1)
     short = F.greatest(F.least(F.size(s), F.size(t)), one)
     long = F.greatest(F.size(s), F.size(t), one)
-    prefix = literal_array(_weight_prefix(p, max_depth))
-    upto = lambda d: F.element_at(prefix, d + 1)
+    upto = _prefix_sum(p)
     power = lambda d: F.pow(F.lit(p), d)
     depths = _common_depths(s, t)
     x_long = F.size(depths).cast("double")

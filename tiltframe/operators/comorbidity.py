@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltframe.codes import COMORBIDITY_CODES, code_list
+from tiltframe.codes import COMORBIDITY_CODES
 
 # Output column of each plain flag (fixed values: names).
 PLAIN_FLAGS = {
@@ -43,8 +43,8 @@ def code_masks(spark) -> DataFrame:
     """code -> bit mask of the flags it sets. Built from the code lists alone, so its size
     (a few hundred rows) does not depend on the data and it may be broadcast."""
     masks: dict[str, int] = {}
-    for bit, text in enumerate(COMORBIDITY_CODES.values()):
-        for code in code_list(text):
+    for bit, listed in enumerate(COMORBIDITY_CODES.values()):
+        for code in listed:
             masks[code] = masks.get(code, 0) | (1 << bit)
     return spark.createDataFrame(sorted(masks.items()), "code string, mask bigint")
 

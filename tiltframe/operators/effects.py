@@ -87,33 +87,34 @@ def _with_baselines(df: DataFrame, baselines: Sequence[float | None] | None) ->
     return df.withColumn("baseline", F.explode(values.cast("array<double>")))
 
 
-def _pack_panel(
+# Variants scored in one projection.
+BATCH = 16
+
+
+def _entries(
     plan: Sequence[Perturbation],
-    models: Sequence[str],
+    model: str,
     preprocess: Callable[[Column], Column],
     compare: Callable[[Column, Column], Column],
 ) -> Column:
-    entries = []
-    for model in models:
-        orig = F.col(f"__{model}_orig")
-        effects = []
-        for i, step in enumerate(plan):
-            new = F.col(f"__{model}_{i}")
-            effects.append(
-                F.struct(
-                    F.lit(step.feature).alias("feature"),
-                    new.alias("perturb_prob"),
-                    compare(preprocess(orig), preprocess(new)).alias("effect"),
-                )
-            )
-        entries.append(
+    orig = F.col(f"__{model}_orig")
+    effects = []
+    for i, step in enumerate(plan):
+        new = F.col(f"__{model}_{i}")
+        effects.append(
             F.struct(
-                F.lit(model).alias("model"),
-                orig.alias("orig_prob"),
-                F.array(*effects).alias("effects"),
+                F.lit(step.feature).alias("feature"),
+                new.alias("perturb_prob"),
+                compare(preprocess(orig), preprocess(new)).alias("effect"),
             )
         )
-    return F.array(*entries).alias("panel")
+    return F.array(*effects)
+
+
+def _panel_entry(model: str, effects: Column) -> Column:
+    return F.struct(
+        F.lit(model).alias("model"), F.col(f"__{model}_orig").alias("orig_prob"), effects.alias("effects")
+    )
 
 
 def static_effects(
@@ -127,7 +128,10 @@ def static_effects(
     preprocess: Callable[[Column], Column] = base2_logit,
     compare: Callable[[Column, Column], Column] = lambda before, after: after - before,
 ) -> DataFrame:
-    """Panel frame of models that score one row at a time.
+    """Panel frame of models that score one row at a time: one row out for every row in.
+
+    Variants are scored ``BATCH`` at a time and each batch is folded into the row before the next,
+    so no projection grows with the number of features.
 
     ``baselines`` multiplies the rows: None moves a feature to its epsilon, a number b shrinks it
     to (1 - b) of its value. ``carry`` names extra columns to keep, ``inputs`` the model inputs
@@ -139,82 +143,20 @@ def static_effects(
     baseline = F.col("baseline") if baselines is not None else None
     original = {f: F.col(f) for f in inputs}
     for model, scorer in scorers.items():
-        variants = {f"__{model}_orig": original}
-        for i, step in enumerate(plan):
-            changed = step.apply(F.col(step.feature), baseline)
-            variants[f"__{model}_{i}"] = {**original, step.feature: changed}
-        rows = scorer.add_scores(rows, variants)
+        before, folded = f"__{model}_orig", f"__{model}_effects"
+        for first in range(0, max(1, len(plan)), BATCH):
+            batch = plan[first : first + BATCH]
+            variants = {} if first else {before: original}
+            for i, step in enumerate(batch):
+                changed = step.apply(F.col(step.feature), baseline)
+                variants[f"__{model}_{i}"] = {**original, step.feature: changed}
+            rows = scorer.add_scores(rows, variants)
+            entries = _entries(batch, model, preprocess, compare)
+            entries = F.concat(F.col(folded), entries) if first else entries
+            rows = rows.withColumn(folded, entries).drop(*(f"__{model}_{i}" for i in range(len(batch))))
     kept = [*keys, *carry] + (["baseline"] if baselines is not None else [])
-    return rows.select(*kept, _pack_panel(plan, list(scorers), preprocess, compare))
-
-
-def exploded_effects(
-    df: DataFrame,
-    plan: Sequence[Perturbation],
-    scorers: dict[str, Scorer],
-    baselines: Sequence[float | None] | None = None,
-    keys: Sequence[str] = KEYS,
-    inputs: Sequence[str] | None = None,
-    preprocess: Callable[[Column], Column] = base2_logit,
-    compare: Callable[[Column, Column], Column] = lambda before, after: after - before,
-) -> DataFrame:
-    """Long effects with one score per exploded row, for feature sets so wide that one projection
-    with every variant outgrows the generated code. Originals are scored before the explode, the
-    model inputs are dropped right after scoring."""
-    features = [step.feature for step in plan]
-    inputs = list(inputs or features)
-    rows = _with_baselines(df.select(*dict.fromkeys([*keys, *inputs])), baselines)
-    baseline = F.col("baseline") if baselines is not None else None
-    for model, scorer in scorers.items():
-        rows = scorer.add_scores(rows, {f"__{model}_orig": {f: F.col(f) for f in inputs}})
-    rows = rows.withColumn("feature", F.explode(literal_array(features)))
-    changed = {f: F.col(f) for f in inputs}
-    for step in plan:
-        new = step.apply(F.col(step.feature), baseline)
-        changed[step.feature] = F.when(F.col("feature") == step.feature, new).otherwise(
-            F.col(step.feature)
-        )
-    # The changed copies get names of their own: a carried key may be an input as well.
-    rows = rows.withColumns({f"__in_{f}": c for f, c in changed.items()})
-    for model, scorer in scorers.items():
-        rows = scorer.add_scores(rows, {f"__{model}_new": {f: F.col(f"__in_{f}") for f in inputs}})
-    entries = [
-        F.struct(
-            F.lit(m).alias("model"),
-            F.col(f"__{m}_orig").alias("orig_prob"),
-            F.col(f"__{m}_new").alias("perturb_prob"),
-            compare(preprocess(F.col(f"__{m}_orig")), preprocess(F.col(f"__{m}_new"))).alias("effect"),
-        )
-        for m in scorers
-    ]
-    kept = [*keys] + (["baseline"] if baselines is not None else [])
-    out = rows.select(*kept, "feature", F.inline_outer(F.array(*entries)))
-    return out.select(*kept, "model", "feature", "orig_prob", "perturb_prob", "effect")
-
-
-# Feature slots in one projection (variants x inputs x models) above which rows are exploded.
-PACKED_LIMIT = 800
-
-
-def panel_effects(
-    df: DataFrame,
-    plan: Sequence[Perturbation],
-    scorers: dict[str, Scorer],
-    baselines: Sequence[float | None] | None = None,
-    keys: Sequence[str] = KEYS,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Panel frame by the form that suits the number of features and models.
-
-    Few features: every variant side by side in the row, no shuffle. Many: exploded scoring and a
-    regroup by the row key, whose map-side combine folds a row's effects before the shuffle.
-    """
-    if len(plan) * (len(plan) + 1) * len(scorers) <= PACKED_LIMIT:
-        return static_effects(df, plan, scorers, baselines, keys, carry)
-    kept = [*keys, *carry]
-    long = exploded_effects(df, plan, scorers, baselines, kept)
-    group = kept + (["baseline"] if baselines is not None else [])
-    return panel_from_long(long, list(scorers), [step.feature for step in plan], group)
+    panel = [_panel_entry(m, F.col(f"__{m}_effects")) for m in scorers]
+    return rows.select(*kept, F.array(*panel).alias("panel"))
 
 
 def series_effects(
@@ -276,9 +218,8 @@ def series_effects(
             new = {**original, change.feature: change.apply(F.col(change.feature), baseline)}
             columns[f"__{model}_{i}"] = scorer(sequence(step(new)))
     kept = list(KEYS) + (["baseline"] if baselines is not None else [])
-    return rows.withColumns(columns).select(
-        *kept, _pack_panel(plan, list(scorers), preprocess, compare)
-    )
+    panel = [_panel_entry(m, _entries(plan, m, preprocess, compare)) for m in scorers]
+    return rows.withColumns(columns).select(*kept, F.array(*panel).alias("panel"))
 
 
 def normalize_effects(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:

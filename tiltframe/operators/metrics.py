@@ -66,8 +66,11 @@ def _cumulative(df: DataFrame, by: Sequence[str], prob: str) -> DataFrame:
     """Per distinct score, from the highest down: its own and the running label counts.
 
     Rows collapse to one per score before anything is ordered, and the order is taken inside
-    score intervals, so neither a popular score nor a large table lands in one task.
+    score intervals, so neither a popular score nor a large table lands in one task. A null score
+    fails the query: it has no place in the order.
     """
+    no_score = F.raise_error(F.lit(f"{prob} is null"))
+    df = df.withColumn(prob, F.when(F.col(prob).isNull(), no_score).otherwise(F.col(prob)))
     y = F.col("label") == 1
     scores = df.groupBy(*by, F.col(prob).alias("score")).agg(
         F.sum(F.when(y, 1).otherwise(0)).cast("bigint").alias("pos"),

@@ -109,7 +109,7 @@ def with_rbos(
             F.lit(a).alias("model_a"),
             F.lit(b).alias("model_b"),
             rank_biased_overlap(
-                F.col(lists[a]), F.col(lists[b]), p=p, max_depth=depth, check=False
+                F.col(lists[a]), F.col(lists[b]), p=p, check=False
             ).alias("rbo"),
         )
         for a, b in model_pairs(models)

@@ -65,10 +65,10 @@ def note_digest(notes: DataFrame, separator: str = NOTE_SEPARATOR) -> DataFrame:
     """The notes of every subject in time order, one row per note: read in ``position`` order the
     ``block`` texts are the joined digest.
 
-    Texts stay in separate rows because the digest of one subject has no size limit. The text is
-    not part of any sort or total; positions are found from the keys by calendar day.
+    Texts stay in separate rows because the digest of one subject has no size limit; a subject is
+    sorted by calendar day. Notes without a time come last; notes without a subject are in no digest.
     """
-    keyed = notes.where(F.col("charttime").isNotNull() & F.col("subject_id").isNotNull())
+    keyed = notes.where(F.col("subject_id").isNotNull())
     keyed = keyed.withColumn("__day", F.to_date("charttime"))
     placed = row_positions(keyed, ["subject_id"], "__day", ["charttime", "row_id"], "position")
     first = F.col("position") == 1

@@ -32,7 +32,10 @@ def with_split(
     cells = hashed.groupBy(F.shiftrightunsigned("__hash", 16).alias("cell")).agg(
         F.count("*").alias("n")
     )
-    counts = sorted((r["cell"], r["n"]) for r in cells.collect())  # at most 65,536 pairs
+    found = [(r["cell"], r["n"]) for r in cells.collect()]  # at most 65,537 pairs
+    if any(cell is None for cell, _ in found):
+        raise ValueError(f"{case} is null in some rows; they belong to neither side of a split")
+    counts = sorted(found)
     wanted = int(sum(n for _, n in counts) * test_size)
     upto, edge = 0, None
     for cell, n in counts:

@@ -88,7 +88,7 @@ def clean_demographics(demo: DataFrame, min_hours: int, drop: bool = True) -> Da
 def cohort_selection(demo: DataFrame, episodes: DataFrame, services: DataFrame) -> DataFrame:
     """First ICU stay of the first hospital stay of adults on a non-surgical service, with the
     first ventilation episode if it started after the transfer and a full day or more after
-    admission; one row per stay with its latest transfer (then the larger service code).
+    admission; one row per stay with its latest transfer (then the smaller service code).
 
     Input ``demo`` is cleaned. Filters that need one side only run before the joins.
     """
@@ -114,8 +114,18 @@ def cohort_selection(demo: DataFrame, episodes: DataFrame, services: DataFrame)
         )
     )
     rest = [c for c in joined.columns if c not in ("transfertime", "prev_service", "curr_service")]
+    # Among equal times the smallest codes, a missing code last.
+    order = [F.col("curr_service").isNull(), "curr_service", F.col("prev_service").isNull(), "prev_service"]
     latest = joined.groupBy("icustay_id").agg(
-        F.max(F.struct("transfertime", "curr_service", "prev_service")).alias("t"),
+        F.min(
+            F.struct(
+                -F.unix_micros(F.col("transfertime").cast("timestamp")),
+                *(F.col(c).alias(f"o{i}") if isinstance(c, str) else c for i, c in enumerate(order)),
+                "transfertime",
+                "curr_service",
+                "prev_service",
+            )
+        ).alias("t"),
         F.first(F.struct(*[c for c in rest if c != "icustay_id"])).alias("r"),
     )
     return latest.select("icustay_id", "r.*", "t.transfertime", "t.prev_service", "t.curr_service")

@@ -708,15 +708,15 @@ def _(spark, sf):
         *KEYS,
         "model_a",
         "model_b",
-        rank_biased_overlap(s, t, p=0.9, max_depth=5).alias("rbo"),
-        rank_biased_overlap(s, t, p=0.9, k=2, max_depth=5).alias("rbo_at_2"),
+        rank_biased_overlap(s, t, p=0.9).alias("rbo"),
+        rank_biased_overlap(s, t, p=0.9, k=2).alias("rbo_at_2"),
     )
 
 
 @query("average_overlap")
 def _(spark, sf):
     return _pair_lists(spark, sf).select(
-        *KEYS, "model_a", "model_b", average_overlap(F.col("s"), F.col("t"), max_depth=5).alias("ao")
+        *KEYS, "model_a", "model_b", average_overlap(F.col("s"), F.col("t")).alias("ao")
     )
 
 
@@ -726,7 +726,7 @@ def _(spark, sf):
         *KEYS,
         "model_a",
         "model_b",
-        rank_biased_overlap(F.col("s"), F.col("t"), p=0.9, ext=True, max_depth=5).alias("rbo_ext"),
+        rank_biased_overlap(F.col("s"), F.col("t"), p=0.9, ext=True).alias("rbo_ext"),
     )
 
 
@@ -736,7 +736,7 @@ def _(spark, sf):
         *KEYS,
         "model_a",
         "model_b",
-        rank_biased_overlap_uneven(F.col("s"), F.col("t"), p=0.98, max_depth=5).alias("rbo_uneven"),
+        rank_biased_overlap_uneven(F.col("s"), F.col("t"), p=0.98).alias("rbo_uneven"),
     )
 
 
