@@ -7,8 +7,8 @@ that links lead to.
 1. Documents of equal sets collapse into one set (by size and two sums of its hashes).
 2. In a common order of all hashes, a set of n can only link with one that shares a hash with its
    first ``n - ceil(t n) + 1`` ones, its prefix. The order is by hash, but with frequent hashes last:
-   those found in at least ``FREQUENT`` sets among the hashes that open a set are kept as a bitmap of
-   fixed size. Any bitmap gives a right order; a good one makes prefixes rare.
+   those found in at least ``FREQUENT`` sets, counted as far as prefixes can reach, are kept as a bitmap
+   of fixed size. Any bitmap gives a right order; a good one makes prefixes rare.
 3. Sets with the same prefix and size become one group, and only groups are joined, on the hashes of
    their prefixes. First each group meets the smallest one of similar size in each prefix hash. Pairs
    that pass the filters are expanded into members and verified on whole sets, which are hashed again
@@ -16,8 +16,12 @@ that links lead to.
    still meet, on hashes that more than one component has. A large family of near copies is one
    component after the first round and is never paired out.
 
-Filters of a pair of groups: sizes within the threshold, and the overlap that the places of the
-shared hash in the two prefixes still allow. Filter of a pair of members: each set has a sketch, the
+Filters of a pair of groups, within the join: sizes within the threshold; the overlap that the places
+of the shared hash in the two prefixes still allow, where two sets that meet on a frequent hash need
+not count on their rare ones (had they one in common they would meet there, as all of them come
+first); and a bitmap of 64 equal ranges of hashes, where a range that only one set is in is a hash
+that is not common. The rows of a frequent hash are first joined by their kinds (size, places), then
+by kind and component, so that a family of copies is compared as a few kinds. Filter of a pair of members: each set has a sketch, the
 number of its hashes in each of ``RANGES`` equal ranges, and no more hashes can be common than the
 smaller numbers add up to.
 
@@ -31,6 +35,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +50,8 @@ from tiltframe.session import new_table_path
 #: Sets that share a hash from which on it is ordered last.
 FREQUENT = 24
 RANGES = 256
+#: What the filters of a pair know of a group, besides its ranges.
+KIND = ["n", "place", "rare"]
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -77,23 +84,42 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(places), pa.array(flat.view(np.int64)))
 
 
-def frequent_hashes(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """The bitmap of the hashes that many sets open with, counted over all documents within twice
-    their prefix."""
+def _frequent_among(docs: DataFrame, chosen) -> np.ndarray:
+    """The bitmap of the hashes that ``chosen`` picks from many sets."""
 
-    def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*word_hashes(batch.column(1)), k)
-            heads = [s[: 2 * prefix_size(len(s), percent)] for s in sets if len(s)]
-            found = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+            parts = [chosen(s) for s in sets if len(s)]
+            found = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             # Counted before they are sent, as far as one batch goes.
             found, n = np.unique(found, return_counts=True)
             yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], ["hash", "n"])
 
-    counts = _batches(docs).mapInArrow(opening, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    k = chosen.keywords["k"]
+    counts = _batches(docs).mapInArrow(picked, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     return hash_bitmap(counts.where(F.col("n") >= FREQUENT), "hash")
 
 
+def _opening(s: np.ndarray, k: int, percent: int) -> np.ndarray:
+    return s[: 2 * prefix_size(len(s), percent)]
+
+
+def _behind(s: np.ndarray, k: int, percent: int, bitmap: np.ndarray) -> np.ndarray:
+    """What lies behind the opening of a set whose opening cannot fill its prefix with rare hashes."""
+    p = prefix_size(len(s), percent)
+    rare = int((~may_hold(bitmap, s[: 2 * p])).sum())
+    return s[2 * p :] if rare < p else s[:0]
+
+
+def frequent_hashes(docs: DataFrame, k: int, percent: int) -> np.ndarray:
+    """The bitmap of the frequent hashes that prefixes may meet: those that many sets have within
+    twice their prefix, and, of sets that are too full of those, the others that many have."""
+    first = _frequent_among(docs, partial(_opening, k=k, percent=percent))
+    second = _frequent_among(docs, partial(_behind, k=k, percent=percent, bitmap=first))
+    return first | second
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """How many hashes are in each range; nothing if a number does not fit."""
     counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES)
@@ -101,31 +127,35 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def set_table(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), two sums over the set, the prefix in the common order, and the sketch of
-    a set that has a prefix."""
+    """doc_id, n (set size), two sums over the set, the prefix in the common order, how many of it are
+    rare, the ranges the set is in, and the sketch of a set that has a prefix."""
     least = smallest_linked(percent)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*word_hashes(batch.column(1)), k)
-            sums, others, prefixes = [], [], []
+            sums, others, prefixes, rare, bits = [], [], [], [], []
             for s in sets:
                 sums.append(s.sum(dtype=np.uint64))
                 others.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 p = prefix_size(len(s), percent) if len(s) >= least else 0
                 late = may_hold(bitmap, s) if p else None
                 prefixes.append(np.concatenate((s[~late][:p], s[late][:p]))[:p] if p else s[:0])
+                rare.append(min(p, int((~late).sum())) if p else 0)
+                bits.append(np.bitwise_or.reduce(np.uint64(1) << (s >> np.uint64(58))) if p else np.uint64(0))
             columns = [
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(np.array(sums, np.uint64).view(np.int64)),
                 pa.array(np.array(others, np.uint64).view(np.int64)),
                 _lists(prefixes),
+                pa.array(rare, pa.int64()),
+                pa.array(np.array(bits, np.uint64).view(np.int64)),
                 pa.array([sketch(s) if len(p) else b"" for s, p in zip(sets, prefixes, strict=True)], pa.binary()),
             ]
-            yield pa.record_batch(columns, ["doc_id", "n", "sum1", "sum2", "prefix", "sketch"])
+            yield pa.record_batch(columns, ["doc_id", "n", "sum1", "sum2", "prefix", "rare", "bits", "sketch"])
 
-    kinds = "doc_id long, n long, sum1 long, sum2 long, prefix array<long>, sketch binary"
+    kinds = "doc_id long, n long, sum1 long, sum2 long, prefix array<long>, rare long, bits long, sketch binary"
     return _batches(docs).mapInArrow(described, kinds)
 
 
@@ -194,7 +224,8 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     table = _stored(set_table(docs, k, percent, frequent_hashes(docs, k, percent)), "sets")
     # 1. One representative per set.
     of_set = table.where("n > 0").groupBy("n", "sum1", "sum2").agg(
-        F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch")
+        F.min("doc_id").alias("rep"),
+        *(F.min(c).alias(c) for c in ("prefix", "rare", "bits", "sketch")),
     )
     reps = _stored(of_set, "set-representatives")
     copies = (
@@ -207,11 +238,16 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     # 3. One group per prefix and size.
     members = reps.where(F.size("prefix") > 0).withColumn("print", F.xxhash64("prefix"))
     firsts = members.groupBy("n", "print").agg(
-        F.min("rep").alias("grp"), F.min("prefix").alias("prefix"), F.count(F.lit(1)).alias("size")
+        F.min("rep").alias("grp"),
+        F.min("prefix").alias("prefix"),
+        F.min("rare").alias("rare"),
+        F.bit_and("bits").alias("every"),
+        F.bit_or("bits").alias("some"),
+        F.count(F.lit(1)).alias("size"),
     )
     groups = _stored(firsts, "groups")
     member_of = _stored(members.join(groups.select("n", "print", "grp"), ["n", "print"]).select("rep", "grp"), "members")
-    index = groups.select("grp", "n", "size", F.posexplode("prefix").alias("place", "hash"))
+    index = groups.select("grp", "n", "rare", "every", "some", "size", F.posexplode("prefix").alias("place", "hash"))
     shared = index.groupBy("hash").agg(F.sum("size").alias("sets")).where("sets > 1").select("hash")
     index = _stored(index.join(shared, "hash").drop("size"), "prefix-index")
 
@@ -222,9 +258,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     step = float(-1 / np.log(ratio))
     banded = index.withColumn("band", F.floor(F.log(F.col("n").cast("double")) * step))
     low = banded.groupBy("hash", "band").agg(
-        F.min(F.struct("grp", "n", "place")).alias("low"), F.count(F.lit(1)).alias("sets")
+        F.min(F.struct("grp", *KIND, "every", "some")).alias("low"), F.count(F.lit(1)).alias("sets")
     )
-    low = low.where("sets > 1").select("hash", "band", "low.*").toDF("hash", "band", "grp2", "n2", "place2")
+    low = _second(low.where("sets > 1").select("hash", "band", "low.*"), ["hash", "band"])
     near = banded.join(low, ["hash", "band"]).where("grp <> grp2").where(_allowed(percent))
     met = near.select(F.col("grp").alias("a"), F.col("grp2").alias("b")).distinct()
     first_pairs = _stored(inside.unionByName(met).distinct(), "first-pairs")
@@ -246,9 +282,7 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rest = _stored(
         index.join(open_hashes, "hash").join(heads, "grp"), "open-index"
     )
-    other = rest.toDF(*(f"{c}2" if c != "hash" else c for c in rest.columns))
-    crossing = rest.join(other, "hash").where("root < root2").where(_allowed(percent))
-    group_pairs = crossing.select("grp", "grp2", "root", "root2").distinct()
+    group_pairs = _crossing(rest, percent)
     one = rep_root.select("grp", "root", F.col("rep").alias("a"))
     two = rep_root.select(F.col("grp").alias("grp2"), F.col("root").alias("root2"), F.col("rep").alias("b"))
     expanded = group_pairs.join(one, ["grp", "root"]).join(two, ["grp2", "root2"]).select("a", "b")
@@ -265,12 +299,54 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     )
 
 
+def _second(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` as the other side of a join on ``keys``."""
+    return rows.toDF(*(c if c in keys else f"{c}2" for c in rows.columns))
+
+
+def _crossing(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups of different components (grp, root, grp2, root2) that meet on a hash and pass."""
+    rare = index.where("place < rare")
+    found = rare.join(_second(rare, ["hash"]), "hash").where("root < root2").where(_allowed(percent))
+    ends = ["grp", "root", "grp2", "root2"]
+
+    late = index.where("place >= rare")
+    bits = (F.bit_and("every").alias("every"), F.bit_or("some").alias("some"))
+    kinds = late.groupBy("hash", *KIND).agg(F.min("root").alias("low"), F.max("root").alias("high"), *bits)
+    kind_pairs = (
+        kinds.join(_second(kinds, ["hash"]), "hash")
+        .where(_allowed(percent))
+        .where("least(low, low2) < greatest(high, high2)")
+        .select("hash", *KIND, *(f"{c}2" for c in KIND))
+    )
+    by_root = late.groupBy("hash", *KIND, "root").agg(*bits)
+    first = ["hash", *KIND]
+    second = ["hash", *(f"{c}2" for c in KIND)]
+    root_pairs = (
+        kind_pairs.join(by_root, first)
+        .join(_second(by_root, ["hash"]), second)
+        .where("root < root2")
+        .where(_allowed(percent))
+        .select("hash", *KIND, "root", *(f"{c}2" for c in KIND), "root2")
+    )
+    members = late.select("hash", *KIND, "root", "grp")
+    met = root_pairs.join(members, [*first, "root"]).join(_second(members, ["hash"]), [*second, "root2"])
+    return found.select(*ends).unionByName(met.select(*ends)).distinct()
+
+
 def _allowed(percent: int):
-    """Sizes within the threshold, and enough hashes left behind the shared place: the shared hash
-    that is met here need not be the first one, so at most ``min(place, place2)`` come before it."""
+    """If two groups that meet on a hash (its ``place`` in both prefixes) may have linked members."""
     n, m = F.col("n"), F.col("n2")
-    rest = F.least(n - F.col("place") - 1, m - F.col("place2") - 1)
-    most = F.least("place", "place2") + 1 + rest
+    late = F.col("place") >= F.col("rare")
+    before = F.least(
+        F.when(late, F.col("place") - F.col("rare")).otherwise(F.col("place")),
+        F.when(late, F.col("place2") - F.col("rare2")).otherwise(F.col("place2")),
+    )
+    most = F.least(
+        before + 1 + F.least(n - F.col("place") - 1, m - F.col("place2") - 1),
+        n - F.bit_count(F.col("every").bitwiseAND(F.bitwise_not("some2"))),
+        m - F.bit_count(F.col("every2").bitwiseAND(F.bitwise_not("some"))),
+    )
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
         & (100 * most >= percent * (n + m - most))
