@@ -41,7 +41,7 @@ def test_dense_positions(spark):
 def test_global_positions(spark):
     keys = random.Random(1).sample(range(-(10**9), 10**9), 500)
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
-    got = dict(map(tuple, global_positions(df, "k", "p", chunks=7).select("k", "p").collect()))
+    got = dict(map(tuple, global_positions(df, "k", "p", chunk_rows=9).select("k", "p").collect()))
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
@@ -68,3 +68,9 @@ def test_no_row_is_lost_to_nulls(spark):
     got = dense_positions(df, ["k"], "t", lambda c: F.floor(c / 16), "p")
     assert got.count() == 5
     assert {(r.t, r.p) for r in got.where("k = 1").collect()} == {(5, 1), (40, 2), (None, 3)}
+
+
+def test_one_outlying_key_does_not_fill_a_chunk(spark):
+    df = spark.range(4000).selectExpr("if(id = 0, 1L << 60, id) AS k")
+    got = global_positions(df, "k", "p", chunk_rows=100).orderBy("k").collect()
+    assert [r.p for r in got] == list(range(4000))

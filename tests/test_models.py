@@ -194,3 +194,13 @@ def test_null_scores_and_null_cases_are_named(spark):
     cases = spark.createDataFrame([(1,), (None,)], "case long")
     with pytest.raises(ValueError, match="case is null"):
         split_by_case(cases)
+
+
+def test_scores_of_a_rare_event_are_spread_over_chunks(spark):
+    df = spark.range(3000).selectExpr("int(id % 7 = 0) AS label", "(id * id % 3001 + 1) / 4e9D AS prob")
+    rows = df.collect()
+    pos, neg = [r.prob for r in rows if r.label], [r.prob for r in rows if not r.label]
+    wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+    assert metrics.roc_auc(df).first()[0] == pytest.approx(wins / len(pos) / len(neg))
+    odds = F.log(F.col("prob") / (1 - F.col("prob")))
+    assert df.select(F.floor(odds * metrics.CHUNKS_PER_LOGIT)).distinct().count() > 500

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,14 +88,25 @@ def dense_positions(
 
 
 def global_positions(
-    df: DataFrame, key: str, name: str, keys: Sequence[str] = (), chunks: int = 4096
+    df: DataFrame, key: str, name: str, keys: Sequence[str] = (), chunk_rows: int = 250_000
 ) -> DataFrame:
     """0-based position of every row in the order of a unique integer ``key``.
 
-    The key range is cut into ``chunks`` equal intervals; no task sees more than one of them.
+    The order is cut at approximate quantiles into chunks of about ``chunk_rows`` rows, whatever the
+    spread of the keys; no task sees more than one of them. Positions do not depend on the cuts.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // chunks))
-    chunk = F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("bigint")
-    out = row_positions(df.withColumn("__chunk", chunk), keys, "__chunk", [key], name)
+    chunks = max(1, -(-df.count() // chunk_rows))
+    cuts: list[float] = []
+    if chunks > 1:
+        shares = [i / chunks for i in range(1, chunks)]
+        found = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * chunks))).first()[0]
+        cuts = sorted(set(map(float, found)))
+    rows = df.withColumn("__at", F.col(key).cast("double"))
+    splits = [float("-inf"), *cuts, float("inf")]
+    if cuts:
+        rows = Bucketizer(splits=splits, inputCol="__at", outputCol="__chunk").transform(rows)
+    else:
+        rows = rows.withColumn("__chunk", F.lit(0))
+    rows = rows.withColumn("__chunk", F.col("__chunk").cast("bigint")).drop("__at")
+    out = row_positions(rows, keys, "__chunk", [key], name)
     return out.withColumn(name, F.col(name) - 1).drop("__chunk")

@@ -12,8 +12,9 @@ from tiltframe.functions.chunked import global_positions, with_carry
 from tiltframe.functions.scalar import mean_of
 from tiltframe.operators.scorers import predict_class
 
-# Scores are cut into this many equal intervals of [0, 1] when they have to be ordered.
-SCORE_CHUNKS = 65536
+# Scores are cut into intervals of this share of a unit of their log-odds when they have to be
+# ordered, so that the scores of a rare event are spread as well as those around one half.
+CHUNKS_PER_LOGIT = 4096
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -76,7 +77,9 @@ def _cumulative(df: DataFrame, by: Sequence[str], prob: str) -> DataFrame:
         F.sum(F.when(y, 1).otherwise(0)).cast("bigint").alias("pos"),
         F.sum(F.when(y, 0).otherwise(1)).cast("bigint").alias("neg"),
     )
-    chunk = -F.floor(F.col("score") * SCORE_CHUNKS).cast("bigint")
+    score = F.col("score")
+    odds = F.greatest(score, F.lit(1e-300)) / F.greatest(1 - score, F.lit(1e-17))
+    chunk = -F.floor(F.log(odds) * CHUNKS_PER_LOGIT).cast("bigint")
     carried = with_carry(
         scores.withColumn("__chunk", chunk),
         by,
