@@ -63,27 +63,29 @@ def test_vectors_that_link_with_nothing(spark):
     assert found(df.limit(0)) == {}
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize(("dim", "n"), [(3, 50), (8, 300), (24, 600), (64, 1000), (300, 400)])
+def test_recall_at_the_threshold(dim, n):
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((1500, 64))
+    x = rng.standard_normal((n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = rng.standard_normal(x.shape)
     y -= (y * x).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    a = set(map(tuple, np.stack(vectors.decode(x), 1).tolist()))
-    b = set(map(tuple, np.stack(vectors.decode(0.9 * x + np.sqrt(1 - 0.81) * y), 1).tolist()))
-    assert len({owner for owner, _ in a & b}) >= 0.995 * len(x)
+    least = vectors.least_product(dim, 0.9)
+    a = set(map(tuple, np.stack(vectors.decode(x, least), 1).tolist()))
+    b = set(map(tuple, np.stack(vectors.decode(0.9 * x + np.sqrt(1 - 0.81) * y, least), 1).tolist()))
+    assert len({owner for owner, _ in a & b}) >= 0.99 * len(x)
 
 
 def test_decoding_finds_every_filter():
     rng = np.random.default_rng(5)
     unit = rng.standard_normal((20, 16))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    got = set(map(tuple, np.stack(vectors.decode(unit, 2.0), 1).tolist()))
+    got = set(map(tuple, np.stack(vectors.decode(unit, 0.5), 1).tolist()))
     want = set()
     for c, (rotation, (one, two)) in enumerate(vectors.codes(16)):
         turned = unit @ rotation
         sums = (turned[:, :8] @ one.T)[:, :, None] + (turned[:, 8:] @ two.T)[:, None, :]
-        for owner, a, b in np.argwhere(sums >= 2.0 / 4):
+        for owner, a, b in np.argwhere(sums >= 0.5):
             want.add((owner, (c * vectors.WORDS + a) * vectors.WORDS + b))
     assert got == want

@@ -1,7 +1,7 @@
 """Near duplicates of embeddings by spherical-cap filters of a structured product code.
 
-A filter is a direction; a vector belongs to every filter whose direction it exceeds by ``CAP`` (in
-units of the spread of a random direction). Directions are not stored: a random rotation cuts the
+A filter is a direction; a vector belongs to every filter with whose direction its product exceeds a
+cap, which is such that a random vector is in a share of ``TAIL`` of all filters. Directions are not stored: a random rotation cuts the
 vector into ``PARTS`` parts, each part has a small list of directions, and a filter is one word from
 each list. The filters that a vector exceeds are decoded as a list, part by part, without trying
 them all. ``CODES`` such codes with rotations of their own make misses independent. At 64 dimensions
@@ -44,7 +44,8 @@ SEED = 20_240_117
 CODES = 32
 PARTS = 2
 WORDS = 48
-CAP = 3.15
+#: The share of filters that a random vector exceeds.
+TAIL = 5.9e-4
 CELL = 512
 
 
@@ -63,11 +64,21 @@ def codes(dim: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     return out
 
 
-def decode(unit: np.ndarray, cap: float = CAP) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def least_product(dim: int, similarity: float) -> float:
+    """The cap: a product that random directions exceed with probability ``TAIL``, but no more than
+    ``similarity``, so that in few dimensions caps are still wide enough for two neighbours."""
+    if dim < 4:
+        return similarity
+    x = np.linspace(-1, 1, 200_001)[1:-1]
+    share = np.cumsum((1 - x * x)[::-1] ** ((dim - 3) / 2))
+    return min(similarity, float(x[::-1][np.searchsorted(share, TAIL * share[-1])]))
+
+
+def decode(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(vector, filter) of every filter that each unit vector exceeds, sorted. Part by part, only the
     beginnings are kept that the best words of the parts to come can still lift over the cap."""
     dim = unit.shape[1]
-    least = cap / np.sqrt(dim)
     owners, filters = [], []
     for c, (rotation, directions) in enumerate(codes(dim)):
         turned, at, products = unit @ rotation, 0, []
@@ -114,7 +125,7 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (width.width if width else 0))
 
 
-def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, cap: float = CAP) -> DataFrame:
+def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row with an id."""
     kind = next((f.dataType for f in rows.schema if f.name == "embedding"), None)
     dtype = "<f4" if kind is not None and kind.simpleString() == "array<float>" else "<f8"
@@ -133,7 +144,8 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, cap: float
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, n = np.unique(decode(_matrix(batch.column(0), dtype), cap)[1], return_counts=True)
+            unit = _matrix(batch.column(0), dtype)
+            found, n = np.unique(decode(unit, least_product(unit.shape[1], similarity))[1], return_counts=True)
             yield pa.record_batch([pa.array(found), pa.array(n)], ["filter", "n"])
 
     # At most one row per filter, whose number is fixed.
@@ -145,7 +157,8 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, cap: float
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                owner, found = decode(_matrix(batch.column(1), dtype), cap)
+                unit = _matrix(batch.column(1), dtype)
+                owner, found = decode(unit, least_product(unit.shape[1], similarity))
                 first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
                 sets = pa.array([found[a:b].astype("<i4").tobytes() for a, b in zip(first, first[1:])], pa.binary())
                 many = cells[found]
