@@ -27,7 +27,7 @@ class Plain:
         self.n = sum(self.one.values())
         of = lambda c: [sum(v == r for v in c.values()) for r in range(1, katz.K + 2)]
         self.d1, self.d2 = katz.discounts(of(self.one)), katz.discounts(of(self.two))
-        keep = 1 - 1 / (self.n + 1)
+        keep = 1 - 1 / (self.n + 2)
         self.kept = lambda d, r: d[r - 1] if r <= katz.K else keep
         self.p1 = {t: self.kept(self.d1, r) * r / self.n for t, r in self.one.items()}
         self.unknown = 1 - math.fsum(self.p1.values())

@@ -2,7 +2,7 @@
 
 Counts of pairs (history, token) and of tokens are taken from the training documents; a history is
 the token before, or the start. With k = ``K``, counts r up to k are discounted by Good-Turing, larger
-ones keep all but a 1 / (N + 1) share, so that every history leaves some mass:
+ones keep all but a 1 / (N + 2) share, so that every history leaves some mass:
 
     P(t | h) = d2(r) r / c(h)              if r = c(h, t) > 0
              = alpha(h) P(t)               else, if c(h) > 0
@@ -52,8 +52,8 @@ from tiltframe.session import new_table_path
 #: Counts that are discounted.
 K = 5
 HEAVY = 1024
-BUCKET_TOKENS = 4_000_000
-CHUNK_TOKENS = 3_000_000
+BUCKET_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 START = np.uint64(0x57A2757A2757A275)
 NO_ID = -(1 << 63)
@@ -293,7 +293,7 @@ class Model:
         self.tokens, self.words = totals[0], totals[1]
         self.d1, self.d2 = discounts(totals[2 : 3 + K]), discounts(totals[3 + K : 4 + 2 * K])
         self.documents = documents
-        self.keep = 1 - 1 / (self.tokens + 1)
+        self.keep = 1 - 1 / (self.tokens + 2)
         n1 = np.array(totals[2 : 2 + K]) * np.arange(1, K + 1)
         mass = float(n1 @ self.d1) + self.keep * (self.tokens - int(n1.sum()))
         self.unknown = 1 - mass / self.tokens if self.tokens else 1.0
