@@ -29,7 +29,7 @@ def texts():
 def test_chain_finds_toxic_words_and_their_forms(spark, frame, labels):
     chain = toxicity.fit(frame(list(texts())), labels)
     assert chain.names == ("poor", "toxic") and len(chain.links[1]) == 1
-    new = [(1000, "a grubblz walks in here"), (1001, "a quiet day by the sea"), (1002, None), (1003, ""), (None, "VILE!")]
+    new = [(1000, "a grubblz walks in here"), (1001, "a quiet day by the sea"), (1002, None), (1003, ""), (None, "VILE grubblers!")]
     got = {r.doc_id: r.toxic for r in toxicity.score(frame(new), chain).collect()}
     assert got == {1000: True, 1001: False, 1002: False, 1003: False, None: True}
     kept = toxicity.without_toxic(frame(new), chain)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltframe.llm.bitmap import hash_bitmap, may_hold
-from tiltframe.llm.text import window_hashes, word_hashes
+from tiltframe.llm.text import slices, window_hashes, word_hashes
 from tiltframe.session import new_table_path
 
 MIN_MATCH = 4
@@ -42,7 +42,7 @@ def seeds(rows: DataFrame, key: str, min_match: int = MIN_MATCH, bitmap: np.ndar
     """(key, seed, place, n_words) of every seed of every text, or of those that the bitmap may hold."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             words, first = word_hashes(batch.column(1), plain=True)
             runs = window_hashes(words, min_match)
             sizes = np.diff(first)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tiltframe.llm.bitmap import hash_bitmap, may_hold
 from tiltframe.llm.components import components
-from tiltframe.llm.text import mix, shingle_sets, word_hashes
+from tiltframe.llm.text import mix, shingle_sets, slices, word_hashes
 from tiltframe.session import new_table_path
 
 #: Sets that share a hash from which on it is ordered last.
@@ -88,7 +88,7 @@ def _frequent_among(docs: DataFrame, chosen) -> np.ndarray:
     """The bitmap of the hashes that ``chosen`` picks from many sets."""
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = shingle_sets(*word_hashes(batch.column(1)), k)
             parts = [chosen(s) for s in sets if len(s)]
             found = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -132,7 +132,7 @@ def set_table(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray) -> Data
     least = smallest_linked(percent)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = shingle_sets(*word_hashes(batch.column(1)), k)
             sums, others, prefixes, rare, bits = [], [], [], [], []
             for s in sets:
@@ -166,7 +166,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     bitmap = hash_bitmap(wanted.select(mark.alias("mark")), "mark")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             batch = batch.filter(pa.array(may_hold(bitmap, batch.column(2).to_numpy().view(np.uint64))))
             sets = shingle_sets(*word_hashes(batch.column(1)), k)
             data = pa.array([s.tobytes() for s in sets], pa.binary())

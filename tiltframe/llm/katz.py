@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltframe.llm.packed import pack, small, steps, unpack
-from tiltframe.llm.text import mix, word_hashes
+from tiltframe.llm.text import SLICE, mix, slices, word_hashes
 from tiltframe.session import new_table_path
 
 #: Counts that are discounted.
@@ -82,7 +82,7 @@ def _frequent(rows: DataFrame) -> tuple[int, np.ndarray]:
     far as this shows within batches; there can be no more than HEAVY."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             words, first = word_hashes(batch.column(0))
             total = len(words) + len(first) - 1
             unique, n = np.unique(words, return_counts=True)
@@ -103,7 +103,7 @@ def _exact(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
     """The training counts of the frequent tokens."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             words, first = word_hashes(batch.column(0))
             at = np.minimum(np.searchsorted(heavy, words), max(0, len(heavy) - 1))
             hit = np.flatnonzero(heavy[at] == words) if len(heavy) else np.zeros(0, np.int64)
@@ -126,7 +126,7 @@ def _positions(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, data): every position of every document, packed."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3, 3 * SLICE):
             words, first = word_hashes(batch.column(3))
             ids, prints, train = (batch.column(i).to_numpy() for i in range(3))
             at = 0

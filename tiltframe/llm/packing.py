@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiltframe.llm.text import slices
 from tiltframe.llm.tokens import encoder
 from tiltframe.session import new_table_path
 
@@ -52,7 +53,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path).encode
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, found in zip(batch.column(0).to_pylist(), code(batch.column(1)), strict=True):
                 ids = found.astype("<u4").tobytes() + end

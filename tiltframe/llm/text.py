@@ -8,12 +8,16 @@ on nothing but the word, and are the same in every process.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C55)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Bytes of text that are worked on at once, but for a single longer text.
+SLICE = 1 << 22
 #: Bytes hashed at a time; a longer run is only met where one document or one word is longer.
 BLOCK = 1 << 21
 
@@ -37,6 +41,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return series(BASE), series(BASE_INVERSE)
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of record batches in pieces of about ``size`` bytes of the text column, which bounds
+    what a worker makes of them."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the place where each text begins; a null is empty."""
     if column.null_count:

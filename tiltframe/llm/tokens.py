@@ -20,7 +20,7 @@ from tiltframe.llm.text import _powers, mix, text_bytes
 #: Code points worked on at a time.
 BLOCK = 1 << 20
 #: Parts whose ids a worker keeps; beyond, it begins anew.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 300_000
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # The code points with the White_Space property (fixed values).

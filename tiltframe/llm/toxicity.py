@@ -7,7 +7,8 @@ the fold.
 
 Features are the presence of words and of word beginnings (4 and 6 bytes, which carry a stem through
 its endings) that tell the labelled classes apart: for each category the ``FEATURES`` strongest by
-chi-square among those in at least ``MIN_DOCS`` labelled documents. The models are fitted by Spark ML
+chi-square among those in at least ``MIN_DOCS`` labelled documents, and none below ``MIN_CHI``, which
+chance alone hardly reaches among millions of words. The models are fitted by Spark ML
 on about ``SAMPLE`` labelled documents at most, chosen by a hash of their id; this bounds the fitting
 at any size. Scoring reads every document once and moves no text.
 
@@ -30,7 +31,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltframe.llm.text import word_features
+from tiltframe.llm.text import slices, word_features
 from tiltframe.session import new_table_path
 
 #: Categories in the order of the chain: name and the SQL over ``labels`` that gives 0 or 1.
@@ -38,6 +39,7 @@ CHAIN = (("poor", "1 - quality"), ("toxic", "toxic"))
 SAMPLE = 20_000
 FEATURES = 256
 MIN_DOCS = 3
+MIN_CHI = 35.0
 FOLDS = 3
 PREFIXES = (4, 6)
 PARTS = 6
@@ -113,7 +115,7 @@ def strongest(rows: DataFrame, names: tuple[str, ...]) -> np.ndarray:
     """The sorted hashes of the features that tell the categories apart."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             owner, hashed = text_features(batch.column(0))
             unique, which = np.unique(hashed, return_inverse=True)
             columns = [pa.array(unique.view(np.int64)), pa.array(np.bincount(which, minlength=len(unique)))]
@@ -133,8 +135,8 @@ def strongest(rows: DataFrame, names: tuple[str, ...]) -> np.ndarray:
         if not 0 < ones < n:
             continue
         with_, a = F.col("docs").cast("double"), F.col(name).cast("double")
-        chi = (a * n - with_ * ones) ** 2 / (with_ * (n + 1 - with_) * ones * (n - ones))
-        best = counts.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(FEATURES)
+        chi = n * (a * n - with_ * ones) ** 2 / (with_ * (n + 1 - with_) * ones * (n - ones))
+        best = counts.select("feature", chi.alias("chi")).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "feature").limit(FEATURES)
         chosen |= {r.feature for r in best.collect()}
     return np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
 
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
     features = strongest(rows, names)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             owner, feature = known_features(batch.column(0), features)
             x = np.zeros((batch.num_rows, len(features)), np.float64)
             x[owner, feature] = 1
@@ -210,7 +212,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, target: s
     at = chain.names.index(target)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             p = chain.probabilities(batch.column(1))
             columns = [batch.column(0), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, at] >= threshold)]
             yield pa.record_batch(columns, ["doc_id", *names, target])
@@ -225,7 +227,7 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -
     text_at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_at):
             toxic = chain.probabilities(batch.column(text_at).cast(pa.string()))[:, at] >= threshold
             yield batch.filter(pa.array(~toxic))
 
