@@ -10,7 +10,8 @@ that links lead to.
    those found in at least ``FREQUENT`` sets, counted as far as prefixes can reach, are kept as a bitmap
    of fixed size. Any bitmap gives a right order; a good one makes prefixes rare.
 3. Sets with the same prefix and size become one group, and only groups are joined, on the hashes of
-   their prefixes. First each group meets the smallest one of similar size in each prefix hash. Pairs
+   their prefixes. First each group meets, in each prefix hash, the one of similar size with the fewest rare hashes (in
+   a family of copies, the one with the fewest changes). Pairs
    that pass the filters are expanded into members and verified on whole sets, which are hashed again
    from the texts of candidates only. Links make components; then only groups of different components
    still meet, on hashes that more than one component has. A large family of near copies is one
@@ -258,7 +259,7 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     step = float(-1 / np.log(ratio))
     banded = index.withColumn("band", F.floor(F.log(F.col("n").cast("double")) * step))
     low = banded.groupBy("hash", "band").agg(
-        F.min(F.struct("grp", *KIND, "every", "some")).alias("low"), F.count(F.lit(1)).alias("sets")
+        F.min(F.struct("rare", "grp", "n", "place", "every", "some")).alias("low"), F.count(F.lit(1)).alias("sets")
     )
     low = _second(low.where("sets > 1").select("hash", "band", "low.*"), ["hash", "band"])
     near = banded.join(low, ["hash", "band"]).where("grp <> grp2").where(_allowed(percent))
@@ -327,10 +328,13 @@ def _crossing(index: DataFrame, percent: int) -> DataFrame:
         .join(_second(by_root, ["hash"]), second)
         .where("root < root2")
         .where(_allowed(percent))
-        .select("hash", *KIND, "root", *(f"{c}2" for c in KIND), "root2")
+        .select("n", "rare", "root", "n2", "rare2", "root2")
+        .distinct()
     )
-    members = late.select("hash", *KIND, "root", "grp")
-    met = root_pairs.join(members, [*first, "root"]).join(_second(members, ["hash"]), [*second, "root2"])
+    # Once per pair of components and sizes, not once per hash; groups that do not share the hash may
+    # be among them, and fail later.
+    members = late.select("n", "rare", "root", "grp").distinct()
+    met = root_pairs.join(members, ["n", "rare", "root"]).join(_second(members, []), ["n2", "rare2", "root2"])
     return found.select(*ends).unionByName(met.select(*ends)).distinct()
 
 
