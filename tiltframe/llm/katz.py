@@ -20,8 +20,7 @@ bucket of its token; positions of a frequent token are spread by their history.
 follows the number of positions, so a bucket is bounded. A bucket counts its tokens and pairs, and
 leaves, in a table partitioned by kind,
 
-* ``doc``: how many of each document's positions have which count (for small counts), and the sums of
-  the logarithms of the large ones;
+* ``doc``: for each position of each document the count of its token and of its pair;
 * ``history``: for each history how many pairs and tokens of which count follow it;
 * ``miss``: the histories of the positions whose pair was never seen;
 * ``token`` and ``pair``: the counts themselves, if ``tables`` are asked for.
@@ -36,7 +35,6 @@ no rows. Further columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,22 +224,18 @@ def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, blocks: in
     del key
 
     rows: list[tuple[str, int, bytes]] = []
-    # Documents.
-    seen = twos > 0
-    kind = np.where(seen, np.minimum(twos, K + 1) - 1, K + 1 + np.minimum(ones, K + 1))
-    counts = np.bincount(doc * CLASSES + kind, minlength=base * CLASSES).reshape(base, CLASSES)
-    logs = np.log10(np.maximum(ones, 1))
-    sums = (
-        np.bincount(doc, np.log10(ones + 1.0), base),
-        np.bincount(doc, logs * (token != END), base),
-        np.bincount(doc, np.where(twos > K, np.log10(np.maximum(twos, 1)), 0.0), base),
-        np.bincount(doc, np.where(~seen & (ones > K), logs, 0.0), base),
-    )
-    known_docs, copies = np.bincount(doc, ones > 0, base), np.bincount(doc, token == END, base)
+    # Documents: the two counts of each of their positions here.
+    by_doc = np.argsort(doc, kind="stable")
+    each_one, each_two = ones[by_doc], twos[by_doc]
+    sizes, copies = np.bincount(doc, minlength=base), np.bincount(doc, token == END, base).astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
     for b, own in _by_block(_doc_block(ids, prints, blocks), blocks):
         own = own[np.argsort(ids[own], kind="stable")]
-        columns = [small(c[own].astype(np.int64)) for c in (*counts.T, known_docs, copies)]
-        rows.append(("doc", b, pack(steps(ids[own]), prints[own], *columns, *(s[own] for s in sums))))
+        n = sizes[own]
+        at = np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        data = (small(n), small(copies[own]), small(each_one[at]), small(each_two[at]))
+        rows.append(("doc", b, pack(steps(ids[own]), prints[own], *data)))
+    seen = twos > 0
     # Histories.
     learned_pairs = pair_count > 0
     heads = order[starts[learned_pairs]]
@@ -272,6 +266,22 @@ def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, blocks: in
     return rows, totals
 
 
+def _by_class(doc: np.ndarray, ones: np.ndarray, twos: np.ndarray, n: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """For each document how many positions are of which class (count of a pair that was seen, or else
+    count of the token), and the sums of logarithms that the classes leave open."""
+    seen = twos > 0
+    kind = np.where(seen, np.minimum(twos, K + 1) - 1, K + 1 + np.minimum(ones, K + 1))
+    counts = np.bincount(doc * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES).T
+    logs = np.log10(np.maximum(ones, 1))
+    sums = (
+        np.bincount(doc, np.log10(ones + 1.0), n),
+        np.bincount(doc, logs, n),
+        np.bincount(doc, np.where(twos > K, np.log10(np.maximum(twos, 1)), 0.0), n),
+        np.bincount(doc, np.where(~seen & (ones > K), logs, 0.0), n),
+    )
+    return counts, sums
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """d(r) for r = 1 to K from the counts of counts n(1) to n(K + 1)."""
     r = np.arange(1, K + 1)
@@ -289,10 +299,9 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """The numbers that all documents share."""
 
-    def __init__(self, totals: list[int], documents: int):
+    def __init__(self, totals: list[int]):
         self.tokens, self.words = totals[0], totals[1]
         self.d1, self.d2 = discounts(totals[2 : 3 + K]), discounts(totals[3 + K : 4 + 2 * K])
-        self.documents = documents
         self.keep = 1 - 1 / (self.tokens + 2)
         n1 = np.array(totals[2 : 2 + K]) * np.arange(1, K + 1)
         mass = float(n1 @ self.d1) + self.keep * (self.tokens - int(n1.sum()))
@@ -316,6 +325,8 @@ class Model:
         n = max(1, self.tokens)
         out = out + log(self.unknown) * counts[K + 1] + log(self.d1 * r / n) @ counts[K + 2 : 2 * K + 2]
         out = out + (log(self.keep) - log(n)) * counts[2 * K + 2] + sums[3]
+        # c(h) of all positions whose history is known: those of the tokens, as each token but the end
+        # is the history of the next, and the start's, which is that of the end.
         return out - sums[1]
 
 
@@ -348,8 +359,7 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
         totals[1] += 1
         if n <= K + 1:
             totals[1 + n] += 1
-    documents = rows.agg(F.sum("train")).first()[0] or 0
-    model = Model(totals, documents)
+    model = Model(totals)
 
     def meet(key, own: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(d) for d in own["data"][own["kind"] == "history"]]
@@ -389,15 +399,17 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
         at[order] = np.cumsum(new) - 1
         n = int(new.sum())
         docs_at = at[: len(ids)]
-        columns = [np.bincount(docs_at, np.concatenate([f[c] for f in found]), n) for c in range(2, 2 + CLASSES + 6)]
-        counts, (known, copies), sums = np.stack(columns[:CLASSES]), columns[CLASSES : CLASSES + 2], np.stack(columns[CLASSES + 2 :])
+        copies = np.bincount(docs_at, np.concatenate([f[3] for f in found]), n)
+        place = np.repeat(docs_at, np.concatenate([f[2] for f in found]))
+        ones = np.concatenate([f[4].astype(np.int64) for f in found])
+        twos = np.concatenate([f[5].astype(np.int64) for f in found])
+        counts, sums = _by_class(place, ones, twos, n)
+        known = np.bincount(place, ones > 0, n)
         values = model.scores(counts, sums)
         if extra:
             values = values + np.bincount(at[len(ids) :], np.concatenate([f[2] for f in extra]), n)
-        if model.documents:
-            values = values - copies * math.log10(model.documents)
         tokens = counts.sum(0)
-        base = sums[0] - tokens * math.log10(model.tokens + model.words + 1)
+        base = sums[0] - tokens * np.log10(model.tokens + model.words + 1)
         return pd.DataFrame(
             {
                 "doc": all_ids[order][new],
