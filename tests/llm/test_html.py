@@ -27,6 +27,14 @@ def test_broken_pages():
     assert html.extract("<div>" * 300 + "deep", []) == "deep"
 
 
+def test_pages_cut_inside_a_tag():
+    for rest in ("<img alt=" + "x" * 5000, "<a title='" + "it\"s " * 2000, "<a " + "b='c' d " * 1000, "<b" * 50_000, "<!-- <p>" + "x" * 5000):
+        assert html.extract("<p>before</p>" + rest, []).startswith("before")
+    assert html.extract("<p>a</p><!-- b > c", []) == html.extract("<p>a</p><!-- b", []) == "a"
+    # A quote that closes nothing: the tag ends at the next sign of an end.
+    assert html.extract("<p title=\"x>one</p>two \" three", []) == "one\n\ntwo \" three"
+
+
 def test_hosts_agree_on_a_path(spark):
     def page(text):
         more = "<div class='box'>" + "other words of another kind " * 3 + "</div>"

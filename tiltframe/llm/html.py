@@ -77,9 +77,10 @@ def _unwanted(names: str) -> bool:
     return False
 
 
-# A comment, a declaration, or a tag with its attributes, whose quoted values may hold anything.
+# The start of a comment, a declaration, or a tag with its attributes, whose quoted values may hold anything. What a
+# tag has taken is not given back, so a tag costs one pass; if its quotes leave no end, it ends at the next ">".
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S
+    r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?=>)|[^>]*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is text up to their end tag.
@@ -101,12 +102,17 @@ class Page:
 
     def _read(self, html: str) -> None:
         at = 0
-        while found := MARKUP.search(html, at):
+        # Behind the last ">" no tag can end.
+        last = html.rfind(">") + 1
+        while found := MARKUP.search(html, at, last):
             if found.start() > at:
                 self.handle_data(html[at : found.start()])
             at = found.end()
             tag = found[2]
             if tag is None:
+                if found[0] == "<!--":
+                    end = html.find("-->", at)
+                    at = end + 3 if end >= 0 else len(html)
                 continue
             tag = tag.lower()
             if found[1]:
@@ -120,8 +126,9 @@ class Page:
                 self.handle_endtag(tag)
             elif attributes.endswith("/") and tag not in VOID and tag not in BLOCKS:
                 self.handle_endtag(tag)
-        if at < len(html):
-            self.handle_data(html[at:])
+        rest = html[at:].partition("<!--")[0]
+        if rest:
+            self.handle_data(rest)
 
     def _end_block(self) -> None:
         if self.words:
