@@ -35,6 +35,35 @@ def test_pages_cut_inside_a_tag():
     assert html.extract("<p title=\"x>one</p>two \" three", []) == "one\n\ntwo \" three"
 
 
+def test_no_part_of_an_article_is_lost():
+    body = "<p>" + "long text of the story " * 40 + "</p>"
+    story = ("long text of the story " * 40).strip()
+    for page, want in (
+        (f"<main><h1>title</h1><p>lead</p><div class=body>{body}</div></main>", f"title\n\nlead\n\n{story}"),
+        (f"<main><h1>title</h1><article>{body}</article></main>", f"title\n\n{story}"),
+        (f"<main><div class=a>{body}</div><div class=b><p>second column</p></div></main>", f"{story}\n\nsecond column"),
+        (f"<body><h1>title</h1><div class=story>{body}</div></body>", f"title\n\n{story}"),
+        (f"<div class='content no-sidebar'>{body}</div>", story),
+        (f"<div class='elementor-widget'><div class='x-widget'>{body}</div></div><div class=ad>Buy</div>", story),
+    ):
+        assert html.extract(page, []) == want
+        # Nor where the host's winner is a smaller part of it.
+        assert html.extract(page, [html.vote(page)[0], "/main/div.body", "/main/article", "/main/div.a"]) == want
+        assert html.extract(page, ["/main/div.body", "/main/article", "/main/div.a"]) == want
+
+
+def test_pages_of_another_template_keep_their_article(spark):
+    first = "<html><body><div class='story'><p>{}</p></div></body></html>"
+    second = "<html><body><div class='story'><p>teaser</p></div><div class='report'><p>{}</p></div></body></html>"
+    story = ("words of the article " * 50).strip()
+    rows = [(i, f"http://h.org/{i}", first.format(story)) for i in range(6)]
+    rows += [(i, f"http://h.org/{i}", second.format(story)) for i in range(6, 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html.main_text(df).collect()} == {story}
+    # A template that the host has not ranked loses nothing either.
+    assert html.extract(second.format(story), ["/html/body/div.story"], [0.9]) == f"teaser\n\n{story}"
+
+
 def test_hosts_agree_on_a_path(spark):
     def page(text):
         more = "<div class='box'>" + "other words of another kind " * 3 + "</div>"

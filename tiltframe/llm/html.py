@@ -2,10 +2,16 @@
 
 Each page's containers are scored by the text that is left in them once menus, forms, adverts and the
 like are out; the page votes for the generalised path (tags with classes, numbers masked) of the
-smallest container that holds most of it. Votes are counted per host in Spark, and every page is
-extracted again from the containers on its host's winning paths, best first; a page that has none of
-them is extracted from its own best container. So a page with little text of its own still gets the
-container that its host's other pages agree on.
+smallest container that holds most of it, widened to all text of the main or article element around it.
+A part that a class or id alone marks as boilerplate stays in if it holds most of the page's text.
+
+Votes are counted per host in Spark, beside how many pages have each of these paths at all, and every
+page is extracted again from the containers on its host's winning paths, best first. A page with a best
+container of its own keeps it, unless its path is one that the host's pages choose less often, where
+they have it, than the winner's. So a page with little text of its own still gets the container that its
+host's other pages agree on, and a page of another template keeps its article. If the host has not
+ranked the page's own path, a shorter text of the winner is joined with the page's own. Headings and
+paragraphs that lie beside a container, in no other one, belong to it.
 
 A block is a block-level element's own text. White space in a block becomes one space, blocks are
 joined in page order by an empty line. Character references are decoded. A line break element is
@@ -91,12 +97,22 @@ class Page:
     """The containers and the blocks of one page."""
 
     def __init__(self, html: str):
+        self._parse(html, frozenset())
+        half = (sum(max(0, len(t) - n) for _, t, n in self.blocks) + self.marked_text) / 2
+        if spared := frozenset(n for n, size in self.marked.items() if size > half):
+            self._parse(html, spared)
+
+    def _parse(self, html: str, spared: frozenset[int]) -> None:
         self.tags, self.parents, self.paths, self.states = ["#"], [-1], [""], [""]
         self.open = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.words: list[str] = []
         self.linked = 0
         self.links = 0
+        # Nodes that are out by their class or id alone, with the text in each that is no link.
+        self.spared = spared
+        self.marked: dict[int, int] = {}
+        self.marked_text = 0
         self._read(html)
         self._end_block()
 
@@ -160,11 +176,11 @@ class Page:
         if above != "out":
             if tag in SKIPPED or "hidden" in values or values.get("role") in ("navigation", "banner", "search", "contentinfo"):
                 state = "out"
-            elif names and tag not in TRUSTED and _unwanted(names):
-                state = "out"
-            elif tag == "article" and _unwanted(values.get("class", "")) and "article" in self._open_tags():
-                state = "out"
-            elif tag == "header":
+            elif names and self._marked(tag, names, values.get("class", "")):
+                if len(self.tags) not in self.spared:
+                    state = "marked"
+                    self.marked[len(self.tags)] = 0
+            elif tag == "header" and state != "marked":
                 state = "headings" if {"article", "main"} & self._open_tags() else "out"
         kind = tag
         if "class" in values:
@@ -176,6 +192,11 @@ class Page:
         self.open.append(len(self.tags) - 1)
         self.links += tag == "a"
 
+    def _marked(self, tag: str, names: str, classes: str) -> bool:
+        if tag == "article":
+            return _unwanted(classes) and "article" in self._open_tags()
+        return tag not in TRUSTED and _unwanted(names)
+
     def _open_tags(self) -> set[str]:
         return {self.tags[n] for n in self.open}
 
@@ -204,46 +225,78 @@ class Page:
         state = self.states[node]
         if state == "out" or state == "headings" and not HEADINGS & {self.tags[n] for n in self.open}:
             return
+        if state == "marked":
+            size = 0 if self.links else len(data.strip())
+            self.marked_text += size
+            for n in self.open:
+                if n in self.marked:
+                    self.marked[n] += size
+            return
         self.words.append(unescape(data) if "&" in data else data)
         if self.links:
             self.linked += len(data.strip())
 
-    def scores(self) -> dict[int, int]:
-        """Text that is no link, in each container."""
+    def scores(self, links: bool = False) -> dict[int, int]:
+        """Text in each container, without that of links or with it."""
         out: dict[int, int] = {}
         for node, text, linked in self.blocks:
-            own = max(0, len(text) - linked)
+            own = len(text) if links else max(0, len(text) - linked)
             while node > 0:
                 if self.tags[node] in CONTAINERS:
                     out[node] = out.get(node, 0) + own
                 node = self.parents[node]
         return out
 
+    def scope(self, node: int) -> int:
+        """The outermost main or article element that holds this container or is it, or 0."""
+        found = 0
+        while node > 0:
+            if self.tags[node] in ("main", "article"):
+                found = node
+            node = self.parents[node]
+        return found
+
     def best(self) -> int:
         """The container that stands for the page: an article with most of the text, or else the
-        smallest container with most of it. 0, the whole page, if there is no text."""
+        smallest container with most of it; inside a main or article element, the smallest around that
+        with all text of the element. 0, the whole page, if there is no text."""
         scores = self.scores()
         total = max(scores.values(), default=0)
         if not total:
             return 0
         full = [n for n, s in scores.items() if s >= SHARE * total]
         articles = [n for n in full if self.tags[n] == "article"]
-        return max(articles or full)
+        node = max(articles or full)
+        if scope := self.scope(node):
+            texts = self.scores(links=True)
+            while texts.get(node, 0) < texts[scope]:
+                node = self.parents[node]
+        return node
+
+    def _above(self, node: int) -> Iterator[int]:
+        while node > 0:
+            yield node
+            node = self.parents[node]
 
     def text_of(self, nodes: set[int]) -> str:
-        """The blocks in any of these containers."""
+        """The blocks in any of these containers, or beside one in no other container."""
+        around = {n for node in nodes for n in self._above(node)}
         kept = []
         for node, text, _ in self.blocks:
-            while node > 0 and node not in nodes:
-                node = self.parents[node]
-            if node in nodes:
-                kept.append(text)
+            nearest = 0
+            for n in self._above(node):
+                if n in nodes:
+                    break
+                if not nearest and self.tags[n] in CONTAINERS:
+                    nearest = n
+            else:
+                if not (nearest in around if nearest else nodes):
+                    continue
+            kept.append(text)
         return "\n\n".join(kept)
 
 
-def vote(html: str) -> tuple[str, float] | None:
-    """The path of the page's best container and its weight: its share of the page's text."""
-    page = Page(html)
+def _vote(page: Page) -> tuple[str, float] | None:
     best = page.best()
     if not best:
         return None
@@ -251,14 +304,44 @@ def vote(html: str) -> tuple[str, float] | None:
     return page.paths[best], scores[best] / max(scores.values())
 
 
-def extract(html: str, winners: list[str]) -> str:
-    """The text in the containers on the first winning path that has any, or in the page's best one."""
+def vote(html: str) -> tuple[str, float] | None:
+    """The path of the page's best container and its weight: its share of the page's text."""
+    return _vote(Page(html))
+
+
+def ballot(html: str) -> dict[str, float]:
+    """The paths of all containers with text of the page, with the weight of the one it votes for, else 0."""
     page = Page(html)
+    paths = {page.paths[n]: 0.0 for n in page.scores(links=True)}
+    if found := _vote(page):
+        paths[found[0]] = found[1]
+    return paths
+
+
+def extract(html: str, winners: list[str], shares: list[float] | None = None) -> str:
+    """The text in the containers on the first winning path that has any, or in the page's best one if
+    that is the better for this page. ``shares``: for each winner the votes for it by the pages that
+    have it."""
+    page = Page(html)
+    best = page.best()
+    share = dict(zip(winners, shares or [], strict=False))
     for path in winners:
         nodes = {n for n, p in enumerate(page.paths) if p == path}
-        if nodes and (text := page.text_of(nodes)):
-            return text
-    return page.text_of({page.best()})
+        inside = page.blocks and any(nodes & set(page._above(b[0])) for b in page.blocks)
+        if not inside:
+            continue
+        own = page.paths[best]
+        if not best or own == path:
+            return page.text_of(nodes)
+        if own in share:
+            if share[own] > share[path]:
+                return page.text_of({n for n, p in enumerate(page.paths) if p == own})
+        elif len(page.text_of(nodes)) < len(page.text_of({best})):
+            nodes = nodes | {best}
+        if page.scope(best) and any(best in page._above(n) for n in nodes):
+            nodes = nodes | {best}
+        return page.text_of(nodes)
+    return page.text_of({best})
 
 
 def host_of(url):
@@ -266,17 +349,16 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
-    """host and its winning paths, best first."""
+    """host, its winning paths, best first, and for each the votes for it by the pages that have it."""
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths, weights = [], [], []
             for host, html in zip(batch.column(0), batch.column(1), strict=True):
-                found = vote(html.as_py() or "")
-                if found:
+                for path, weight in ballot(html.as_py() or "").items():
                     hosts.append(host.as_py())
-                    paths.append(found[0])
-                    weights.append(found[1])
+                    paths.append(path)
+                    weights.append(weight)
             yield pa.record_batch(
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.float64())],
                 ["host", "path", "weight"],
@@ -285,10 +367,15 @@ def host_paths(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
     votes = rows.mapInArrow(voted, "host string, path string, weight double")
     # Rounded, so that sums do not depend on the order of rows.
-    counted = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("weight") * 1000).cast("long")).alias("votes"))
+    counted = votes.groupBy("host", "path").agg(
+        F.sum(F.round(F.col("weight") * 1000).cast("long")).alias("votes"), F.count(F.lit(1)).alias("pages")
+    )
+    counted = counted.where("votes > 0")
     order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     first = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= winners)
-    return first.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path")))["path"].alias("paths"))
+    share = (F.col("votes") / (1000 * F.col("pages"))).alias("share")
+    ranked = first.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path", share))).alias("ranked"))
+    return ranked.select("host", F.col("ranked.path").alias("paths"), F.col("ranked.share").alias("shares"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -304,10 +391,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                extract(html.as_py() or "", paths.as_py() or [])
-                for html, paths in zip(batch.column(2), batch.column(3), strict=True)
+                extract(html.as_py() or "", paths.as_py() or [], shares.as_py())
+                for html, paths, shares in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)
             ]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    out = rows.select("page_id", "url", "html", "paths").mapInArrow(extracted, "page_id long, url string, text string")
+    out = rows.select("page_id", "url", "html", "paths", "shares").mapInArrow(extracted, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
