@@ -39,6 +39,16 @@ def test_long_runs_and_nulls(tokenizer):
     assert [f.tolist() for f in found] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_are_one_id(spark, frame):
+    default = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", None, "plain", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", ""]
+    found = encoder(PATH, added=True).encode(pa.array(texts, pa.string()))
+    assert found[0].tolist() == [64, 220, 50256, 275]
+    assert [f.tolist() for f in found] == [default.encode(t or "", add_special_tokens=False).ids for t in texts]
+    docs = list(enumerate(texts))
+    check(packing.pack(packing.token_pieces(frame(docs), PATH, size=64), size=64).collect(), docs, default, 64)
+
+
 def check(rows, docs, tokenizer, size):
     """Every rule of the packed rows; the number of sequences."""
     filled = {}

@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path).encode
+        code = encoder(path, added=True).encode
         for batch in slices(batches, 1):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, found in zip(batch.column(0).to_pylist(), code(batch.column(1)), strict=True):

@@ -3,7 +3,9 @@
 A byte-level tokenizer cuts a text into parts (a word with the space before it, a number, other
 signs, white space) and encodes each part by itself. Here the parts of a block of texts are found
 with numpy, the ids of a part are looked up by its hash, and only parts not met before go to the
-tokenizer's model. The ids are those of encoding each text alone.
+tokenizer's model. The ids are those of encoding each text alone. Texts that hold one of the tokenizer's
+added tokens (``<|endoftext|>``), which stand for one id each, are encoded by the tokenizer itself, unless
+``added`` is false: then they are read as plain text.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tiltframe.llm.text import _powers, mix, text_bytes
 
@@ -79,11 +82,13 @@ def part_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self._clear()
 
     def _clear(self) -> None:
@@ -133,6 +138,13 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string column."""
+        out = self._plain(column)
+        for token in self.added:
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _plain(self, column: pa.Array) -> list[np.ndarray]:
         data, offsets = text_bytes(column)
         out: list[np.ndarray] = []
         none = np.zeros(0, np.uint32)
@@ -156,6 +168,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The worker's encoder, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, added)
