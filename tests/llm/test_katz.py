@@ -101,3 +101,16 @@ def test_discounts_fall_back_to_absolute():
     assert katz.discounts([4, 1, 0, 0, 0, 0]) == pytest.approx((np.arange(1, 6) - 4 / 6) / np.arange(1, 6))
     good = katz.discounts([1000, 400, 220, 140, 100, 75])
     assert ((good > 0) & (good < 1)).all() and (np.diff(good) > 0).all()
+
+
+def test_one_bad_count_of_counts_keeps_good_turing():
+    # The tokens of sf0.01: 5 n(5) / (4 n(4)) alone is above 1.
+    n = [49663, 12919, 5197, 2729, 2383, 1067]
+    kind, d = katz.chosen_discounts(n)
+    assert kind == "Good-Turing, smoothed" and ((d > 0) & (d < 1)).all() and (np.diff(d) > 0).all()
+    slope = np.polyfit(np.log(np.arange(1, 7)), np.log(n), 1)[0]
+    r, common = np.arange(1, 6), 6.0 ** (1 + slope)
+    assert d == pytest.approx((((r + 1) / r) ** (1 + slope) - common) / (1 - common))
+    assert katz.chosen_discounts([1000, 400, 220, 140, 100, 75])[0] == "Good-Turing"
+    assert katz.chosen_discounts([5000, 1200, 500, 0, 200, 120])[0] == "Good-Turing, smoothed"
+    assert katz.chosen_discounts([10, 10, 10, 10, 10, 10])[0] == "absolute"

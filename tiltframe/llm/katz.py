@@ -12,7 +12,10 @@ ones keep all but a 1 / (N + 2) share, so that every history leaves some mass:
     alpha(h) = (1 - sum_seen P(t | h)) / (1 - sum_seen P(t))
 
 so the probabilities of all known tokens and of "unknown" add up to 1 after every history. Where the
-counts of counts give no proper Good-Turing discount, absolute discounting by n1 / (n1 + 2 n2) stands in.
+counts of counts n(1) to n(K + 1) give a discount outside (0, 1), they are smoothed as in Simple
+Good-Turing, by a line fitted to their logarithms, which gives proper Good-Turing discounts as long as
+they fall faster than 1 / r. Only where they do not, or fewer than three of them are there to fit,
+absolute discounting by n1 / (n1 + 2 n2) stands in. The log says which was used.
 
 How it runs. Documents are read once for the frequent tokens, once more to count those exactly (they
 are at most ``HEAVY``), and once to send every position of every document, packed into arrays, to the
@@ -35,6 +38,7 @@ no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,8 @@ from tiltframe.llm.packed import pack, small, steps, unpack
 from tiltframe.llm.text import SLICE, mix, slices, word_hashes
 from tiltframe.session import new_table_path
 
+log = logging.getLogger(__name__)
+
 #: Counts that are discounted.
 K = 5
 HEAVY = 1024
@@ -282,18 +288,45 @@ def _by_class(doc: np.ndarray, ones: np.ndarray, twos: np.ndarray, n: int) -> tu
     return counts, sums
 
 
-def discounts(n: list[int]) -> np.ndarray:
-    """d(r) for r = 1 to K from the counts of counts n(1) to n(K + 1)."""
+def _good_turing(counts: np.ndarray) -> np.ndarray | None:
+    """Good-Turing d(r) for r = 1 to K, or None if one of them lies outside (0, 1)."""
     r = np.arange(1, K + 1)
+    if not (counts > 0).all():
+        return None
+    common = (K + 1) * counts[K] / counts[0]
+    if common >= 1:
+        return None
+    d = ((r + 1) * counts[1:] / (r * counts[:-1]) - common) / (1 - common)
+    return d if ((d > 0) & (d < 1)).all() else None
+
+
+def _smoothed(counts: np.ndarray) -> np.ndarray | None:
+    """The counts of counts on a line fitted to their logarithms, each first spread over the gap of
+    zeros around it; None if there are fewer than three."""
+    r = np.flatnonzero(counts) + 1
+    if len(r) < 3:
+        return None
+    below, above = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+    slope, level = np.polyfit(np.log(r), np.log(2 * counts[r - 1] / (above - below)), 1)
+    return np.exp(level + slope * np.log(np.arange(1, K + 2)))
+
+
+def chosen_discounts(n: list[int]) -> tuple[str, np.ndarray]:
+    """The kind of discount and d(r) for r = 1 to K from the counts of counts n(1) to n(K + 1)."""
     counts = np.array(n, float)
-    if (counts > 0).all():
-        common = (K + 1) * counts[K] / counts[0]
-        if common < 1:
-            d = ((r + 1) * counts[1:] / (r * counts[:-1]) - common) / (1 - common)
-            if ((d > 0) & (d < 1)).all():
-                return d
+    if (d := _good_turing(counts)) is not None:
+        return "Good-Turing", d
+    smooth = _smoothed(counts)
+    if smooth is not None and (d := _good_turing(smooth)) is not None:
+        return "Good-Turing, smoothed", d
+    r = np.arange(1, K + 1)
     total = counts[0] + 2 * counts[1]
-    return (r - min(0.95, max(0.05, counts[0] / total if total else 0.5))) / r
+    return "absolute", (r - min(0.95, max(0.05, counts[0] / total if total else 0.5))) / r
+
+
+def discounts(n: list[int]) -> np.ndarray:
+    """d(r) for r = 1 to K from the counts of counts n(1) to n(K + 1)."""
+    return chosen_discounts(n)[1]
 
 
 class Model:
@@ -301,7 +334,8 @@ class Model:
 
     def __init__(self, totals: list[int]):
         self.tokens, self.words = totals[0], totals[1]
-        self.d1, self.d2 = discounts(totals[2 : 3 + K]), discounts(totals[3 + K : 4 + 2 * K])
+        (kind1, self.d1), (kind2, self.d2) = (chosen_discounts(n) for n in (totals[2 : 3 + K], totals[3 + K : 4 + 2 * K]))
+        log.info("discounts of tokens: %s %s, of pairs: %s %s", kind1, self.d1, kind2, self.d2)
         self.keep = 1 - 1 / (self.tokens + 2)
         n1 = np.array(totals[2 : 2 + K]) * np.arange(1, K + 1)
         mass = float(n1 @ self.d1) + self.keep * (self.tokens - int(n1.sum()))
