@@ -13,14 +13,12 @@ def test_same_rows_as_sql(spark, duck, sf, name):
     found = duck.execute(ORACLES[name])
     columns = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(columns)
-    assert sorted(map(repr, df.select(*columns).toPandas().itertuples(index=False, name=None))) == sorted(
-        map(repr, found.fetchall())
-    )
+    assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(map(repr, found.fetchall()))
 
 
 def test_every_operator_is_registered():
     names = entry_points.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert [name for name, _ in corpus_pipeline.STAGES] == [
