@@ -7,27 +7,34 @@ the fold.
 
 Features are the presence of words and of word beginnings (4 and 6 bytes, which carry a stem through
 its endings) that tell the labelled classes apart: for each category the ``FEATURES`` strongest by
-chi-square among those in at least ``MIN_DOCS`` labelled documents, and none below ``MIN_CHI``, which
-chance alone hardly reaches among millions of words. The models are fitted by Spark ML
+chi-square among those in at least ``MIN_DOCS`` labelled documents. A feature enters a model with the
+root of its chi-square, relative to the strongest one's, as its value: what chance alone may explain
+must gain more to get a weight, but nothing is cut off, however few labels there are. The penalty is
+that of a fixed prior (``PRIOR``), so it fades as labels grow in number. The models are fitted by Spark ML
 on about ``SAMPLE`` labelled documents at most, chosen by a hash of their id; this bounds the fitting
 at any size. Scoring reads every document once and moves no text.
 
-A document is toxic if its toxic probability is at least ``THRESHOLD``. Null or empty text has no
-features and gets the intercepts' probabilities. A category without examples of both kinds has its
-share of ones as a constant probability, 0 without any labels, so nothing is toxic then. Rows of
+A document is toxic if its toxic probability is at least ``THRESHOLD`` and above that of an empty text:
+only what a document holds tells against it, never the share of toxic labels. Null or empty text has no
+features and gets the intercepts' probabilities. A category without examples of both kinds, or without
+any feature, has its share of ones as a constant probability, 0 without any labels; nothing is toxic then,
+and a warning is logged. Rows of
 ``labels`` with a null id or a null label are not used; repeated ids of documents are all scored.
 Empty documents give no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +45,16 @@ from tiltframe.session import new_table_path
 CHAIN = (("poor", "1 - quality"), ("toxic", "toxic"))
 SAMPLE = 20_000
 FEATURES = 256
-MIN_DOCS = 3
-MIN_CHI = 35.0
+MIN_DOCS = 2
+#: Penalty of the summed loss, on half the squares of the weights.
+PRIOR = 0.02
 FOLDS = 3
 PREFIXES = (4, 6)
 PARTS = 6
 ITERATIONS = 30
-THRESHOLD = 0.2
+THRESHOLD = 0.4
+
+log = logging.getLogger(__name__)
 
 
 def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +109,12 @@ class Chain:
             out[:, k] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
         return out
 
+    def judged(self, column: pa.Array, target: str, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities, and which texts are ``target``."""
+        p, at = self.probabilities(column), self.names.index(target)
+        least = self.probabilities(pa.array([""]))[0, at]
+        return p, (p[:, at] >= threshold) & (p[:, at] > least)
+
 
 def labelled(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text, fold and the categories of about ``sample`` labelled documents at most."""
@@ -111,8 +127,9 @@ def labelled(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMP
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
 
 
-def strongest(rows: DataFrame, names: tuple[str, ...]) -> np.ndarray:
-    """The sorted hashes of the features that tell the categories apart."""
+def strongest(rows: DataFrame, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the features that tell the categories apart, and for each category their
+    values: the roots of their shares of the highest chi-square."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -129,16 +146,23 @@ def strongest(rows: DataFrame, names: tuple[str, ...]) -> np.ndarray:
     counts = counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("docs", *names)))
     counts = counts.where(F.col("docs") >= MIN_DOCS)
     total = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(n).alias(n) for n in names)).first()
-    chosen: set[int] = set()
+    with_ = F.col("docs").cast("double")
+    strengths = []
     for name in names:
         n, ones = float(total.n), float(total[name] or 0)
-        if not 0 < ones < n:
-            continue
-        with_, a = F.col("docs").cast("double"), F.col(name).cast("double")
-        chi = n * (a * n - with_ * ones) ** 2 / (with_ * (n + 1 - with_) * ones * (n - ones))
-        best = counts.select("feature", chi.alias("chi")).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "feature").limit(FEATURES)
-        chosen |= {r.feature for r in best.collect()}
-    return np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
+        chi = F.lit(0.0)
+        if 0 < ones < n:
+            chi = n * (F.col(name) * n - with_ * ones) ** 2 / (with_ * (n + 1 - with_) * ones * (n - ones))
+        strengths.append(chi.alias(f"chi_{name}"))
+    counts = counts.select("feature", *strengths)
+    chosen: dict[int, list[float]] = {}
+    for name in names:
+        best = counts.where(F.col(f"chi_{name}") > 0).orderBy(F.desc(f"chi_{name}"), "feature").limit(FEATURES)
+        chosen |= {r[0]: list(r[1:]) for r in best.collect()}
+    order = np.argsort(np.array(list(chosen), np.int64).view(np.uint64))
+    features = np.array(list(chosen), np.int64).view(np.uint64)[order]
+    chi = np.array(list(chosen.values()), float).reshape(len(chosen), len(names))[order].T
+    return features, np.sqrt(chi / np.maximum(chi.max(1, initial=0, keepdims=True), 1e-300))
 
 
 def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -> Chain:
@@ -147,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
     path = new_table_path(spark, "labelled")
     labelled(docs, labels, chain, sample).write.parquet(path)
     rows = spark.read.parquet(path)
-    features = strongest(rows, names)
+    features, values = strongest(rows, names)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -161,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
     kinds = "x array<double>, fold int, " + ", ".join(f"{n} double" for n in names)
     weights, links, intercepts = np.zeros((len(names), len(features))), [], []
     if not len(features):
+        log.warning("no labelled documents tell the categories apart: nothing is toxic")
         shares = rows.agg(*(F.avg(n).alias(n) for n in names)).first()
         intercepts = [float(np.log(max(s or 0, 1e-9) / max(1 - (s or 0), 1e-9))) for s in shares]
         return Chain(names, features, weights, tuple((0.0,) * k for k in range(len(names))), tuple(intercepts))
@@ -169,36 +194,42 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
     # About ``sample`` rows at most: a few partitions, as every step of the fitting reads them all.
     training = spark.read.parquet(dense_path).coalesce(PARTS).withColumn("before", F.array().cast("array<double>"))
 
-    def model(part: DataFrame, name: str):
-        part = part.select(array_to_vector(F.concat("x", "before")).alias("features"), F.col(name).alias("label"))
-        both = part.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    def inputs(part: DataFrame, k: int) -> DataFrame:
+        """With features: the category's values of the features, and the categories before it."""
+        part = part.withColumn("present", array_to_vector(F.concat("x", "before")))
+        scaling = Vectors.dense(np.concatenate((values[k], np.ones(k))))
+        return ElementwiseProduct(scalingVec=scaling, inputCol="present", outputCol="features").transform(part)
+
+    def model(part: DataFrame, k: int):
+        part = inputs(part, k).select("features", F.col(names[k]).alias("label"))
+        both = part.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).first()
         if both.low == both.high:
             share = float(both.low or 0)
+            log.warning("all labelled documents are alike in %s", names[k])
             return None, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         part = part.persist()
-        fitted = LogisticRegression(maxIter=ITERATIONS, regParam=1e-4, standardization=False).fit(part)
+        fitted = LogisticRegression(maxIter=ITERATIONS, regParam=PRIOR / both.n, standardization=False).fit(part)
         part.unpersist()
         return fitted, float(fitted.intercept)
 
-    def scored(part: DataFrame, fitted, intercept: float):
+    def scored(part: DataFrame, k: int, fitted, intercept: float):
         if fitted is None:
             return part.withColumn("before", F.concat("before", F.array(F.lit(1 / (1 + np.exp(-intercept))))))
-        part = part.withColumn("features", array_to_vector(F.concat("x", "before")))
-        out = fitted.transform(part)
+        out = fitted.transform(inputs(part, k))
         p = vector_to_array("probability")[1]
         return out.withColumn("before", F.concat("before", F.array(p))).select(*training.columns)
 
-    for k, name in enumerate(names):
-        fitted, intercept = model(training, name)
+    for k in range(len(names)):
+        fitted, intercept = model(training, k)
         coefficients = np.zeros(len(features) + k) if fitted is None else fitted.coefficients.toArray()
-        weights[k] = coefficients[: len(features)]
+        weights[k] = coefficients[: len(features)] * values[k]
         links.append(tuple(map(float, coefficients[len(features) :])))
         intercepts.append(intercept)
         if k + 1 < len(names):
             parts = None
             for fold in range(FOLDS):
                 held = training.where(F.col("fold") == fold)
-                own = scored(held, *model(training.where(F.col("fold") != fold), name))
+                own = scored(held, k, *model(training.where(F.col("fold") != fold), k))
                 parts = own if parts is None else parts.unionByName(own)
             next_path = new_table_path(spark, "out-of-fold")
             parts.write.parquet(next_path)
@@ -209,12 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, target: str = "toxic") -> DataFrame:
     """doc_id, p_<category> for every category, and whether the document is ``target``."""
     names = [f"p_{n}" for n in chain.names]
-    at = chain.names.index(target)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            p = chain.probabilities(batch.column(1))
-            columns = [batch.column(0), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, at] >= threshold)]
+            p, hit = chain.judged(batch.column(1), target, threshold)
+            columns = [batch.column(0), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(hit)]
             yield pa.record_batch(columns, ["doc_id", *names, target])
 
     kinds = "doc_id long, " + ", ".join(f"{n} double" for n in names) + f", {target} boolean"
@@ -223,12 +253,11 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, target: s
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not toxic, with all their columns."""
-    at = chain.names.index("toxic")
     text_at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_at):
-            toxic = chain.probabilities(batch.column(text_at).cast(pa.string()))[:, at] >= threshold
+            _, toxic = chain.judged(batch.column(text_at).cast(pa.string()), "toxic", threshold)
             yield batch.filter(pa.array(~toxic))
 
     return docs.mapInArrow(kept, docs.schema)
