@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from tiltframe.operators.split import split_by_case
-from tiltframe.operators import attribution, metrics, profiling, scaling, training
+from tiltframe.operators import attribution, folded, metrics, profiling, scaling, training
 from tiltframe.operators.scorers import ColumnScorer, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
 from tiltframe.sources import delimited, tables
@@ -204,3 +205,81 @@ def test_scores_of_a_rare_event_are_spread_over_chunks(spark):
     assert metrics.roc_auc(df).first()[0] == pytest.approx(wins / len(pos) / len(neg))
     odds = F.log(F.col("prob") / (1 - F.col("prob")))
     assert df.select(F.floor(odds * metrics.CHUNKS_PER_LOGIT)).distinct().count() > 500
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_folds_fitted_together_equal_separate_fits(rows, balanced):
+    data = metrics.contiguous_folds(rows, "case", 4).cache()
+    together = folded.fit_folds(data, FEATURES, "fold", 4, c=0.3, balanced=balanced)
+    assert np.abs(folded.residuals(data, FEATURES, "fold", together, 0.3, balanced)).max() < 1e-7
+    for i in range(5):
+        alone = training.train_logistic(data.where(F.col("fold") != i), FEATURES, 0.3, balanced)
+        assert together[i] == pytest.approx(alone.weights[0], abs=1e-9)
+    held = {r["case"]: r["prob"] for r in folded.folded_scores(data, FEATURES, folds=4, c=0.3, balanced=balanced).collect()}
+    for r in data.collect():
+        margin = together[r["fold"]] @ [r["a"], r["b"], 1]
+        assert held[r["case"]] == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_folds_that_cannot_be_learned(spark, rows):
+    data = metrics.contiguous_folds(rows, "case", 4)
+    with pytest.raises(ValueError, match="outside of fold 0 are all of one class"):
+        folded.fit_folds(data.where("label = 1 OR fold = 0"), FEATURES, "fold", 4)
+    with pytest.raises(ValueError, match="label is 2"):
+        folded.fit_folds(data.withColumn("label", F.lit(2)), FEATURES, "fold", 4)
+    with pytest.raises(ValueError, match="not finite"):
+        folded.fit_folds(data.withColumn("a", F.when(F.col("case") > 3, F.col("a"))), FEATURES, "fold", 4)
+
+
+def test_separable_classes_stay_finite(spark):
+    df = spark.createDataFrame([(i, float(i), int(i >= 20)) for i in range(40)], "`case` long, a double, label int")
+    weights = training.train_logistic(df, ["a"], c=100.0).weights[0]
+    assert np.isfinite(weights).all() and weights[0] > 0.5
+
+
+def test_exact_coalitions(rows):
+    """Efficiency, symmetry, null players, and the mean over all orders."""
+    features = ["a", "b", "c", "d"]
+    data = rows.withColumns({"c": F.col("a") + F.col("b"), "d": F.lit(3.0)}).limit(40)
+    scorer = ColumnScorer(lambda v: 0.1 * v["a"] * v["b"] + F.when(v["c"] > 0.5, v["a"]).otherwise(v["b"]) + 0.2 * v["c"])
+    base = {"a": 0.5, "b": -1.0, "c": 0.3, "d": 1.0}
+    exact = attribution.coalition_attribution(data, scorer, features, base, ["case", "a", "b", "c"]).collect()
+
+    def score(v):
+        return 0.1 * v["a"] * v["b"] + (v["a"] if v["c"] > 0.5 else v["b"]) + 0.2 * v["c"]
+
+    for r in exact:
+        got = {x["feature"]: x["attribution"] for x in r["attributions"]}
+        row, want = {"a": r["a"], "b": r["b"], "c": r["c"], "d": 3.0}, dict.fromkeys(features, 0.0)
+        for order in permutations(features):
+            at = dict(base)
+            for f in order:
+                before = score(at)
+                at[f] = row[f]
+                want[f] += (score(at) - before) / 24
+        assert got == pytest.approx(want) and got["d"] == 0
+        assert sum(got.values()) == pytest.approx(score(row) - score(base))
+    alike = ColumnScorer(lambda v: v["a"] * v["b"])
+    same = data.withColumn("b", F.col("a"))
+    for r in attribution.coalition_attribution(same, alike, ["a", "b"], {"a": 1.0, "b": 1.0}, ["case"]).collect():
+        assert r["attributions"][0]["attribution"] == pytest.approx(r["attributions"][1]["attribution"])
+    with pytest.raises(ValueError, match="sample orders"):
+        attribution.coalition_attribution(data, scorer, [f"f{i}" for i in range(13)], {}, [])
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 64)) @ rng.standard_normal((64, 64)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 5.0
+    rows = [[None if np.isnan(v) else float(v) for v in row] for row in x]
+    df = spark.createDataFrame(rows, [f"c{i}" for i in range(64)]).repartition(3)
+    got = profiling.correlations(df, df.columns)
+    for i, j in ((0, 1), (5, 60), (33, 34), (63, 2), (12, 12)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert np.isnan(got[7]).all()
+    top = profiling.top_abs_correlations(df, df.columns, 3).collect()
+    upper = np.nan_to_num(np.abs(got[np.triu_indices(64, 1)]))
+    assert [r["corr"] for r in top] == pytest.approx(sorted(upper, reverse=True)[:3])
+    assert profiling.top_abs_correlations(df.limit(0), df.columns).collect() == []

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from itertools import combinations
+from math import factorial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltframe.operators.scorers import Scorer
 
+#: Features whose subsets are all scored, at most.
+MOST_EXACT = 12
+
 
 def _as_column(features: Sequence[str]):
     return F.array(
@@ -63,6 +68,34 @@ def permutation_attribution(
     return scored.withColumns(phi).select(*keep, _as_column(features))
 
 
+def coalition_attribution(
+    df: DataFrame, scorer: Scorer, features: Sequence[str], background: dict[str, float], keep: Sequence[str]
+) -> DataFrame:
+    """Exact Shapley values. Every subset of the features, taken from the row while the others keep the
+    background's values, is one variant of the row and scored once; a feature is credited with its gain
+    over each subset without it, weighted by the share of feature orders that begin with that subset.
+    There are 2 ** d variants, so this is for some ten features; sampled orders are for more.
+    """
+    d = len(features)
+    if d > MOST_EXACT:
+        raise ValueError(f"{d} features have {2**d} subsets; sample orders with permutation_attribution")
+    names = {frozenset(s): f"__subset_{sum(1 << i for i in s)}" for n in range(d + 1) for s in combinations(range(d), n)}
+    variants = {
+        name: {f: F.col(f) if i in members else F.lit(background[f]) for i, f in enumerate(features)}
+        for members, name in names.items()
+    }
+    scored = scorer.add_scores(df, variants)
+    phi = {}
+    for i, f in enumerate(features):
+        credit = F.lit(0.0)
+        for members, name in names.items():
+            if i not in members:
+                share = factorial(len(members)) * factorial(d - len(members) - 1) / factorial(d)
+                credit = credit + F.lit(share) * (F.col(names[members | {i}]) - F.col(name))
+        phi[f"__phi_{f}"] = credit
+    return scored.withColumns(phi).select(*keep, _as_column(features))
+
+
 def mean_abs_attribution(attributions: DataFrame, label: str = "label") -> DataFrame:
     """Mean absolute attribution per label and feature."""
     rows = attributions.select(label, F.inline_outer("attributions"))

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltframe.functions.scalar import literal_array
+from tiltframe.functions.sums import matrix_sums
 from tiltframe.operators.scaling import column_stats
 
 
@@ -117,20 +119,37 @@ def histogram_density(
     )
 
 
+def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson's correlation of every pair of columns over the rows that have both (null and NaN count as
+    missing); NaN where one of them does not vary there.
+
+    Two passes of fixed plan size, whatever the number of pairs: the means, then one sum of matrices
+    (counts, sums, squares and products of pairs) of the values less their means.
+    """
+    present = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns]
+    rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(present)])
+    facts = rows.agg(F.array(*[F.avg(c) for c in rows.columns]), F.array(*[F.max(F.abs(c)) for c in rows.columns])).first()
+    means, largest = (np.array([0.0 if v is None else v for v in part]) for part in facts)
+
+    def part(block: np.ndarray) -> np.ndarray:
+        have = (~np.isnan(block)).astype(np.float64)
+        x = np.nan_to_num(block - means)
+        return np.stack((have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x))
+
+    n, own, squares, products = matrix_sums(rows, rows.columns, part)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = squares - own * own / n
+        spread[spread <= n * (1e-13 * largest[:, None]) ** 2] = np.nan
+        return (products - own * own.T / n) / np.sqrt(spread * spread.T)
+
+
 def top_abs_correlations(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
-    """The n largest absolute pairwise correlations; every pair in one aggregate pass."""
-    pairs = list(combinations(columns, 2))
-    values = df.agg(*[F.abs(F.corr(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("corr")
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    ranked = values.select(F.inline_outer(rows)).where(F.col("corr").isNotNull())
-    return ranked.orderBy(F.col("corr").desc(), "column_a", "column_b").limit(n)
+    """The n largest absolute pairwise correlations."""
+    found = np.abs(correlations(df, columns))
+    pairs = [(a, b, float(found[i, j])) for (i, a), (j, b) in combinations(enumerate(columns), 2) if not np.isnan(found[i, j])]
+    pairs.sort(key=lambda p: (-p[2], p[0], p[1]))
+    kinds = "column_a string, column_b string, corr double"
+    return df.sparkSession.createDataFrame(pairs[:n], kinds)
 
 
 def effects_with_features(

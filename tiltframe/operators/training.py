@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiltframe.operators.folded import LinearLogistic, fit_folds, folded_scores
 from tiltframe.operators.metrics import contiguous_folds, evaluate_models
 from tiltframe.operators.scaling import class_weights
 from tiltframe.operators.scorers import MLScorer, Scorer, Variants
@@ -38,23 +39,10 @@ def _balanced(df: DataFrame) -> DataFrame:
 
 def train_logistic(
     df: DataFrame, features: Sequence[str], c: float = 1.0, balanced: bool = False
-) -> MLScorer:
-    """L2 logistic regression. The penalty of the summed loss with inverse strength C equals a
-    penalty of 1 / (C * total weight) on the mean loss."""
-    data = _assembled(df, features)
-    data = _balanced(data) if balanced else data.withColumn(WEIGHT, F.lit(1.0))
-    total = data.agg(F.sum(WEIGHT)).first()[0]
-    model = LogisticRegression(
-        featuresCol=VECTOR,
-        labelCol=LABEL,
-        weightCol=WEIGHT,
-        regParam=1.0 / (c * total),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=200,
-        tol=1e-8,
-    ).fit(data)
-    return MLScorer(model, features)
+) -> LinearLogistic:
+    """L2 logistic regression at the least summed loss plus half the squared weights over C."""
+    rows = df.withColumn("__fold", F.lit(0))
+    return LinearLogistic(fit_folds(rows, features, "__fold", 0, c, balanced)[-1], features)
 
 
 class SigmoidCalibrated:
@@ -196,13 +184,6 @@ def train_mlp(
     return MLScorer(model, features)
 
 
-def train_mlp_panel(
-    df: DataFrame, features: Sequence[str], seeds: Sequence[int] = (123, 321, 231), **kw
-) -> dict[str, MLScorer]:
-    """The same network from several seeds: mlp1, mlp2, ..."""
-    return {f"mlp{i}": train_mlp(df, features, s, **kw) for i, s in enumerate(seeds, start=1)}
-
-
 def train_boosted_trees(
     df: DataFrame,
     features: Sequence[str],
@@ -247,6 +228,21 @@ def out_of_fold_scores(
     return out
 
 
+def logistic_out_of_fold(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str,
+    folds: int = 5,
+    stratify: str | None = LABEL,
+    c: float = 1.0,
+    balanced: bool = False,
+) -> DataFrame:
+    """``out_of_fold_scores`` of logistic regression, with the models of all folds fitted together."""
+    data = contiguous_folds(df.select(key, *features, LABEL), key, folds, stratify)
+    scored = folded_scores(data, features, "fold", folds, c, balanced)
+    return scored.select(key, F.col(LABEL).cast("int").alias(LABEL), "fold", "prob")
+
+
 def cv_scores(scores: DataFrame) -> DataFrame:
     """Metrics per fold with their mean and sample deviation over the folds."""
     names = ["accuracy", "precision", "recall", "f1", "roc_auc"]

@@ -567,29 +567,28 @@ def _(spark, sf):
 @query("cv_scores")
 def _(spark, sf):
     rows = stored(spark, scaled(spark, sf), "training")
-    held = training.out_of_fold_scores(
-        rows, ORDER_FEATURES, lambda part: training.train_logistic(part, ORDER_FEATURES), "case"
-    )
-    return training.cv_scores(held)
+    return training.cv_scores(training.logistic_out_of_fold(rows, ORDER_FEATURES, "case"))
 
 
 @query("roc_pr_curves")
 def _(spark, sf):
-    """The ROC grid mean over five consecutive folds, and the precision-recall points."""
-    rows = wide_scores(spark, sf).select("case", "label", F.col("prob_lr").alias("prob"))
-    folded = metrics.contiguous_folds(rows, "case", 5)
-    points = metrics.curve_points(folded, ["fold"])
+    """Of logistic models refitted for each of five consecutive folds: the ROC points and their grid
+    mean, the precision-recall points, and the confusion counts over folds that keep the classes' shares
+    (x is 2 * label + predicted class)."""
+    rows = stored(spark, scaled(spark, sf), "training")
+    held = stored(spark, training.logistic_out_of_fold(rows, ORDER_FEATURES, "case", stratify=None), "held-out")
+    points = stored(spark, metrics.curve_points(held, ["fold"]), "curve-points")
+    confusion = metrics.out_of_fold_confusion(training.logistic_out_of_fold(rows, ORDER_FEATURES, "case"))
+    cells = F.array(
+        *[F.struct(F.lit(float(x)).alias("x"), F.col(c).cast("double").alias("y")) for x, c in enumerate(("tn", "fp", "fn", "tp"))]
+    )
+    roc = F.struct(F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"))
+    pr = F.struct(F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"))
     grid = metrics.mean_roc(points).select(
         F.lit("mean_roc").alias("curve"), F.col("fpr").alias("x"), F.col("mean_tpr").alias("y")
     )
-    curves = points.select(
-        F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y")
-    ).unionByName(
-        points.select(
-            F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y")
-        )
-    )
-    return grid.unionByName(curves)
+    counts = confusion.select(F.inline(cells)).select(F.lit("confusion").alias("curve"), "x", "y")
+    return grid.unionByName(points.select(F.inline(F.array(roc, pr)))).unionByName(counts)
 
 
 @query("mean_abs_attribution")
@@ -600,6 +599,15 @@ def _(spark, sf):
     return attribution.mean_abs_attribution(phi)
 
 
+@query("coalition_attribution")
+def _(spark, sf):
+    """Exact Shapley values of the model with steps against the mean row, which is 0 in scaled units."""
+    rows = scaled(spark, sf)
+    base = {f: 0.0 for f in SCALED_FEATURES} | {"returned": scaling.column_stats(rows, ["returned"])["returned"].mean}
+    phi = attribution.coalition_attribution(rows, SCORERS["rf"], ORDER_FEATURES, base, ["case", "label"])
+    return attribution.mean_abs_attribution(phi)
+
+
 @query("permutation_attribution")
 def _(spark, sf):
     rows = scaled(spark, sf)
