@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tiltframe.operators.split import split_by_case
 from tiltframe.operators import attribution, folded, metrics, profiling, scaling, training
+from tiltframe.operators.folded import LinearLogistic
 from tiltframe.operators.scorers import ColumnScorer, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
 from tiltframe.sources import delimited, tables
@@ -44,7 +45,7 @@ def test_logistic_minimizes_the_stated_loss(rows, balanced):
 def test_trained_models_separate_the_classes(rows):
     fits = {
         "forest": training.train_forest_calibrated(rows, FEATURES, trees=10, depth=4, folds=2),
-        "svm": training.train_svm_calibrated(rows, FEATURES, folds=2, iterations=10),
+        "svm": training.train_svm_calibrated(rows, FEATURES, folds=2),
         "mlp": training.train_mlp(rows, FEATURES, balanced=True, iterations=15),
         "gbt": training.train_boosted_trees(rows, FEATURES, rounds=5, depth=3),
     }
@@ -283,3 +284,24 @@ def test_correlations_of_many_columns(spark):
     upper = np.nan_to_num(np.abs(got[np.triu_indices(64, 1)]))
     assert [r["corr"] for r in top] == pytest.approx(sorted(upper, reverse=True)[:3])
     assert profiling.top_abs_correlations(df.limit(0), df.columns).collect() == []
+
+
+def test_squared_hinge_and_sigmoids_are_at_their_least(rows):
+    data = metrics.contiguous_folds(rows, "case", 3).cache()
+    weights = folded.fit_folds(data, FEATURES, "fold", 3, c=0.5, loss="squared_hinge")
+    pdf = data.toPandas()
+    x, y, fold = np.column_stack((pdf[FEATURES], np.ones(len(pdf)))), pdf["label"].to_numpy(), pdf["fold"].to_numpy()
+    sign = 2 * y - 1
+    for i in range(4):
+        use = fold != i
+        short = np.maximum(0, 1 - sign * (x @ weights[i])) * use
+        gradient = -2 * (sign * short) @ x + np.append(weights[i][:2] / 0.5, 0)
+        assert np.abs(gradient).max() < 1e-7
+    raw = LinearLogistic(weights[:3], FEATURES, "fold").margin({f: F.col(f) for f in FEATURES})
+    sigmoids = folded.fit_sigmoids(data.withColumn("raw", raw), "raw", "fold", 3)
+    for i in range(3):
+        own, label = x[fold == i] @ weights[i], y[fold == i]
+        n1, n0 = label.sum(), (1 - label).sum()
+        target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        error = 1 / (1 + np.exp(-(sigmoids[i][0] * own + sigmoids[i][1]))) - target
+        assert abs(error.sum()) < 1e-7 and abs(error @ own) < 1e-6

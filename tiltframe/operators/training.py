@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -15,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltframe.operators.folded import LinearLogistic, fit_folds, folded_scores
+from tiltframe.operators.folded import CalibratedMargins, LinearLogistic, fit_folds, fit_sigmoids, folded_scores
 from tiltframe.operators.metrics import contiguous_folds, evaluate_models
 from tiltframe.operators.scaling import class_weights
 from tiltframe.operators.scorers import MLScorer, Scorer, Variants
@@ -29,14 +28,6 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumn(VECTOR, vector).withColumn(LABEL, F.col(LABEL).cast("double"))
 
 
-def _balanced(df: DataFrame) -> DataFrame:
-    """Add the balanced class weight of each row (two numbers come to the driver)."""
-    weight = F.lit(1.0)
-    for row in class_weights(df, LABEL).collect():
-        weight = F.when(F.col(LABEL) == row[LABEL], F.lit(row["weight"])).otherwise(weight)
-    return df.withColumn(WEIGHT, weight)
-
-
 def train_logistic(
     df: DataFrame, features: Sequence[str], c: float = 1.0, balanced: bool = False
 ) -> LinearLogistic:
@@ -65,22 +56,6 @@ class SigmoidCalibrated:
         return df.withColumns(averaged).drop(*scratch)
 
 
-class MarginScorer:
-    """The raw margin of a fitted linear model as a Column expression."""
-
-    def __init__(self, model, features: Sequence[str]):
-        self.weights = [float(w) for w in model.coefficients]
-        self.intercept = float(model.intercept)
-        self.features = list(features)
-
-    def add_scores(self, df: DataFrame, variants: Variants) -> DataFrame:
-        def margin(values: dict[str, Column]) -> Column:
-            terms = [F.lit(w) * values[f] for w, f in zip(self.weights, self.features)]
-            return sum(terms, F.lit(self.intercept))
-
-        return df.withColumns({name: margin(values) for name, values in variants.items()})
-
-
 def _sigmoid_fit(scored: DataFrame, raw: str) -> tuple[float, float]:
     data = scored.select(
         array_to_vector(F.array(F.col(raw))).alias(VECTOR), F.col(LABEL).cast("double").alias(LABEL)
@@ -139,15 +114,14 @@ def train_svm_calibrated(
     case: str = "case",
     folds: int = 5,
     seed: int = 7,
-    iterations: int = 100,
-) -> SigmoidCalibrated:
-    """Balanced linear SVM with sigmoid probabilities."""
-
-    def fit(part: DataFrame) -> Scorer:
-        svm = LinearSVC(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, regParam=1e-3, maxIter=iterations)
-        return MarginScorer(svm.fit(_balanced(_assembled(part, features))), features)
-
-    return _calibrate(df, features, fit, case, folds, seed)
+    c: float = 1.0,
+) -> CalibratedMargins:
+    """Balanced linear SVM (squared hinge) with sigmoid probabilities: the margins of all folds are
+    fitted together, then the sigmoids of all folds."""
+    data = _with_folds(df, case, folds, seed)
+    weights = fit_folds(data, features, "__fold", folds, c, True, "squared_hinge")[:folds]
+    held = data.withColumn("__raw", LinearLogistic(weights, features, "__fold").margin({f: F.col(f) for f in features}))
+    return CalibratedMargins(weights, fit_sigmoids(held, "__raw", "__fold", folds), features)
 
 
 def oversample(df: DataFrame, case: str = "case", seed: int = 7) -> DataFrame:

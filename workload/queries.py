@@ -476,7 +476,7 @@ def _(spark, sf):
 
 
 def _forest(rows):
-    return training.train_forest_calibrated(rows, ORDER_FEATURES, trees=20, depth=5, folds=5)
+    return training.train_forest_calibrated(rows, ORDER_FEATURES, trees=100)
 
 
 FITS = {
@@ -488,14 +488,14 @@ FITS = {
     "train_mlp": {
         f"mlp{i}": (
             lambda rows, seed=seed: training.train_mlp(
-                rows, ORDER_FEATURES, seed, balanced=True, iterations=30
+                rows, ORDER_FEATURES, seed, balanced=True
             )
         )
         for i, seed in enumerate((123, 321, 231), start=1)
     },
-    "train_svm_calibrated": {"svm": lambda rows: training.train_svm_calibrated(rows, ORDER_FEATURES, iterations=20)},
+    "train_svm_calibrated": {"svm": lambda rows: training.train_svm_calibrated(rows, ORDER_FEATURES)},
     "train_boosted_trees": {
-        "gbt": lambda rows: training.train_boosted_trees(rows, ORDER_FEATURES, rounds=10, depth=4)
+        "gbt": lambda rows: training.train_boosted_trees(rows, ORDER_FEATURES)
     },
 }
 
