@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltframe import codes
-from tiltframe.functions.chunked import row_positions, running_sum, with_carry
+from tiltframe.functions.chunked import row_positions
 from tiltframe.functions.scalar import elapsed_hours, hours
 
 # A stay may be null (settings charted outside a stay form one group); two plain columns keep
@@ -23,9 +23,7 @@ def _any(conditions: list[Column]) -> Column:
     return F.when(reduce(lambda a, b: a | b, conditions), 1).otherwise(0)
 
 
-def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
-    """0/1 mechvent, oxygentherapy, extubated and selfextubated per (stay, time); extubation
-    procedures are rows of their own."""
+def _charted_and_performed(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
     item, value = F.col("itemid"), F.col("value")
     setting_items = [
         *codes.VENT_SETTING_ITEMS,
@@ -64,63 +62,94 @@ def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
         F.lit(1).alias("extubated"),
         F.when(item == codes.SELF_EXTUBATION_PROCEDURE, 1).otherwise(0).alias("selfextubated"),
     )
-    return charted.unionByName(performed).distinct()
+    return charted.unionByName(performed)
+
+
+def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
+    """0/1 mechvent, oxygentherapy, extubated and selfextubated per (stay, time); extubation
+    procedures are rows of their own."""
+    return _charted_and_performed(chartevents, procedures).distinct()
 
 
 def mark_episodes(settings: DataFrame, gap_hours: int = 8) -> DataFrame:
-    """Add newvent and the running episode number ventnum to the settings.
+    """Add newvent and the running episode number ventnum to the settings; repeated rows count once.
 
     A row starts an episode when the previous ventilation-or-extubation row was an extubation,
     when oxygen is given without ventilation, or when ventilation resumes after more than
     ``gap_hours``. All three look at the past of the stay, which is cut into calendar days.
+
+    A day is summed up as a state: its last mark, its last ventilation, the starts that its own rows
+    decide, and the two rows that look further back, its first mark and its first ventilation. One
+    window over the days of a stay resolves these two and counts the starts before each day; the rows
+    meet their day again where they were, as both sides are dealt out by day.
     """
     vent, ext = F.col("mechvent") == 1, F.col("extubated") == 1
+    gap = hours(gap_hours)
+    day = [*_KEYS, _DAY]
     rows = settings.withColumns(
         {
             "__no_stay": F.col("icustay_id").isNull(),
             "__stay": F.coalesce("icustay_id", F.lit(0)),
-            _DAY: F.to_date("charttime"),
-            "__vent_time": F.when(vent, F.col("charttime")),
-            "__out_mark": F.when(
-                vent | ext, F.struct("charttime", F.col("extubated").alias("out"))
-            ),
+            _DAY: F.coalesce(F.to_date("charttime"), F.lit("9999-12-31").cast("date")),
         }
     )
-    rows = with_carry(
-        rows,
-        _KEYS,
-        _DAY,
+    # Dealt out by day, equal rows meet without another shuffle.
+    rows = rows.repartition(*day).distinct()
+    before = Window.partitionBy(*day).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns(
         {
-            "__past_vent": (F.max("__vent_time"), F.max),
-            "__past_mark": (F.max("__out_mark"), F.max),
-        },
+            "__vent_time": F.when(vent, F.col("charttime")),
+            "__out_mark": F.when(vent | ext, F.struct("charttime", F.col("extubated").alias("out"))),
+        }
     )
-    before = Window.partitionBy(*_KEYS, _DAY).orderBy(*_ORDER)
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    last_vent = F.coalesce(F.max("__vent_time").over(before), F.col("__past_vent"))
-    last_mark = F.coalesce(F.last("__out_mark", ignorenulls=True).over(before), F.col("__past_mark"))
-    rows = rows.withColumns({"__last_vent": last_vent, "__last_out": last_mark["out"]})
-    new = (
-        F.when((vent | ext) & (F.col("__last_out") == 1), 1)
-        # Rows that are neither look back along their own kind, where nothing is an extubation.
-        .when(~vent & (F.col("oxygentherapy") == 1), 1)
-        .when(vent & (F.col("charttime") - F.col("__last_vent") > hours(gap_hours)), 1)
-        .otherwise(0)
+    rows = rows.withColumns(
+        {
+            "__day_vent": F.max("__vent_time").over(before),
+            "__day_mark": F.last("__out_mark", ignorenulls=True).over(before),
+        }
     )
-    rows = rows.withColumn("newvent", new)
-    kept = [c for c in rows.columns if c not in ("__vent_time", "__out_mark", "__past_vent",
-                                                  "__past_mark", "__last_vent", "__last_out")]
-    rows = running_sum(
-        rows.select(*kept), _KEYS, _DAY, ["charttime"], F.col("newvent"), "__episode", peers=True
+
+    def starts(last_out: Column, last_vent: Column) -> Column:
+        return (
+            F.when((vent | ext) & (last_out == 1), 1)
+            # Rows that are neither look back along their own kind, where nothing is an extubation.
+            .when(~vent & (F.col("oxygentherapy") == 1), 1)
+            .when(vent & (F.col("charttime") - last_vent > gap), 1)
+            .otherwise(0)
+        )
+
+    rows = rows.withColumn("__own", starts(F.col("__day_mark")["out"], F.col("__day_vent")))
+    first_mark = (vent | ext) & F.col("__day_mark").isNull()
+    first_vent = vent & F.col("__day_vent").isNull()
+    days = rows.groupBy(*day).agg(
+        F.sum("__own").alias("starts"),
+        F.max("__out_mark").alias("mark"),
+        F.max("__vent_time").alias("vent"),
+        F.max(F.when(first_mark & (F.col("__own") == 0), 1)).alias("mark_open"),
+        F.max(F.when(first_vent & (F.col("__own") == 0), F.struct("charttime", first_mark.alias("is_mark")))).alias("vent_open"),
     )
-    return rows.withColumn("ventnum", F.when(vent | ext, F.col("__episode"))).drop("__episode")
+    earlier = Window.partitionBy(*_KEYS).orderBy(_DAY).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumns({"__past_out": F.max("mark").over(earlier)["out"], "__past_vent": F.max("vent").over(earlier)})
+    at_mark = (F.col("mark_open") == 1) & (F.col("__past_out") == 1)
+    at_vent = F.col("vent_open")["charttime"] - F.col("__past_vent") > gap
+    # One row may be both, and starts one episode then.
+    more = F.when(at_mark, 1).otherwise(0) + F.when(at_vent & ~(F.coalesce(at_mark, F.lit(False)) & F.col("vent_open")["is_mark"]), 1).otherwise(0)
+    days = days.withColumn("__starts", F.col("starts") + more)
+    days = days.withColumn("__before", F.coalesce(F.sum("__starts").over(earlier), F.lit(0)))
+    rows = rows.join(days.select(*day, "__past_out", "__past_vent", "__before"), day)
+    last_out = F.coalesce(F.col("__day_mark")["out"], F.col("__past_out"))
+    rows = rows.withColumn("newvent", starts(last_out, F.coalesce("__day_vent", "__past_vent")))
+    so_far = Window.partitionBy(*day).orderBy("charttime").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.sum("newvent").over(so_far) + F.col("__before")
+    rows = rows.withColumn("ventnum", F.when(vent | ext, number))
+    return rows.select(*settings.columns, *_KEYS, _DAY, "newvent", "ventnum")
 
 
 def ventilation_episodes(
     chartevents: DataFrame, procedures: DataFrame, gap_hours: int = 8
 ) -> DataFrame:
     """icustay_id, ventnum (from 1 in time order), mv_start, mv_end, mv_hours."""
-    marked = mark_episodes(vent_settings(chartevents, procedures), gap_hours)
+    marked = mark_episodes(_charted_and_performed(chartevents, procedures), gap_hours)
     episodes = (
         marked.where(F.col("ventnum").isNotNull())
         .groupBy(*_KEYS, "ventnum")
