@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tiltframe.operators.split import split_by_case
 from tiltframe.operators import attribution, folded, metrics, profiling, scaling, training
 from tiltframe.operators.folded import LinearLogistic
-from tiltframe.operators.scorers import ColumnScorer, score_long, soft_vote
+from tiltframe.operators.scorers import BatchScorer, ColumnScorer, MLScorer, Trees, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
 from tiltframe.sources import delimited, tables
 
@@ -305,3 +305,25 @@ def test_squared_hinge_and_sigmoids_are_at_their_least(rows):
         target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         error = 1 / (1 + np.exp(-(sigmoids[i][0] * own + sigmoids[i][1]))) - target
         assert abs(error.sum()) < 1e-7 and abs(error @ own) < 1e-6
+
+
+def test_trees_equal_the_fitted_models(spark, rows, tmp_path):
+    """Every variant of a row in one call, as the model's own transform scores them."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    data = training._assembled(rows, FEATURES)
+    names = {"featuresCol": training.VECTOR, "labelCol": "label", "seed": 3}
+    models = {
+        "forest": RandomForestClassifier(numTrees=7, maxDepth=6, **names).fit(data),
+        "boosted": GBTClassifier(maxIter=6, maxDepth=3, **names).fit(data),
+    }
+    a, b = F.col("a"), F.col("b")
+    variants = {"v0": {"a": a, "b": b}, "v1": {"a": F.lit(0.0), "b": b}, "v2": {"a": a, "b": -b}, "v3": {"a": b, "b": a}}
+    for name, model in models.items():
+        trees = Trees.of(model, f"{tmp_path}/{name}")
+        walked = BatchScorer(trees, FEATURES).add_scores(rows, variants)
+        plan = walked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        own = MLScorer(model, FEATURES).add_scores(rows, variants)
+        for x, y in zip(walked.orderBy("case").collect(), own.orderBy("case").collect(), strict=True):
+            assert [x[v] for v in variants] == pytest.approx([y[v] for v in variants])

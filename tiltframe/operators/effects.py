@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tiltframe.functions.scalar import add_all, base2_logit, literal_array
 from tiltframe.operators.scaling import binary_columns
 from tiltframe.operators.scorers import Scorer
+from tiltframe.operators.values import within_length
 from tiltframe.schemas import KEYS
 
 
@@ -175,8 +176,9 @@ def series_effects(
     A scorer maps a sequence ``ARRAY<STRUCT<features>>`` of exactly ``length`` steps to a
     probability (a Column expression, or a pandas_udf over the array). The sequence of a row is
     the history of its case up to and including its timepoint, earliest step first, padded with
-    zero steps at the end; only the row's own step is perturbed. A case has one row per
-    timepoint, so ``length`` (the model's input length) bounds every collected history.
+    zero steps at the end; only the row's own step is perturbed. The rows of a case are counted before
+    any history is gathered, and a case of more than ``length`` (the model's input length) fails the
+    query; so ``length`` bounds every collected history.
     """
     features = [step.feature for step in plan]
     inputs = list(inputs or features)
@@ -186,16 +188,9 @@ def series_effects(
     )
     step = lambda values: F.struct(*[values[f].cast("double").alias(f) for f in inputs])
     original = {f: F.col(f) for f in inputs}
-    rows = df.select(
-        *KEYS, *inputs, F.collect_list(step(original)).over(past).alias("__history")
-    )
-    rows = rows.withColumn(
-        "__history",
-        F.when(
-            F.size("__history") > length,
-            F.raise_error(F.lit(f"a case has more than {length} timepoints")),
-        ).otherwise(F.col("__history")),
-    )
+    rows = within_length(df.select(*KEYS, *inputs), "case", length)
+    gathered = F.collect_list(F.when(F.col("__within"), step(original))).over(past)
+    rows = rows.select(*KEYS, *inputs, gathered.alias("__history"))
     if not reverse:  # steps are still laid out from the largest timepoint to the smallest
         rows = rows.withColumn("__history", F.reverse("__history"))
     rows = _with_baselines(rows, baselines)

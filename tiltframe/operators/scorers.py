@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,25 +68,91 @@ class MLScorer:
 
 
 class BatchScorer:
-    """Any Python model: ``predict(pandas.DataFrame) -> probabilities``, called per Arrow batch."""
+    """Any Python model: ``predict(pandas.DataFrame) -> probabilities``.
+
+    All variants of a batch of rows are scored in one call: a row is sent once, with its features and
+    the values that variants change, and an array of probabilities comes back.
+    """
 
     def __init__(self, predict: Callable[[pd.DataFrame], Sequence[float]], features: Sequence[str]):
         self.predict = predict
         self.features = list(features)
 
     def add_scores(self, df: DataFrame, variants: Variants) -> DataFrame:
-        predict = self.predict
-
-        @F.pandas_udf(T.DoubleType())
+        predict, features = self.predict, self.features
+        sent: dict[int, Column] = {}
+        # Variants share the Column objects of the features that they leave alone.
+        for values in variants.values():
+            for f in features:
+                sent.setdefault(id(values[f]), values[f])
+        place = {key: i for i, key in enumerate(sent)}
+        picks = [[place[id(values[f])] for f in features] for values in variants.values()]
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def score(batch: pd.DataFrame) -> pd.Series:
-            return pd.Series(predict(batch), dtype="float64")
-
-        return df.withColumns(
-            {
-                name: score(F.struct(*[values[f].cast("double").alias(f) for f in self.features]))
-                for name, values in variants.items()
-            }
-        )
+            cells = batch.to_numpy(np.float64)
+            stacked = np.concatenate([cells[:, pick] for pick in picks])
+            found = np.asarray(predict(pd.DataFrame(stacked, columns=features)), dtype=np.float64)
+            return pd.Series(list(found.reshape(len(picks), len(batch)).T))
+
+        scores = score(F.struct(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(sent.values())]))
+        df = df.withColumn("__batch_scores", scores)
+        found = {name: F.get("__batch_scores", F.lit(i)) for i, name in enumerate(variants)}
+        return df.withColumns(found).drop("__batch_scores")
+
+
+class Trees:
+    """A fitted forest or boosted ensemble as flat arrays of nodes, walked level by level for a whole batch.
+
+    The nodes are those of the model's saved form. ``feature`` is -1 at a leaf; ``left`` and ``right`` are
+    node numbers over all trees; a leaf's ``value`` already holds the tree's weight.
+    """
+
+    def __init__(self, roots, feature, threshold, left, right, value, depth: int, boosted: bool):
+        self.roots, self.feature, self.threshold = roots, feature, threshold
+        self.left, self.right, self.value = left, right, value
+        self.depth, self.boosted = depth, boosted
+
+    @classmethod
+    def of(cls, model, path: str) -> Trees:
+        """From a fitted random forest or gradient-boosted classifier, saved below ``path``."""
+        model.write().overwrite().save(path)
+        saved = SparkSession.active().read.parquet(f"{path}/data")
+        # As many rows as the model has nodes.
+        nodes = saved.select("treeID", "nodeData.*").toPandas().sort_values(["treeID", "id"])
+        boosted = model.hasParam("stepSize")
+        tree = nodes["treeID"].to_numpy(np.int64)
+        first = np.searchsorted(tree, np.arange(tree.max() + 1))
+        split = [s["featureIndex"] for s in nodes["split"]]
+        if any(s["numCategories"] > 0 for s in nodes["split"]):
+            raise ValueError("trees over categorical splits are not supported")
+        threshold = [s["leftCategoriesOrThreshold"][0] if s["featureIndex"] >= 0 else 0.0 for s in nodes["split"]]
+        if boosted:
+            value = nodes["prediction"].to_numpy(np.float64) * np.array(model.treeWeights)[tree]
+        else:
+            stats = np.stack(nodes["impurityStats"].to_numpy())
+            value = stats[:, 1] / stats.sum(1) / len(first)
+        base = first[tree]
+        depth = max(t.depth for t in model.trees)
+        return cls(
+            first, np.array(split, np.int64), np.array(threshold, np.float64), nodes["leftChild"].to_numpy(np.int64) + base,
+            nodes["rightChild"].to_numpy(np.int64) + base, value, depth, boosted,
+        )
+
+    def __call__(self, batch: pd.DataFrame) -> np.ndarray:
+        x = batch.to_numpy(np.float64)
+        row, total = np.arange(len(x)), np.zeros(len(x))
+        for root in self.roots:
+            at = np.full(len(x), root)
+            for _ in range(self.depth):
+                f = self.feature[at]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                down = np.where(x[row, f] <= self.threshold[at], self.left[at], self.right[at])
+                at = np.where(inner, down, at)
+            total += self.value[at]
+        return 1 / (1 + np.exp(-2 * total)) if self.boosted else total
 
 
 class VoteScorer:

@@ -99,6 +99,19 @@ def series_length(df: DataFrame, time: str = "timepoint") -> int:
     return df.select(time).distinct().count()
 
 
+def within_length(df: DataFrame, case: str, length: int) -> DataFrame:
+    """With ``__within``, true in every row; a row of a case of more than ``length`` rows fails the query.
+
+    The window that counts a case's rows spills to disk and holds no arrays, and what gathers the case
+    afterwards needs no other shuffle.
+    """
+    counted = df.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(case)))
+    within = F.when(
+        F.col("__rows") > length, F.raise_error(F.lit(f"a case has more than {length} timepoints")).cast("boolean")
+    ).otherwise(True)
+    return counted.withColumn("__within", within).drop("__rows")
+
+
 def sequence_pad(
     df: DataFrame,
     features: Sequence[str],
@@ -109,19 +122,16 @@ def sequence_pad(
 ) -> DataFrame:
     """One row per case with one zero-padded array per feature, earliest step first.
 
-    A case with more steps than ``length`` fails the query, which also bounds each gather: a
-    case has one row per timepoint.
+    A case with more steps than ``length`` fails the query before anything is gathered, so ``length``
+    bounds each gather.
     """
     length = series_length(df, time) if length is None else length
     step = F.struct((-F.col(time)).alias("t"), *[F.col(f).cast("double").alias(f) for f in features])
     carried = [F.min_by(F.col(label), F.col(time)).alias("label")] if label else []
-    gathered = df.groupBy(case).agg(F.sort_array(F.collect_list(step)).alias("__steps"), *carried)
-    checked = F.when(
-        F.size("__steps") > length,
-        F.raise_error(F.lit(f"a case has more than {length} timepoints")),
-    ).otherwise(F.col("__steps"))
+    rows = within_length(df.select(case, time, *features, *([label] if label else [])), case, length)
+    steps = F.sort_array(F.collect_list(F.when(F.col("__within"), step)))
+    padded = rows.groupBy(case).agg(steps.alias("__steps"), *carried)
     padding = F.array_repeat(F.lit(0.0), F.lit(length) - F.size("__steps"))
-    padded = gathered.withColumn("__steps", checked)
     return padded.select(
         case,
         *[F.concat(F.transform("__steps", lambda s: s[f]), padding).alias(f) for f in features],
