@@ -24,7 +24,7 @@ from tiltframe.operators import consensus as votes
 from tiltframe.operators import effects as fx
 from tiltframe.operators import metrics, profiling, ranking, reports, scaling, scorers, split, values
 from tiltframe.operators.ventilation import ventilation_episodes
-from tiltframe.plans import extraction, panel
+from tiltframe.plans import extraction, fitted, panel
 from tiltframe.session import new_table_path, tune
 from tiltframe.sources import delimited, tables
 from workload import fixtures as data
@@ -618,6 +618,25 @@ def _(spark, sf):
     return attribution.mean_abs_attribution(phi)
 
 
+@query("fitted_consensus")
+def _(spark, sf):
+    """A feature CSV, split, standardized and learned by three models, whose areas under the curve weigh
+    their votes on the validation cases."""
+    path = new_table_path(spark, "features-csv")
+    delimited.write_feature_csv(data.order_features(spark, sf).select("case", *ORDER_FEATURES, "label"), path)
+    rows = delimited.read_feature_csv(spark, path, CSV_SCHEMA).withColumn("timepoint", F.lit(0))
+    fits = {
+        "even": lambda part: training.train_logistic(part, ORDER_FEATURES, balanced=True),
+        "lr": lambda part: training.train_logistic(part, ORDER_FEATURES),
+        "svm": lambda part: training.train_svm_calibrated(part, ORDER_FEATURES),
+    }
+    found = fitted.fitted_panel(rows, ORDER_FEATURES, SCALED_FEATURES, fits)
+    return found.select(
+        *KEYS, "label", "winner", "score", "consensus", joined_names("models").alias("models"),
+        "avg_percent_consensus", "avg_percent_all",
+    )
+
+
 # --- effect coefficients ----------------------------------------------------------------------
 @query("base2_logit")
 def _(spark, sf):
