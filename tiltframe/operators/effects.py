@@ -143,6 +143,7 @@ def static_effects(
     rows = _with_baselines(df.select(*dict.fromkeys([*keys, *inputs, *carry])), baselines)
     baseline = F.col("baseline") if baselines is not None else None
     original = {f: F.col(f) for f in inputs}
+    panel = []
     for model, scorer in scorers.items():
         before, folded = f"__{model}_orig", f"__{model}_effects"
         for first in range(0, max(1, len(plan)), BATCH):
@@ -152,11 +153,13 @@ def static_effects(
                 changed = step.apply(F.col(step.feature), baseline)
                 variants[f"__{model}_{i}"] = {**original, step.feature: changed}
             rows = scorer.add_scores(rows, variants)
-            entries = _entries(batch, model, preprocess, compare)
-            entries = F.concat(F.col(folded), entries) if first else entries
-            rows = rows.withColumn(folded, entries).drop(*(f"__{model}_{i}" for i in range(len(batch))))
+            effects = _entries(batch, model, preprocess, compare)
+            effects = F.concat(F.col(folded), effects) if first else effects
+            # The last batch is folded where the panel is put together: its array is built only once.
+            if first + BATCH < len(plan):
+                rows = rows.withColumn(folded, effects).drop(*(f"__{model}_{i}" for i in range(len(batch))))
+        panel.append(_panel_entry(model, effects))
     kept = [*keys, *carry] + (["baseline"] if baselines is not None else [])
-    panel = [_panel_entry(m, F.col(f"__{m}_effects")) for m in scorers]
     return rows.select(*kept, F.array(*panel).alias("panel"))
 
 
