@@ -90,6 +90,9 @@ def _with_baselines(df: DataFrame, baselines: Sequence[float | None] | None) ->
 
 # Variants scored in one projection.
 BATCH = 16
+# Model inputs, over all variants, that the last projection may score by itself; it has the same rows
+# either way, but generated code must not outgrow its limits.
+LATE = 128
 
 
 def _entries(
@@ -143,7 +146,7 @@ def static_effects(
     rows = _with_baselines(df.select(*dict.fromkeys([*keys, *inputs, *carry])), baselines)
     baseline = F.col("baseline") if baselines is not None else None
     original = {f: F.col(f) for f in inputs}
-    panel = []
+    panel, late = [], 0
     for model, scorer in scorers.items():
         before, folded = f"__{model}_orig", f"__{model}_effects"
         for first in range(0, max(1, len(plan)), BATCH):
@@ -155,9 +158,11 @@ def static_effects(
             rows = scorer.add_scores(rows, variants)
             effects = _entries(batch, model, preprocess, compare)
             effects = F.concat(F.col(folded), effects) if first else effects
-            # The last batch is folded where the panel is put together: its array is built only once.
-            if first + BATCH < len(plan):
+            # A last batch may be folded where the panel is put together, which builds its array only once.
+            late += (len(batch) + 1) * len(inputs)
+            if first + BATCH < len(plan) or late > LATE:
                 rows = rows.withColumn(folded, effects).drop(*(f"__{model}_{i}" for i in range(len(batch))))
+                effects = F.col(folded)
         panel.append(_panel_entry(model, effects))
     kept = [*keys, *carry] + (["baseline"] if baselines is not None else [])
     return rows.select(*kept, F.array(*panel).alias("panel"))
