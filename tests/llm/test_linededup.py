@@ -99,3 +99,23 @@ def test_a_full_filter_says_maybe():
     cuckoo = CuckooFilter.for_keys(8)
     cuckoo.add(np.arange(10_000, dtype=np.uint64))
     assert cuckoo.full and cuckoo.contains(np.array([1 << 60], np.uint64)).all()
+
+
+def test_building_in_batches_asks_the_filters(spark, frame, tmp_path, monkeypatch):
+    docs = frame(DOCS * 2 + [(100 + i, f"a line of its own, {i}\nA SHARED line here") for i in range(40)])
+    asked = []
+    probe = linededup.LineIndex._maybe_known
+
+    def spied(self, keys):
+        found = probe(self, keys)
+        asked.append((found.where("maybe").count(), found.where("NOT maybe").count()))
+        return found
+
+    monkeypatch.setattr(linededup.LineIndex, "_maybe_known", spied)
+    index = linededup.indexed(docs, str(tmp_path / "i"), 3)
+    whole = linededup.LineIndex(spark, str(tmp_path / "j"), 2).insert(docs)
+    assert rows(index, docs) == rows(whole, docs)
+    # The shared line is known to the later batches; nearly all lines that only one document holds are not.
+    assert len(asked) == 2 and all(maybe >= 1 for maybe, _ in asked) and sum(new for _, new in asked) > 20
+    references = {bytes(r.key): (r.refs, r.first_doc) for r in index.references().collect()}
+    assert references == {bytes(r.key): (r.refs, r.first_doc) for r in whole.references().collect()}

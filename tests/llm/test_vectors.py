@@ -89,3 +89,14 @@ def test_decoding_finds_every_filter():
         for owner, a, b in np.argwhere(sums >= 0.5):
             want.add((owner, (c * vectors.WORDS + a) * vectors.WORDS + b))
     assert got == want
+
+
+def test_other_lengths_and_extreme_components(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [1.0, 1.0]) for i in (1, 2)] + [(3, [1.0, 1.05]), (4, [1.0, -1.0])]
+    rows += [(10 + i, rng.standard_normal(8).tolist()) for i in range(30)]
+    rows += [(50, [1e-200, 2e-200, 0.0]), (51, [2e-200, 4e-200, 1e-210]), (52, [1e300, 2e300, 0.0]), (53, [5e-324] * 3)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [got[i] for i in (1, 2, 3, 4)] == [(2, 1), (2, 1), (2, 1), (0, 4)]
+    assert [got[i] for i in (50, 51, 52, 53)] == [(2, 50), (2, 50), (2, 50), (0, 53)]
+    assert {i: got[i] for i in range(10, 40)} == plain(rows[4:34])

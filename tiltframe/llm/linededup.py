@@ -18,7 +18,8 @@ change writes a new generation and leaves the one before as it was; a failed job
 
 Null or empty text is one empty line. Rows without an id neither count nor lose lines. Rows that
 repeat an id count as one document. An empty table gives an empty index and no rows. Further columns
-of the documents are returned as they are by ``deduplicated``.
+of the documents are returned as they are by ``deduplicated``, but for those that are named n_lines or
+n_dropped, whose place the new columns take.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from tiltframe.llm.cuckoo import CuckooFilter
 MIN_CHARS = 10
 #: Keys that one shard's filter is made for.
 SHARD_KEYS = 1 << 17
+#: Insertions by which ``indexed`` builds an index; each writes the tables anew.
+BATCHES = 2
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -244,6 +247,16 @@ class LineIndex:
         )
 
 
+def indexed(docs: DataFrame, path: str, batches: int = BATCHES) -> LineIndex:
+    """An index of all documents, inserted in batches by a hash of their ids: the keys of every batch but
+    the first meet the filters, and only those that these may know meet the reference table."""
+    index = LineIndex(docs.sparkSession, path, shard_count(docs))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    for i in range(batches):
+        index.insert(docs.where(part == i))
+    return index
+
+
 def shard_count(docs: DataFrame, lines_per_doc: int = 16) -> int:
     """Shards for an index that begins with these documents, from their number alone."""
     return max(1, -(-docs.count() * lines_per_doc // SHARD_KEYS))

@@ -119,8 +119,7 @@ def op9_katz_backoff(spark, sf):
 @query
 def op10_line_dedup(spark, sf):
     docs = table(spark, sf, "documents")
-    index = linededup.LineIndex(spark, new_table_path(spark, "line-index"), linededup.shard_count(docs))
-    return index.insert(docs).digests(docs)
+    return linededup.indexed(docs, new_table_path(spark, "line-index")).digests(docs)
 
 
 ORACLES["op10_line_dedup"] = r"""

@@ -16,9 +16,10 @@ per vector: its number of links found there and the smallest vector that it reac
 Equal vectors collapse into one before all this and are counted back. Links are the pairs of cosine
 at least ``SIMILARITY`` in double precision.
 
-Vectors that are null, empty, zero, of another length than the table's most frequent one (the longer
-one if two are as frequent), or hold null or non-finite components, link with nothing; each is its own
-component. Rows that repeat an id count as separate vectors of that id: links are counted per row, and
+Vectors of one length are compared with each other, whatever that length; each length has its own codes
+and jobs. Components are scaled by the largest one before the norm is taken, so neither very small nor
+very large ones lose their direction. Vectors that are null, empty, zero, or hold null or non-finite
+components, link with nothing; each is its own component. Rows that repeat an id count as separate vectors of that id: links are counted per row, and
 the result has one row per row. Rows without an id are left out. An empty table gives no rows. Further
 columns are ignored.
 """
@@ -111,6 +112,7 @@ def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     x = flat.view(dtype).reshape(len(column), -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -119,10 +121,7 @@ def usable(rows: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"))
-    width = sizes.orderBy(F.desc("n"), F.desc("width")).first()
-    return rows.where(F.size("v") == (width.width if width else 0))
+    return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
 def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -136,7 +135,17 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
             data = [(np.array(v.as_py(), dtype) + 0).tobytes() for v in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], ["vec_id", "vector"])
 
-    table = _stored(usable(rows).mapInArrow(packed, "vec_id long, vector binary"), "vectors")
+    vectors = _stored(usable(rows).mapInArrow(packed, "vec_id long, vector binary"), "vectors")
+    rest = rows.select(F.col("vec_id").cast("long")).where("vec_id IS NOT NULL").exceptAll(vectors.select("vec_id"))
+    found = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # A row for each length.
+    for width in vectors.groupBy(F.length("vector").alias("width")).count().collect():
+        found = found.unionByName(_linked(vectors.where(F.length("vector") == width.width), dtype, similarity))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(table: DataFrame, dtype: str, similarity: float) -> DataFrame:
+    """vec_id, n_links and component_id of vectors of one length."""
     distinct = table.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = _stored(distinct, "distinct-vectors")
     copies = table.join(reps.select("vector", "rep", "copies"), "vector").select("vec_id", "rep", "copies")
@@ -203,7 +212,7 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
     met = _stored(met.groupBy("rep", "low").agg(F.sum("links").alias("links")), "cap-links")
     roots = components(met.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = (
+    return (
         copies.join(links, "rep", "left")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
@@ -212,9 +221,6 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
             F.coalesce("root", "rep").alias("component_id"),
         )
     )
-    rest = rows.select(F.col("vec_id").cast("long")).where("vec_id IS NOT NULL").exceptAll(table.select("vec_id"))
-    alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def _met(rows: pa.RecordBatch, dtype: str, similarity: float) -> pa.RecordBatch:
