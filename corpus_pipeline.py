@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    index = linededup.LineIndex(spark, new_table_path(spark, "line-index"), linededup.shard_count(docs))
-    kept = index.insert(docs).deduplicated(docs).select(*docs.columns)
+    index = linededup.indexed(docs, new_table_path(spark, "line-index"))
+    kept = index.deduplicated(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
