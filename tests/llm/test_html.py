@@ -1,3 +1,9 @@
+import re
+import time
+from html import unescape
+
+import pytest
+
 from tiltframe.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head>
@@ -90,3 +96,37 @@ def test_whole_table_has_the_paragraphs(spark, sf):
     for p in pages.collect():
         (r,) = [r for r in rows if r.page_id == p.page_id]
         assert r.text.count("\n\n") + 1 >= p.html.count("</p>") - 1 and "©" not in r.text
+
+
+def plain_text(page):
+    """The article of a page of the given tables, taken apart with regular expressions."""
+    inner = re.search(r"<article\b[^>]*>(.*?)</article>", page, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style|form|aside|nav|button)\b.*?</\1>|<div class=\"(?:ad|cookie|share|related)\b.*?</div>", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|table|tr|td|th|tbody|thead|blockquote|pre|figure|figcaption|hr|dl|dt|dd)\b[^>]*>", inner)
+    texts = [" ".join(unescape(re.sub(r"<br[^>]*>", " ", b) if "<br" in b else b).split()) for b in (re.sub(r"<(?!br)[^>]*>", "", b) for b in blocks)]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_given_pages_against_plain_extraction(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plain_text(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert got == want and all(got.values())
+
+
+def test_forms_and_marked_paragraphs():
+    page = "<body><form action=x><div><h1>T</h1><p>Long text of the page here</p><p class='ad'>BUY NOW</p><label>l</label><input></div></form></body>"
+    assert html.extract(page, []) == "T\n\nLong text of the page here"
+    page = "<body><div><h1>T</h1><p>Long text of the page here</p><form><p>Your name</p></form></div></body>"
+    assert html.extract(page, []) == "T\n\nLong text of the page here"
+    page = "<body><p class='ad'>The only text of a page whose template calls all paragraphs so</p></body>"
+    assert html.extract(page, []).startswith("The only text")
+
+
+@pytest.mark.parametrize("body", ["<div>", "<div>x ", "</i>", "<p class=ad>y", "<b>", "<form>"])
+def test_deep_and_unclosed_nesting(body):
+    began = time.perf_counter()
+    page = "<body><article><p>text of the article</p></article>" + body * 50_000 + "<p>end</p>" * 100
+    html.extract(page, [])
+    assert all(len(path) < 600 for path in html.ballot(page))
+    assert time.perf_counter() - began < 5

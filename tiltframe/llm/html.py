@@ -3,7 +3,8 @@
 Each page's containers are scored by the text that is left in them once menus, forms, adverts and the
 like are out; the page votes for the generalised path (tags with classes, numbers masked) of the
 smallest container that holds most of it, widened to all text of the main or article element around it.
-A part that a class or id alone marks as boilerplate stays in if it holds most of the page's text.
+A form, or a part that a class or id alone marks as boilerplate, stays in if it holds most of the page's
+text; whole pages lie in forms.
 
 Votes are counted per host in Spark, beside how many pages have each of these paths at all, and every
 page is extracted again from the containers on its host's winning paths, best first. A page with a best
@@ -24,7 +25,9 @@ of the path. An empty table gives no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -41,7 +44,7 @@ SHARE = 0.7
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset(
-    "head title script style noscript template svg math canvas iframe object nav footer aside form button "
+    "head title script style noscript template svg math canvas iframe object nav footer aside button "
     "select option textarea input label dialog menu audio video".split()
 )
 BLOCKS = frozenset(
@@ -51,7 +54,9 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("body main article section div td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never are boilerplate because of their class alone.
-TRUSTED = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
+TRUSTED = frozenset("html body main article".split())
+#: A longer path is told by a hash of its beginning, so that deep pages stay small.
+LONGEST_PATH = 512
 #: Parts of class names and ids of what is not the article.
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie "
@@ -105,6 +110,7 @@ class Page:
     def _parse(self, html: str, spared: frozenset[int]) -> None:
         self.tags, self.parents, self.paths, self.states = ["#"], [-1], [""], [""]
         self.open = [0]
+        self.counts: Counter[str] = Counter()  # of open tags
         self.blocks: list[tuple[int, str, int]] = []
         self.words: list[str] = []
         self.linked = 0
@@ -112,9 +118,15 @@ class Page:
         # Nodes that are out by their class or id alone, with the text in each that is no link.
         self.spared = spared
         self.marked: dict[int, int] = {}
+        self.marked_open: list[int] = []
+        self.marked_above: dict[int, int] = {}
         self.marked_text = 0
         self._read(html)
         self._end_block()
+        # The text of a marked node is that of the marked nodes in it, too.
+        for node, above in sorted(self.marked_above.items(), reverse=True):
+            if above >= 0:
+                self.marked[above] += self.marked[node]
 
     def _read(self, html: str) -> None:
         at = 0
@@ -156,6 +168,9 @@ class Page:
     def _pop(self, count: int) -> None:
         for node in self.open[count:]:
             self.links -= self.tags[node] == "a"
+            self.counts[self.tags[node]] -= 1
+            if self.marked_open and self.marked_open[-1] >= node:
+                self.marked_open.pop()
         del self.open[count:]
 
     def handle_starttag(self, tag: str, attributes: str) -> None:
@@ -176,36 +191,42 @@ class Page:
         if above != "out":
             if tag in SKIPPED or "hidden" in values or values.get("role") in ("navigation", "banner", "search", "contentinfo"):
                 state = "out"
-            elif names and self._marked(tag, names, values.get("class", "")):
-                if len(self.tags) not in self.spared:
+            elif tag == "form" or names and self._marked(tag, names, values.get("class", "")):
+                node = len(self.tags)
+                if node not in self.spared:
                     state = "marked"
-                    self.marked[len(self.tags)] = 0
+                    self.marked[node] = 0
+                    self.marked_above[node] = self.marked_open[-1] if self.marked_open else -1
+                    self.marked_open.append(node)
             elif tag == "header" and state != "marked":
-                state = "headings" if {"article", "main"} & self._open_tags() else "out"
+                state = "headings" if self.counts["article"] or self.counts["main"] else "out"
         kind = tag
         if "class" in values:
             kind = ".".join((tag, *sorted(_NUMBER.sub("#", n) for n in values["class"].split())))
+        path = self.paths[self.open[-1]]
+        if len(path) > LONGEST_PATH:
+            path = f"~{hashlib.blake2b(path.encode(), digest_size=16).hexdigest()}"
         self.tags.append(tag)
+        self.counts[tag] += 1
         self.parents.append(self.open[-1])
-        self.paths.append(f"{self.paths[self.open[-1]]}/{kind}")
+        self.paths.append(f"{path}/{kind}")
         self.states.append(state)
         self.open.append(len(self.tags) - 1)
         self.links += tag == "a"
 
     def _marked(self, tag: str, names: str, classes: str) -> bool:
         if tag == "article":
-            return _unwanted(classes) and "article" in self._open_tags()
+            return _unwanted(classes) and self.counts["article"] > 0
         return tag not in TRUSTED and _unwanted(names)
 
-    def _open_tags(self) -> set[str]:
-        return {self.tags[n] for n in self.open}
-
     def _close_implied(self, tag: str) -> None:
         if tag == "body":
             self._pop(max((i + 1 for i, n in enumerate(self.open) if self.tags[n] == "html"), default=1))
             return
         closed = SIBLINGS.get(tag, frozenset()) | CLOSED_BY_BLOCK
         for i in range(len(self.open) - 1, 0, -1):
+            if not any(self.counts[t] for t in closed):
+                break
             own = self.tags[self.open[i]]
             if own in closed:
                 self._pop(i)
@@ -215,6 +236,8 @@ class Page:
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_block()
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.tags[self.open[i]] == tag:
                 self._pop(i)
@@ -223,14 +246,12 @@ class Page:
     def handle_data(self, data: str) -> None:
         node = self.open[-1]
         state = self.states[node]
-        if state == "out" or state == "headings" and not HEADINGS & {self.tags[n] for n in self.open}:
+        if state == "out" or state == "headings" and not any(self.counts[h] for h in HEADINGS):
             return
         if state == "marked":
             size = 0 if self.links else len(data.strip())
             self.marked_text += size
-            for n in self.open:
-                if n in self.marked:
-                    self.marked[n] += size
+            self.marked[self.marked_open[-1]] += size
             return
         self.words.append(unescape(data) if "&" in data else data)
         if self.links:
@@ -238,14 +259,14 @@ class Page:
 
     def scores(self, links: bool = False) -> dict[int, int]:
         """Text in each container, without that of links or with it."""
-        out: dict[int, int] = {}
+        sizes: dict[int, int] = {}
         for node, text, linked in self.blocks:
-            own = len(text) if links else max(0, len(text) - linked)
-            while node > 0:
-                if self.tags[node] in CONTAINERS:
-                    out[node] = out.get(node, 0) + own
-                node = self.parents[node]
-        return out
+            sizes[node] = sizes.get(node, 0) + (len(text) if links else max(0, len(text) - linked))
+        # A node's number is higher than its parent's.
+        for node in range(len(self.parents) - 1, 0, -1):
+            if node in sizes and self.parents[node] > 0:
+                sizes[self.parents[node]] = sizes.get(self.parents[node], 0) + sizes[node]
+        return {n: size for n, size in sizes.items() if n > 0 and self.tags[n] in CONTAINERS}
 
     def scope(self, node: int) -> int:
         """The outermost main or article element that holds this container or is it, or 0."""
@@ -273,26 +294,32 @@ class Page:
                 node = self.parents[node]
         return node
 
-    def _above(self, node: int) -> Iterator[int]:
-        while node > 0:
-            yield node
-            node = self.parents[node]
+    def _around(self, nodes: set[int]) -> list[bool]:
+        """For each node, if it is one of these or holds one."""
+        out = [n in nodes for n in range(len(self.parents))]
+        for node in range(len(out) - 1, 0, -1):
+            if out[node]:
+                out[self.parents[node]] = True
+        return out
+
+    def _inside(self, nodes: set[int]) -> list[bool]:
+        """For each node, if it is one of these or in one."""
+        out = [False]
+        for node in range(1, len(self.parents)):
+            out.append(node in nodes or out[self.parents[node]])
+        return out
 
     def text_of(self, nodes: set[int]) -> str:
         """The blocks in any of these containers, or beside one in no other container."""
-        around = {n for node in nodes for n in self._above(node)}
+        around, inside = self._around(nodes), self._inside(nodes)
+        nearest = [0]
+        for node in range(1, len(self.parents)):
+            nearest.append(node if self.tags[node] in CONTAINERS else nearest[self.parents[node]])
         kept = []
         for node, text, _ in self.blocks:
-            nearest = 0
-            for n in self._above(node):
-                if n in nodes:
-                    break
-                if not nearest and self.tags[n] in CONTAINERS:
-                    nearest = n
-            else:
-                if not (nearest in around if nearest else nodes):
-                    continue
-            kept.append(text)
+            beside = around[nearest[node]] if nearest[node] else nodes
+            if node > 0 and inside[node] or beside:
+                kept.append(text)
         return "\n\n".join(kept)
 
 
@@ -327,8 +354,8 @@ def extract(html: str, winners: list[str], shares: list[float] | None = None) ->
     share = dict(zip(winners, shares or [], strict=False))
     for path in winners:
         nodes = {n for n, p in enumerate(page.paths) if p == path}
-        inside = page.blocks and any(nodes & set(page._above(b[0])) for b in page.blocks)
-        if not inside:
+        inside = page._inside(nodes)
+        if not any(inside[b[0]] for b in page.blocks):
             continue
         own = page.paths[best]
         if not best or own == path:
@@ -338,7 +365,7 @@ def extract(html: str, winners: list[str], shares: list[float] | None = None) ->
                 return page.text_of({n for n, p in enumerate(page.paths) if p == own})
         elif len(page.text_of(nodes)) < len(page.text_of({best})):
             nodes = nodes | {best}
-        if page.scope(best) and any(best in page._above(n) for n in nodes):
+        if page.scope(best) and page._around(nodes)[best]:
             nodes = nodes | {best}
         return page.text_of(nodes)
     return page.text_of({best})
