@@ -24,7 +24,7 @@ from tiltframe.operators import consensus as votes
 from tiltframe.operators import effects as fx
 from tiltframe.operators import metrics, profiling, ranking, reports, scaling, scorers, split, values
 from tiltframe.operators.ventilation import ventilation_episodes
-from tiltframe.plans import extraction, fitted, panel
+from tiltframe.plans import extraction, fitted, panel, series
 from tiltframe.session import new_table_path, tune
 from tiltframe.sources import delimited, tables
 from workload import fixtures as data
@@ -303,6 +303,22 @@ def _(spark, sf):
     )
 
 
+STUDY_FEATURES = ["heartrate_mean", "sysbp_mean", "tempc_mean", "albumin", "creatinine"]
+
+
+def _study_risk(v):
+    score = 0.3 * v["heartrate_mean"] - 0.2 * v["sysbp_mean"] + 0.1 * v["tempc_mean"] - 0.4 * v["albumin"] + 0.5 * v["creatinine"]
+    return 1.0 / (1.0 + F.exp(-(score - 0.3)))
+
+
+@query("study_to_sweep")
+def _(spark, sf):
+    """From the base tables to the effects of every perturbation size on every selected stay."""
+    selected = stored(spark, cohort(spark, sf), "cohort")
+    study = extraction.study(_clinical(spark, sf), MIN_HOURS, WINDOW_AND_LEAD, LEAD, selected=selected)
+    return series.study_sweep(study, STUDY_FEATURES, {"risk": scorers.ColumnScorer(_study_risk)}, SWEEP)
+
+
 @query("case_lookup")
 def _(spark, sf):
     return visits.case_lookup(data.admissions(spark, sf), 7)
@@ -409,6 +425,16 @@ def _(spark, sf):
     )
 
 
+@query("series_split")
+def _(spark, sf):
+    """Both sides of the split as padded sequences, standardized by the training side."""
+    sides = series.series_sides(data.user_days(spark, sf), DAY_FEATURES, "outcome")
+    steps = F.arrays_zip(*DAY_FEATURES)
+    return sides.select("case", "is_valid", "label", F.posexplode_outer(steps).alias("position", "s")).select(
+        "case", "is_valid", "label", "position", *[F.col(f"s.{f}").alias(f) for f in DAY_FEATURES]
+    )
+
+
 @query("series_slice")
 def _(spark, sf):
     days = data.user_days(spark, sf)
