@@ -99,3 +99,23 @@ def test_plan_closes_gaps_exactly():
     lines = packing.plan({20: 5, 12: 2, 7: 3, 5: 3}, 32)
     assert sum(line.times for line in lines) == 5
     assert sum(line.times for line in lines if sum(line.lengths) == 32) == 5
+
+
+def test_one_frequent_length(spark, monkeypatch):
+    """A length with many pieces has many chunks, and every place is taken once."""
+    monkeypatch.setattr(packing, "CHUNKS", 1)
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    rows = [(i, 0, 0, 1024 if i % 4 else 300 + i % 7, 7) for i in range(2000)] + [(1, 0, 0, 1024, 7)] * 30
+    got = packing.pack(spark.createDataFrame(rows, kinds)).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(rows)
+    spans = {}
+    for r in got:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in spans.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sum(len(s) == 1 for s in spans.values()) >= 1530

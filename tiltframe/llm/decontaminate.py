@@ -119,7 +119,7 @@ def leaks(
     )
     kept = met.join(hopeful, ["doc_id", "item_id"])
 
-    def tile(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["doc_place", "item_place"])
         found = tiles(rows["doc_place"].to_numpy(), rows["item_place"].to_numpy(), min_match)
         n, covered = int(rows["n_words"].max()), sum(t[2] for t in found)

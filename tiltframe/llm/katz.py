@@ -372,7 +372,7 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
     exact = _exact(rows, heavy)
     buckets = max(1, -(-total // BUCKET_TOKENS))
 
-    def count(key, own: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         left, totals = _counted(own["data"].tolist(), heavy, exact, buckets, tables)
         out = pd.DataFrame(left, columns=["kind", "block", "data"])
         out["totals"] = None
@@ -395,7 +395,7 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
             totals[1 + n] += 1
     model = Model(totals)
 
-    def meet(key, own: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(d) for d in own["data"][own["kind"] == "history"]]
         out = []
         if found:
@@ -420,7 +420,7 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
     both = stage.where("kind IN ('history', 'miss')").select("kind", "block", "data")
     more = both.groupBy("block").applyInPandas(meet, "kind string, block int, data binary")
 
-    def finish(key, own: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(d) for d in own["data"][own["kind"] == "doc"]]
         ids, prints = np.concatenate([np.cumsum(f[0]) for f in found]), np.concatenate([f[1] for f in found])
         extra = [unpack(d) for d in own["data"][own["kind"] == "more"]]

@@ -37,8 +37,9 @@ from tiltframe.session import new_table_path
 
 SIZE = 1024
 END_ID = 2
-#: Pieces of one length are numbered in this many chunks.
-CHUNKS = 64
+#: Pieces of one length are numbered in so many chunks at least, and in chunks of about CHUNK at most.
+CHUNKS, CHUNK = 64, 50_000
+
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of n tokens."""
@@ -161,10 +162,15 @@ def _lookup(lines: list[PlanLine]) -> dict[int, tuple[list[int], list[int], list
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     spark = pieces.sparkSession
-    chunk = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(CHUNKS)).cast("int")
     path = new_table_path(spark, "pieces")
-    pieces.withColumn("chunk", chunk).write.parquet(path)
+    pieces.write.parquet(path)
     pieces = spark.read.parquet(path)
+    # A length has as many chunks as its number of pieces asks for, so no task orders more than about one.
+    chunks = [CHUNKS] * (size + 1)
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        chunks[r.length] = max(CHUNKS, -(-r.n // CHUNK))
+    hashed = F.xxhash64("doc_id", "piece", "ids_crc32", "start")
+    pieces = pieces.withColumn("chunk", F.pmod(hashed, F.get(F.array(*map(F.lit, chunks)), F.col("length"))))
     cells = {(r.length, r.chunk): r.n for r in pieces.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts: dict[int, int] = {}
     bases: dict[tuple[int, int], int] = {}
