@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C55)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that are worked on at once, but for a single longer text.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Bytes hashed at a time; a longer run is only met where one document or one word is longer.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
