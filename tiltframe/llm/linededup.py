@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltframe.llm.cuckoo import CuckooFilter
+from tiltframe.llm.text import slices
 
 MIN_CHARS = 10
 #: Keys that one shard's filter is made for.
@@ -61,7 +62,7 @@ def line_postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """key and doc_id of every key of every document with an id, each once per row of documents."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             keys, ids = [], []
             for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
                 own = {line_key(line, min_chars) for line in text.split(b"\n")}
@@ -219,7 +220,7 @@ class LineIndex:
         min_chars = self.min_chars
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, len(names)):
                 kept, totals, dropped = [], [], []
                 lost = batch.column(batch.schema.get_field_index("lost")).to_pylist()
                 for text, gone in zip(_texts(batch.column(batch.schema.get_field_index("text"))), lost, strict=True):
