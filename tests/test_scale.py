@@ -1,6 +1,7 @@
 """Plans that have to hold when one key owns a large share of the rows."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -68,3 +69,20 @@ def test_core_queries_have_no_python_and_no_cartesian_product(spark, sf):
         text = plan_of(QUERIES[name](spark, sf))
         for bad in ("EvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "NestedLoop"):
             assert bad not in text, (name, bad)
+
+
+def test_episodes_shuffle_by_day_and_not_again(spark, sf):
+    """One state per day: no more than ten exchanges, each input read once."""
+    df = QUERIES["ventilation_episodes"](spark, sf)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"\bExchange ", final)) <= 10
+    assert final.count("FileScan") <= 3
+
+
+def test_correlations_have_one_plan_for_any_number_of_pairs(spark):
+    from tiltframe.functions.sums import matrix_sums
+
+    wide = spark.range(50).select(*[(F.col("id") * i % 7).cast("double").alias(f"c{i}") for i in range(64)])
+    assert matrix_sums(wide, wide.columns, lambda x: x.T @ x).shape == (64, 64)
+    assert matrix_sums(wide.limit(0), wide.columns, lambda x: x.sum(0)).tolist() == [0.0] * 64
