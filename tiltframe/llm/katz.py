@@ -1,15 +1,16 @@
-"""Katz backoff scores of documents by bigrams.
+"""Katz backoff scores of documents by n-grams, ``ORDER`` tokens long at most.
 
-Counts of pairs (history, token) and of tokens are taken from the training documents; a history is
-the token before, or the start. With k = ``K``, counts r up to k are discounted by Good-Turing, larger
-ones keep all but a 1 / (N + 2) share, so that every history leaves some mass:
+Counts of n-grams of every order k (a history of k - 1 tokens, and a token) are taken from the training
+documents; before a text stand as many starts as its first histories need. With ``K``, counts r up to K
+are discounted by Good-Turing, larger ones keep all but a 1 / (N + 2) share, so that every history leaves
+some mass. H is a history of k - 1 tokens, H' is H without its oldest token:
 
-    P(t | h) = d2(r) r / c(h)              if r = c(h, t) > 0
-             = alpha(h) P(t)               else, if c(h) > 0
-             = P(t)                        else
-    P(t)     = d1(r) r / N                 if r = c(t) > 0
+    P(t | H) = d_k(r) r / c(H)             if r = c(H, t) > 0
+             = alpha(H) P(t | H')          else, if c(H) > 0
+             = P(t | H')                   else
+    P(t)     = d_1(r) r / N                if r = c(t) > 0
              = 1 - sum of all those        else: the mass of all unknown tokens together
-    alpha(h) = (1 - sum_seen P(t | h)) / (1 - sum_seen P(t))
+    alpha(H) = (1 - sum_seen P(t | H)) / (1 - sum_seen P(t | H'))
 
 so the probabilities of all known tokens and of "unknown" add up to 1 after every history. Where the
 counts of counts n(1) to n(K + 1) give a discount outside (0, 1), they are smoothed as in Simple
@@ -18,18 +19,24 @@ they fall faster than 1 / r. Only where they do not, or fewer than three of them
 absolute discounting by n1 / (n1 + 2 n2) stands in. The log says which was used.
 
 How it runs. Documents are read once for the frequent tokens, once more to count those exactly (they
-are at most ``HEAVY``), and once to send every position of every document, packed into arrays, to the
-bucket of its token; positions of a frequent token are spread by their history. The number of buckets
-follows the number of positions, so a bucket is bounded. A bucket counts its tokens and pairs, and
-leaves, in a table partitioned by kind,
+are at most ``HEAVY``), and once to send every position of every document with its history, packed into
+arrays, to the bucket of its token; positions of a frequent token are spread by the token before. The
+number of buckets follows the number of positions, so a bucket is bounded. A bucket holds all of each of
+its n-grams of every order. It leaves, in a table partitioned by kind,
 
-* ``doc``: for each position of each document the count of its token and of its pair;
-* ``history``: for each history how many pairs and tokens of which count follow it;
-* ``miss``: the histories of the positions whose pair was never seen;
-* ``token`` and ``pair``: the counts themselves, if ``tables`` are asked for.
+* ``doc``: for each position of each document the counts of its n-grams;
+* ``count``: the n-grams of each order with their counts;
+* ``history``: the same once more, for the block of their history;
+* ``top``: how many pairs of which count follow a frequent token, a few numbers for the driver;
+* ``miss``: the histories of the positions whose longest n-gram was never seen, for the same blocks.
 
-Counts of counts of all buckets give the discounts; histories meet their misses for alpha; and all that
-concerns a document is summed up. Positions are never joined one by one with a table.
+A block is that of the last token of a history; histories that end in a frequent token are spread by the
+token before it. Counts of counts of all buckets give the discounts; a block works out c(H) and alpha(H) of
+its histories, order by order, writes them to a second table (``weight``) and answers its misses; and all
+that concerns a document is summed up. Positions are never joined one by one with a table.
+
+``count`` and ``weight`` are the model. ``counts`` and ``weights`` read them as rows, and ``score_stored``
+scores any other text with them, by joins and the recursion above.
 
 Null or empty text is one end token. Rows without an id are training rows. Rows that repeat an id and a
 text are counted and returned each. Without training tokens every probability is 1. An empty table gives
@@ -44,7 +51,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltframe.llm.packed import pack, small, steps, unpack
@@ -55,13 +62,16 @@ log = logging.getLogger(__name__)
 
 #: Counts that are discounted.
 K = 5
+#: Tokens of the longest n-gram.
+ORDER = 3
 HEAVY = 1024
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_500_000
 CHUNK_TOKENS = 1_500_000
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 START = np.uint64(0x57A2757A2757A275)
 NO_ID = -(1 << 63)
-CLASSES = 2 * K + 3
+#: Numbers per frequent history: its pairs by count, and what follows it by count.
+TOP = 2 * K + 2
 _FEW = K + 2
 
 
@@ -126,7 +136,49 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _positions(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key that occurs, with the places where it does."""
+    order = np.argsort(small(keys), kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return ((int(keys[own[0]]), own) for own in np.split(order, cuts[1:]) if len(own))
+
+
+def _is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would be, and if it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _chain(past: list[np.ndarray]) -> list[np.ndarray]:
+    """The histories of one token, two tokens and so on; ``past``: the last token, the one before, .."""
+    out = [past[0]]
+    for older in past[1:]:
+        out.append(mix(mix(older) + out[-1]))
+    return out
+
+
+def _with_past(words: np.ndarray, first: np.ndarray, order: int):
+    """Tokens of the texts (an end after each), the tokens before each, and the texts they are of."""
+    sizes = np.diff(first) + 1
+    ends = np.cumsum(sizes) - 1
+    token = np.empty(int(ends[-1]) + 1, np.uint64)
+    inner = np.ones(len(token), bool)
+    inner[ends] = False
+    token[ends] = END
+    token[inner] = words[first[0] : first[-1]]
+    begins = ends - sizes + 1
+    past = [token]
+    for _ in range(order - 1):
+        before = np.empty_like(token)
+        before[1:] = past[-1][:-1]
+        before[begins] = START
+        past.append(before)
+    return token, past[1:], np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _positions(rows: DataFrame, heavy: np.ndarray, buckets: int, order: int) -> DataFrame:
     """(bucket, data): every position of every document, packed."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,156 +188,143 @@ def _positions(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             at = 0
             while at < len(ids):
                 end = max(at + 1, int(np.searchsorted(first, first[at] + CHUNK_TOKENS, "right")) - 1)
-                own, data = _chunk(words, first[at : end + 1], ids[at:end], prints[at:end], train[at:end], heavy, buckets)
+                texts = _with_past(words, first[at : end + 1], order)
+                own, data = _chunk(*texts, ids[at:end], prints[at:end], train[at:end], heavy, buckets)
                 yield pa.record_batch([pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
                 at = end
 
     return rows.select("doc", "print", "train", "text").mapInArrow(sent, "bucket int, data binary")
 
 
-def _chunk(words, first, ids, prints, train, heavy, buckets) -> tuple[list[int], list[bytes]]:
-    sizes = np.diff(first) + 1
-    ends = np.cumsum(sizes) - 1
-    token = np.empty(int(ends[-1]) + 1, np.uint64)
-    inner = np.ones(len(token), bool)
-    inner[ends] = False
-    token[ends] = END
-    token[inner] = words[first[0] : first[-1]]
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[ends - sizes + 1] = START
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+def _indexed(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """One sorted list of the tokens of all columns, and for each column the places in it."""
+    every = np.unique(np.concatenate([np.unique(c) for c in columns]))
+    return every, [small(np.searchsorted(every, c)) for c in columns]
+
+
+def _chunk(token, past, doc, ids, prints, train, heavy, buckets) -> tuple[list[int], list[bytes]]:
     keys = mix(token)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, token), len(heavy) - 1)
-        hot = np.flatnonzero(heavy[at] == token)
-        keys[hot] = mix(keys[hot] ^ before[hot])
-    bucket = _bucket(keys, buckets)
-    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    hot = np.flatnonzero(_is_in(heavy, token)[1])
+    keys[hot] = mix(keys[hot] ^ past[0][hot])
     out, data = [], []
-    for b in range(buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if not len(own):
-            continue
+    for b, own in _groups(_bucket(keys, buckets)):
         tokens, which = np.unique(token[own], return_inverse=True)
-        which = small(which)
-        by_token = np.argsort(which, kind="stable")
-        own = own[by_token]
-        histories, history = np.unique(before[own], return_inverse=True)
+        own = own[np.argsort(small(which), kind="stable")]
+        histories, at = _indexed([p[own] for p in past])
         docs, place = np.unique(doc[own], return_inverse=True)
         out.append(b)
         data.append(
             pack(
-                steps(tokens), small(np.bincount(which)), steps(histories), small(history), small(place),
+                steps(tokens), small(np.bincount(which)), steps(histories), *at, small(place),
                 steps(ids[docs]), prints[docs].astype(np.uint32), train[docs].astype(np.uint8),
             )
         )
     return out, data
 
 
-def _by_block(blocks: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(blocks, kind="stable")
-    cuts = np.searchsorted(blocks[order], np.arange(n + 1))
-    return ((b, order[cuts[b] : cuts[b + 1]]) for b in range(n) if cuts[b] < cuts[b + 1])
-
-
 def _doc_block(ids: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
     return _bucket(mix(ids.astype(np.int64).view(np.uint64) ^ mix(prints.astype(np.uint64))), n)
 
 
-def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, blocks: int, tables: bool):
-    """What one bucket leaves: rows of (kind, block, data) and its counts of counts."""
-    tokens, befores, docs, ids, prints, trains = [], [], [], [], [], []
+def _history_block(past: list[np.ndarray], top: np.ndarray, n: int, other: np.ndarray | None = None) -> np.ndarray:
+    """The block of a history: that of its last token, or of its last two (else of ``other``) after a frequent one."""
+    keys = mix(past[0])
+    hot = np.flatnonzero(_is_in(top, past[0])[1])
+    if len(hot):
+        keys[hot] = mix(keys[hot] ^ mix(past[1][hot] if len(past) > 1 else other[hot]))
+    return _bucket(keys, n)
+
+
+def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, top: np.ndarray, blocks: int, order: int):
+    """What one bucket leaves: rows of (kind, block, data, at, totals)."""
+    tokens, pasts, docs, ids, prints, trains = [], [], [], [], [], []
     base = 0
     for blob in data:
-        t, n, h, history, place, i, p, train = unpack(blob)
+        t, n, h, *at, place, i, p, train = unpack(blob)
+        h = np.cumsum(h)
         tokens.append(np.repeat(np.cumsum(t), n))
-        befores.append(np.cumsum(h)[history])
+        pasts.append([h[a] for a in at])
         docs.append(place.astype(np.int64) + base)
         ids.append(np.cumsum(i))
         prints.append(p)
         trains.append(train)
         base += len(i)
-    token, before, doc = np.concatenate(tokens), np.concatenate(befores), np.concatenate(docs)
-    del tokens, befores, docs
+    token, doc = np.concatenate(tokens), np.concatenate(docs)
+    past = [np.concatenate([p[j] for p in pasts]) for j in range(order - 1)]
+    del tokens, docs, pasts
     ids, prints, trains = np.concatenate(ids), np.concatenate(prints), np.concatenate(trains)
     learned = trains[doc] == 1
 
     known, which = np.unique(token, return_inverse=True)
     count = np.bincount(which, learned, len(known)).astype(np.int64)
-    often = np.zeros(len(known), bool)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, known), len(heavy) - 1)
-        often = heavy[at] == known
-        count[often] = exact[at[often]]
-    ones = count[which]
-    key = mix(mix(before) + token)
-    order = np.argsort(key)
-    new = np.concatenate(([True], np.diff(key[order]) != 0))
-    starts = np.flatnonzero(new)
-    pair_count = np.add.reduceat(learned[order].astype(np.int64), starts)
-    twos = np.empty(len(token), np.int64)
-    twos[order] = np.repeat(pair_count, np.diff(np.append(starts, len(token))))
-    del key
-
-    rows: list[tuple[str, int, bytes]] = []
-    # Documents: the two counts of each of their positions here.
-    by_doc = np.argsort(doc, kind="stable")
-    each_one, each_two = ones[by_doc], twos[by_doc]
+    at, often = _is_in(heavy, known)
+    count[often] = exact[at[often]]
+    counts = [count[which]]
+    del which
+    rows: list[tuple] = [("count", 1, pack(known[count > 0], count[count > 0]), None, None)]
+    own = count[~often]
+    totals = [int(own.sum()), int((own > 0).sum()), *(int((own == r).sum()) for r in range(1, K + 2))]
+    for k, history in enumerate(_chain(past), 2):
+        key = mix(mix(history) + token)
+        by_key = np.argsort(key)
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(key[by_key]) != 0)))
+        grams = np.add.reduceat(learned[by_key].astype(np.int64), starts)
+        each = np.empty(len(token), np.int64)
+        each[by_key] = np.repeat(grams, np.diff(np.append(starts, len(token))))
+        heads = by_key[starts[grams > 0]]
+        counts.append(each)
+        del key, by_key, starts, each
+        totals += [int((grams == r).sum()) for r in range(1, K + 2)]
+        rows.append(("count", k, pack(token[heads], history[heads], small(grams[grams > 0])), None, None))
+        rows += _histories(k, [p[heads] for p in past[: k - 1]], counts[-1][heads], counts[-2][heads], top, blocks)
+    rows.append(("totals", 0, b"", list(range(len(totals))), totals))
+
+    # Documents: the counts of each of their positions here, ends first.
+    by_doc = np.lexsort((token != END, doc))
+    each = [c[by_doc] for c in counts]
     sizes, copies = np.bincount(doc, minlength=base), np.bincount(doc, token == END, base).astype(np.int64)
     begins = np.cumsum(sizes) - sizes
-    for b, own in _by_block(_doc_block(ids, prints, blocks), blocks):
+    for b, own in _groups(_doc_block(ids, prints, blocks)):
         own = own[np.argsort(ids[own], kind="stable")]
         n = sizes[own]
         at = np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        data = (small(n), small(copies[own]), small(each_one[at]), small(each_two[at]))
-        rows.append(("doc", b, pack(steps(ids[own]), prints[own], *data)))
-    seen = twos > 0
-    # Histories.
-    learned_pairs = pair_count > 0
-    heads = order[starts[learned_pairs]]
-    pairs, follow = pair_count[learned_pairs], ones[heads]
-    histories, of = np.unique(before[heads], return_inverse=True)
-    m = len(histories)
-    stats = [
-        *np.bincount(of * _FEW + np.minimum(pairs, K + 1), minlength=m * _FEW).reshape(m, _FEW).T[1 : K + 1],
-        np.bincount(of, pairs * (pairs > K), m).astype(np.int64),
-        *np.bincount(of * _FEW + np.minimum(follow, K + 1), minlength=m * _FEW).reshape(m, _FEW).T[1 : K + 1],
-        np.bincount(of, follow * (follow > K), m).astype(np.int64),
-    ]
-    for b, own in _by_block(_bucket(mix(histories), blocks), blocks):
-        rows.append(("history", b, pack(steps(histories[own]), *(small(s[own]) for s in stats))))
-    # Misses.
-    missed = np.flatnonzero(~seen)
-    for b, at in _by_block(_bucket(mix(before[missed]), blocks), blocks):
-        own = missed[at]
-        histories_, of_ = np.unique(before[own], return_inverse=True)
-        docs_, place = np.unique(doc[own], return_inverse=True)
-        rows.append(("miss", b, pack(steps(histories_), small(of_), small(place), steps(ids[docs_]), prints[docs_])))
-    if tables:
-        rows.append(("token", 0, pack(steps(known[~often & (count > 0)]), small(count[~often & (count > 0)]))))
-        rows.append(("pair", 0, pack(token[heads], before[heads], small(pairs))))
-    own = count[~often]
-    totals = [int(own.sum()), int((own > 0).sum())]
-    totals += [int((own == r).sum()) for r in range(1, K + 2)] + [int((pairs == r).sum()) for r in range(1, K + 2)]
-    return rows, totals
-
-
-def _by_class(doc: np.ndarray, ones: np.ndarray, twos: np.ndarray, n: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """For each document how many positions are of which class (count of a pair that was seen, or else
-    count of the token), and the sums of logarithms that the classes leave open."""
-    seen = twos > 0
-    kind = np.where(seen, np.minimum(twos, K + 1) - 1, K + 1 + np.minimum(ones, K + 1))
-    counts = np.bincount(doc * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES).T
-    logs = np.log10(np.maximum(ones, 1))
-    sums = (
-        np.bincount(doc, np.log10(ones + 1.0), n),
-        np.bincount(doc, logs, n),
-        np.bincount(doc, np.where(twos > K, np.log10(np.maximum(twos, 1)), 0.0), n),
-        np.bincount(doc, np.where(~seen & (ones > K), logs, 0.0), n),
-    )
-    return counts, sums
+        values = (small(n), small(copies[own]), *(small(c[at]) for c in each))
+        rows.append(("doc", b, pack(steps(ids[own]), prints[own], *values), None, None))
+    # Misses, with the order at which something was seen.
+    missed = np.flatnonzero(counts[-1] == 0)
+    if len(missed):
+        found = np.ones(len(missed), np.int64)
+        for k in range(2, order):
+            found[counts[k - 1][missed] > 0] = k
+        lost = [p[missed] for p in past]
+        for b, own in _groups(_history_block(lost, top, blocks, ids[doc[missed]].view(np.uint64))):
+            histories, at = _indexed([p[own] for p in lost])
+            docs_, place = np.unique(doc[missed[own]], return_inverse=True)
+            values = (steps(histories), *at, small(found[own]), small(place), steps(ids[docs_]), prints[docs_])
+            rows.append(("miss", b, pack(*values), None, None))
+    return rows
+
+
+def _histories(k: int, past: list[np.ndarray], grams: np.ndarray, lower: np.ndarray, top: np.ndarray, blocks: int):
+    """The n-grams of order k with the counts of themselves and without their oldest token."""
+    rows = []
+    if k == 2:
+        at, hot = _is_in(top, past[0])
+        at, of, follow = at[hot], grams[hot], lower[hot]
+        sums = np.zeros((len(top), TOP), np.int64)
+        np.add.at(sums, (at, np.minimum(of, K + 1) - 1), np.where(of > K, of, 1))
+        np.add.at(sums, (at, np.minimum(follow, K + 1) + K), np.where(follow > K, follow, 1))
+        some = np.flatnonzero(sums)
+        rows.append(("top", 0, b"", some.tolist(), sums.ravel()[some].tolist()))
+        past, grams, lower = [past[0][~hot]], grams[~hot], lower[~hot]
+    for b, own in _groups(_history_block(past, top, blocks)):
+        tokens, at = _indexed([p[own] for p in past])
+        sort = np.lexsort(at[::-1])
+        own = own[sort]
+        rows.append(
+            ("history", b, pack(np.array([k], np.uint8), steps(tokens), *(a[sort] for a in at), small(grams[own]), small(lower[own])), None, None)
+        )
+    return rows
 
 
 def _good_turing(counts: np.ndarray) -> np.ndarray | None:
@@ -330,95 +369,158 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """The numbers that all documents share."""
+    """The numbers that all documents share: N, the number of words, the discounts of every order, and
+    c(h) and alpha(h) of the frequent tokens as histories."""
 
-    def __init__(self, totals: list[int]):
-        self.tokens, self.words = totals[0], totals[1]
-        (kind1, self.d1), (kind2, self.d2) = (chosen_discounts(n) for n in (totals[2 : 3 + K], totals[3 + K : 4 + 2 * K]))
-        log.info("discounts of tokens: %s %s, of pairs: %s %s", kind1, self.d1, kind2, self.d2)
+    def __init__(self, totals: list[int], order: int, top: np.ndarray, sums: np.ndarray):
+        self.order, self.tokens, self.words, self.top = order, totals[0], totals[1], top
         self.keep = 1 - 1 / (self.tokens + 2)
+        self.kept = np.ones((order, K + 2))
+        for k in range(order):
+            kind, d = chosen_discounts(totals[2 + k * (K + 1) : 2 + (k + 1) * (K + 1)])
+            log.info("discounts of order %s: %s %s", k + 1, kind, d)
+            self.kept[k, 1:] = [*d, self.keep]
         n1 = np.array(totals[2 : 2 + K]) * np.arange(1, K + 1)
-        mass = float(n1 @ self.d1) + self.keep * (self.tokens - int(n1.sum()))
+        mass = float(n1 @ self.kept[0, 1 : K + 1]) + self.keep * (self.tokens - int(n1.sum()))
         self.unknown = 1 - mass / self.tokens if self.tokens else 1.0
-
-    def alpha(self, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """c(h) and alpha(h) from the counts of pairs and of tokens that follow each history."""
-        r = np.arange(1, K + 1)
-        pairs, large, follow, often = stats[:K], stats[K], stats[K + 1 : 2 * K + 1], stats[2 * K + 1]
-        count = r @ pairs + large
-        # What is left is added up from the discounts, not taken as a small difference.
-        left = ((1 - self.d2) * r) @ pairs + (1 - self.keep) * large
-        taken = ((self.d1 * r) @ follow + self.keep * often) / self.tokens
-        return count, left / count / (1 - taken)
-
-    def scores(self, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """log10 probabilities but for the histories of misses. ``counts``: classes by documents."""
-        log = np.log10
-        r = np.arange(1, K + 1)
-        out = log(self.d2 * r) @ counts[:K] + log(self.keep) * counts[K] + sums[2]
-        n = max(1, self.tokens)
-        out = out + log(self.unknown) * counts[K + 1] + log(self.d1 * r / n) @ counts[K + 2 : 2 * K + 2]
-        out = out + (log(self.keep) - log(n)) * counts[2 * K + 2] + sums[3]
-        # c(h) of all positions whose history is known: those of the tokens, as each token but the end
-        # is the history of the next, and the start's, which is that of the end.
-        return out - sums[1]
-
-
-def score(docs: DataFrame, tables: bool = False) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+        r = np.append(np.arange(1, K + 1), 1)
+        pairs, follow = sums[:, : K + 1] * r, sums[:, K + 1 :] * r
+        n = pairs.sum(1)
+        left = pairs @ (1 - self.kept[1, 1:])
+        rest = self.tokens - follow.sum(1) + follow @ (1 - self.kept[0, 1:])
+        self.top_count, self.top_alpha = self._weights(n, left, rest, self.tokens)
+
+    @staticmethod
+    def _weights(n, left, rest, lower) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of c(H) and of alpha(H), 0 for a history that was never seen. What is left is added up
+        from the discounts, not taken as a small difference."""
+        seen = n > 0
+        n, left, rest = (np.where(seen, a, 1.0) for a in (n, left, rest))
+        return np.log10(n), np.where(seen, np.log10(left / n) - np.log10(rest / np.where(seen, lower, 1.0)), 0.0)
+
+    def lost(self, k: int, r: np.ndarray) -> np.ndarray:
+        """What discounting takes from counts r of order k."""
+        return (1 - self.kept[k - 1, np.minimum(r, K + 1)]) * r
+
+    def histories(self, data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order from 2: the histories of a block, sorted, log10 c(H) and log10 alpha(H)."""
+        found = [unpack(d) for d in data]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(2, self.order + 1):
+            own = [f for f in found if f[0][0] == k]
+            if not own:
+                out.append((np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
+                continue
+            tokens = [np.cumsum(f[1]) for f in own]
+            past = [np.concatenate([t[f[2 + j]] for t, f in zip(tokens, own, strict=True)]) for j in range(k - 1)]
+            grams, lower = (np.concatenate([f[j].astype(np.int64) for f in own]) for j in (-2, -1))
+            chain = _chain(past)
+            histories, one, of = np.unique(chain[-1], return_index=True, return_inverse=True)
+            m = len(histories)
+            if k == 2:
+                below: np.ndarray | int = self.tokens
+            else:
+                below = np.rint(10.0 ** self.look(out, k - 1, chain[-2][one], past[0][one])[0])
+            n = np.bincount(of, grams, m)
+            rest = below - np.bincount(of, lower, m) + np.bincount(of, self.lost(k - 1, lower), m)
+            out.append((histories, *self._weights(n, np.bincount(of, self.lost(k, grams), m), rest, below)))
+        return out
+
+    def look(self, known, k: int, history: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 c(H) and log10 alpha(H), 0 where H was never seen."""
+        at, hit = _is_in(known[k - 2][0], history)
+        n, alpha = (np.where(hit, a[at], 0.0) if len(a) else np.zeros(len(at)) for a in known[k - 2][1:])
+        if k == 2:
+            at, hot = _is_in(self.top, last)
+            n, alpha = np.where(hot, self.top_count[at], n), np.where(hot, self.top_alpha[at], alpha)
+        return n, alpha
+
+    def missing(self, known, past: list[np.ndarray], found: np.ndarray) -> np.ndarray:
+        """What histories add to the logarithms of ``seen`` for positions whose longest n-gram is unknown."""
+        out = np.zeros(len(found))
+        for k, history in enumerate(_chain(past), 2):
+            n, alpha = self.look(known, k, history, past[0])
+            out += np.where(found < k, alpha, 0.0) - np.where(found == k, n, 0.0)
+            if k == self.order:
+                out += n
+        return out
+
+    def seen(self, counts: list[np.ndarray], end: np.ndarray) -> np.ndarray:
+        """log10 of d(r) r of the longest n-gram that was seen, less log10 c(H) of the longest history."""
+        log_kept = np.log10(self.kept)
+        r, level = counts[0], np.zeros(len(end), np.int64)
+        for k in range(1, self.order):
+            hit = counts[k] > 0
+            r, level = np.where(hit, counts[k], r), np.where(hit, k, level)
+        out = log_kept[level, np.minimum(r, K + 1)] + np.log10(np.maximum(r, 1))
+        out -= np.where((level == 0) & (r > 0), np.log10(max(1, self.tokens)), 0.0)
+        out = np.where(r > 0, out, np.log10(self.unknown))
+        # The longest history of a token is the next shorter n-gram of the token before; that of a first
+        # token, all starts, occurs as often as the end.
+        return out - np.log10(np.maximum(np.where(end, counts[0], counts[self.order - 2]), 1))
+
+
+def _totals(stage: DataFrame, kind: str) -> dict[int, int]:
+    rows = stage.where(F.col("kind") == kind).select(F.explode(F.arrays_zip("at", "totals")).alias("z"))
+    return {r.at: r.n for r in rows.groupBy(F.col("z.at").alias("at")).agg(F.sum("z.totals").alias("n")).collect()}
+
+
+def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    The model is left in tables below ``path`` (a fresh place in the shared folder, if None).
+    """
+    if order < 2:
+        raise ValueError("a backoff model needs an order of 2 at least")
     spark = docs.sparkSession
+    path = path or new_table_path(spark, "katz")
     rows = _rows(docs)
     total, heavy = _frequent(rows)
     exact = _exact(rows, heavy)
+    top = np.union1d(heavy, np.array([START]))
     buckets = max(1, -(-total // BUCKET_TOKENS))
 
     def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        left, totals = _counted(own["data"].tolist(), heavy, exact, buckets, tables)
-        out = pd.DataFrame(left, columns=["kind", "block", "data"])
-        out["totals"] = None
-        last = pd.DataFrame({"kind": ["totals"], "block": [0], "data": [b""], "totals": [totals]})
-        return pd.concat([out, last])
-
-    path = new_table_path(spark, "katz")
-    counted = _positions(rows, heavy, buckets).groupBy("bucket").applyInPandas(
-        count, "kind string, block int, data binary, totals array<long>"
-    )
-    counted.write.partitionBy("kind").parquet(path)
-    stage = spark.read.schema("block int, data binary, totals array<long>, kind string").parquet(path)
-    totals = [0] * (4 + 2 * K)
-    for r in stage.where("kind = 'totals'").select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
-        totals[r.at] = r.n
+        left = _counted(own["data"].tolist(), heavy, exact, top, buckets, order)
+        return pd.DataFrame(left, columns=["kind", "block", "data", "at", "totals"])
+
+    schema = "kind string, block int, data binary, at array<long>, totals array<long>"
+    counted = _positions(rows, heavy, buckets, order).groupBy("bucket").applyInPandas(count, schema)
+    counted.write.partitionBy("kind").parquet(f"{path}/counted")
+    stage = _read(spark, f"{path}/counted", "block int, data binary, at array<long>, totals array<long>")
+    found = _totals(stage, "totals")
+    totals = [found.get(i, 0) for i in range(2 + order * (K + 1))]
     for n in exact[exact > 0].tolist():
         totals[0] += n
         totals[1] += 1
         if n <= K + 1:
             totals[1 + n] += 1
-    model = Model(totals)
+    sums = np.zeros(len(top) * TOP)
+    for at, n in _totals(stage, "top").items():
+        sums[at] = n
+    model = Model(totals, order, top, sums.reshape(len(top), TOP))
 
     def meet(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        found = [unpack(d) for d in own["data"][own["kind"] == "history"]]
-        out = []
-        if found:
-            every = np.concatenate([np.cumsum(f[0]) for f in found])
-            histories, at = np.unique(every, return_inverse=True)
-            stats = np.stack([
-                np.bincount(at, np.concatenate([f[c] for f in found]), len(histories)) for c in range(1, 2 * K + 3)
-            ])
-            n, alpha = model.alpha(stats)
-            value = np.log10(n) + np.log10(alpha)
-            for data in own["data"][own["kind"] == "miss"]:
-                h, of, place, ids, prints = unpack(data)
-                h = np.cumsum(h)
-                where = np.minimum(np.searchsorted(histories, h), len(histories) - 1)
-                each = np.where(histories[where] == h, value[where], 0.0)
-                ids = np.cumsum(ids)
-                more = np.bincount(place, each[of], len(ids))
-                for b, rows_ in _by_block(_doc_block(ids, prints, buckets), buckets):
-                    out.append(("more", b, pack(steps(ids[rows_]), prints[rows_], more[rows_])))
+        known = model.histories(own["data"][own["kind"] == "history"].tolist())
+        out = [("weight", k, pack(*w)) for k, w in enumerate(known, 2) if len(w[0])]
+        for data in own["data"][own["kind"] == "miss"]:
+            h, *at, found, place, ids, prints = unpack(data)
+            h, ids = np.cumsum(h), np.cumsum(ids)
+            more = np.bincount(place, model.missing(known, [h[a] for a in at], found), len(ids))
+            for b, those in _groups(_doc_block(ids, prints, buckets)):
+                out.append(("more", b, pack(steps(ids[those]), prints[those], more[those])))
         return pd.DataFrame(out, columns=["kind", "block", "data"])
 
     both = stage.where("kind IN ('history', 'miss')").select("kind", "block", "data")
-    more = both.groupBy("block").applyInPandas(meet, "kind string, block int, data binary")
+    met = both.groupBy("block").applyInPandas(meet, "kind string, block int, data binary")
+    frequent = model.top_count > 0
+    first = pack(top[frequent], model.top_count[frequent], model.top_alpha[frequent])
+    met = met.unionByName(spark.createDataFrame([("weight", 2, first)], "kind string, block int, data binary"))
+    met.write.partitionBy("kind").parquet(f"{path}/weighted")
+    spark.createDataFrame(
+        [(order, model.tokens, model.words, float(model.unknown), model.kept.ravel().tolist())], _NUMBERS
+    ).write.parquet(f"{path}/numbers")
+    more = _read(spark, f"{path}/weighted", "block int, data binary").where("kind = 'more'")
 
     def finish(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(d) for d in own["data"][own["kind"] == "doc"]]
@@ -426,27 +528,33 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
         extra = [unpack(d) for d in own["data"][own["kind"] == "more"]]
         all_ids = np.concatenate([ids, *(np.cumsum(f[0]) for f in extra)])
         all_prints = np.concatenate([prints, *(f[1] for f in extra)])
-        order = np.lexsort((all_prints, all_ids))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(all_ids[order]) != 0) | (np.diff(all_prints[order].astype(np.int64)) != 0)
-        at = np.empty(len(order), np.int64)
-        at[order] = np.cumsum(new) - 1
-        n = int(new.sum())
-        docs_at = at[: len(ids)]
-        copies = np.bincount(docs_at, np.concatenate([f[3] for f in found]), n)
-        place = np.repeat(docs_at, np.concatenate([f[2] for f in found]))
-        ones = np.concatenate([f[4].astype(np.int64) for f in found])
-        twos = np.concatenate([f[5].astype(np.int64) for f in found])
-        counts, sums = _by_class(place, ones, twos, n)
-        known = np.bincount(place, ones > 0, n)
-        values = model.scores(counts, sums)
+        by_id = np.lexsort((all_prints, all_ids))
+        new = np.ones(len(by_id), bool)
+        new[1:] = (np.diff(all_ids[by_id]) != 0) | (np.diff(all_prints[by_id].astype(np.int64)) != 0)
+        at = np.empty(len(by_id), np.int64)
+        at[by_id] = np.cumsum(new) - 1
+        m = int(new.sum())
+        copies, tokens, known = np.zeros(m), np.zeros(m), np.zeros(m)
+        values, base = np.zeros(m), np.zeros(m)
+        past = 0
+        for f in found:
+            sizes, ends = f[2].astype(np.int64), f[3].astype(np.int64)
+            here = at[past : past + len(sizes)]
+            past += len(sizes)
+            place = np.repeat(here, sizes)
+            end = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(ends, sizes)
+            counts = [c.astype(np.int64) for c in f[4:]]
+            copies += np.bincount(here, ends, m)
+            tokens += np.bincount(place, minlength=m)
+            known += np.bincount(place, counts[0] > 0, m)
+            base += np.bincount(place, np.log10(counts[0] + 1.0), m)
+            values += np.bincount(place, model.seen(counts, end), m)
         if extra:
-            values = values + np.bincount(at[len(ids) :], np.concatenate([f[2] for f in extra]), n)
-        tokens = counts.sum(0)
-        base = sums[0] - tokens * np.log10(model.tokens + model.words + 1)
+            values += np.bincount(at[len(ids) :], np.concatenate([f[2] for f in extra]), m)
+        base -= tokens * np.log10(model.tokens + model.words + 1)
         return pd.DataFrame(
             {
-                "doc": all_ids[order][new],
+                "doc": all_ids[by_id][new],
                 "copies": copies.astype(np.int64),
                 "n_tokens": (tokens / copies).round().astype(np.int64),
                 "n_known": (known / copies).round().astype(np.int64),
@@ -455,7 +563,7 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
             }
         )
 
-    parts = stage.where("kind = 'doc'").select("kind", "block", "data").unionByName(more)
+    parts = stage.where("kind = 'doc'").select("kind", "block", "data").unionByName(more.select("kind", "block", "data"))
     done = parts.groupBy("block").applyInPandas(
         finish, "doc long, copies long, n_tokens long, n_known long, base_score double, score double"
     )
@@ -470,3 +578,87 @@ def score(docs: DataFrame, tables: bool = False) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+_NUMBERS = "order int, tokens long, words long, unknown double, kept array<double>"
+
+
+def _read(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    return spark.read.schema(f"{columns}, kind string").parquet(path)
+
+
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """(order, history, token, n): the stored n-grams by the hashes of history and token; 0 is the
+    history of single tokens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                token, *history, n = unpack(data)
+                history = history[0] if history else np.zeros(len(token), np.uint64)
+                columns = (np.full(len(token), k, np.int32), history.view(np.int64), token.view(np.int64), n.astype(np.int64))
+                yield pa.record_batch([pa.array(c) for c in columns], ["order", "history", "token", "n"])
+
+    stored = _read(spark, f"{path}/counted", "block int, data binary").where("kind = 'count'").select("block", "data")
+    found = stored.mapInArrow(rows, "order int, history long, token long, n long")
+    # A frequent token is in each of its buckets, with the same count.
+    return found.groupBy("order", "history", "token").agg(F.max("n").alias("n"))
+
+
+def weights(spark: SparkSession, path: str) -> DataFrame:
+    """(order, history, log_count, log_alpha): the stored weights of the histories of each order."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                history, n, alpha = unpack(data)
+                columns = (np.full(len(n), k, np.int32), history.view(np.int64), n, alpha)
+                yield pa.record_batch([pa.array(c) for c in columns], ["order", "history", "log_count", "log_alpha"])
+
+    stored = _read(spark, f"{path}/weighted", "block int, data binary").where("kind = 'weight'").select("block", "data")
+    return stored.mapInArrow(rows, "order int, history long, log_count double, log_alpha double")
+
+
+def score_stored(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, score): any documents scored by the model stored below ``path``.
+
+    Every position meets the counts and the weights of its n-grams by joins. Rows that repeat an id and
+    a text are scored once.
+    """
+    spark = docs.sparkSession
+    (numbers,) = spark.read.schema(_NUMBERS).parquet(f"{path}/numbers").collect()
+    order = numbers.order
+    names = ["doc", "print", "token", *(f"h{k}" for k in range(2, order + 1))]
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2, SLICE):
+            words, first = word_hashes(batch.column(2))
+            ids, prints = (batch.column(i).to_numpy() for i in range(2))
+            if len(ids):
+                token, past, doc = _with_past(words, first, order)
+                hashes = [token.view(np.int64), *(h.view(np.int64) for h in _chain(past))]
+                yield pa.record_batch([pa.array(c) for c in (ids[doc], prints[doc], *hashes)], names)
+
+    rows = _rows(docs).select("doc", "print", "text").distinct()
+    rows = rows.mapInArrow(positions, ", ".join(f"{n} long" for n in names)).withColumn("h1", F.lit(0).cast("long"))
+    every, weight = counts(spark, path), weights(spark, path)
+    for k in range(1, order + 1):
+        own = every.where(F.col("order") == k).select(F.col("history").alias(f"h{k}"), "token", F.col("n").alias(f"n{k}"))
+        rows = rows.join(own, [f"h{k}", "token"], "left")
+        if k > 1:
+            own = weight.where(F.col("order") == k)
+            own = own.select(F.col("history").alias(f"h{k}"), F.col("log_count").alias(f"c{k}"), F.col("log_alpha").alias(f"a{k}"))
+            rows = rows.join(own, f"h{k}", "left")
+
+    def kept(k: int) -> F.Column:
+        table = F.array(*(F.lit(x) for x in numbers.kept[(k - 1) * _FEW : k * _FEW]))
+        return F.log10(F.get(table, F.least(F.col(f"n{k}"), F.lit(K + 1)).cast("int")) * F.col(f"n{k}"))
+
+    log_p = F.when(F.col("n1") > 0, kept(1) - F.log10(F.lit(float(max(1, numbers.tokens)))))
+    log_p = log_p.otherwise(F.log10(F.lit(numbers.unknown)))
+    for k in range(2, order + 1):
+        backed_off = F.coalesce(F.col(f"a{k}"), F.lit(0.0)) + log_p
+        log_p = F.when(F.col(f"n{k}") > 0, kept(k) - F.col(f"c{k}")).otherwise(backed_off)
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    sums = rows.groupBy("doc", "print").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(log_p).alias("score"))
+    return sums.select(doc_id.alias("doc_id"), "n_tokens", "score")
