@@ -100,7 +100,9 @@ def test_stored_tables_score_other_texts(spark, sf, frame, tmp_path, monkeypatch
         assert got[d] == (row[1], pytest.approx(row[5], rel=1e-7, abs=1e-7))
     # Each n-gram is stored once, with its count.
     stored = {r.order: r["count"] for r in katz.counts(spark, str(tmp_path / "model")).groupBy("order").count().collect()}
-    assert stored == {k + 1: len(c) for k, c in enumerate(plain.count)}
+    assert stored == {k + 1: len(c) for k, c in enumerate(plain.count) if k}
+    known = {r.n for r in katz.words(spark, str(tmp_path / "model")).groupBy().count().toDF("n").collect()}
+    assert known == {len(plain.one) - 1}
     kinds = {r.order: r["count"] for r in katz.weights(spark, str(tmp_path / "model")).groupBy("order").count().collect()}
     assert kinds == {k + 1: len(a) for k, a in enumerate(plain.alpha) if k}
 

@@ -18,25 +18,27 @@ Good-Turing, by a line fitted to their logarithms, which gives proper Good-Turin
 they fall faster than 1 / r. Only where they do not, or fewer than three of them are there to fit,
 absolute discounting by n1 / (n1 + 2 n2) stands in. The log says which was used.
 
-How it runs. Documents are read once for the frequent tokens, once more to count those exactly (they
-are at most ``HEAVY``), and once to send every position of every document with its history, packed into
-arrays, to the bucket of its token; positions of a frequent token are spread by the token before. The
-number of buckets follows the number of positions, so a bucket is bounded. A bucket holds all of each of
-its n-grams of every order. It leaves, in a table partitioned by kind,
-
-* ``doc``: for each position of each document the counts of its n-grams;
-* ``count``: the n-grams of each order with their counts;
-* ``history``: the same once more, for the block of their history;
+How it runs. Texts are read once: a piece of the documents (a chunk) becomes the list of its words and the
+places of its tokens in this list, in a table. The words of all chunks meet by their hash, are counted and
+numbered, frequent ones with small numbers, and each chunk gets the numbers of its words. It sends every position
+with its history, packed into arrays of numbers, to the bucket of its token; positions of a frequent token (there
+are at most ``HEAVY``) are spread by the token before. The number of buckets follows the number of
+positions, so a bucket is bounded. A bucket holds all of each of its n-grams of every order. It leaves, in a
+table partitioned by kind,
+
+* ``doc``: for each position of each document the counts of its n-grams, and of its token if that is all;
+* ``history``: the n-grams of each order with their counts, for the block of their history;
 * ``top``: how many pairs of which count follow a frequent token, a few numbers for the driver;
-* ``miss``: the histories of the positions whose longest n-gram was never seen, for the same blocks.
+* ``miss``: the histories of the positions whose longest n-gram was never seen, for the same blocks;
+* ``part``: what a chunk knows of its documents by itself.
 
 A block is that of the last token of a history; histories that end in a frequent token are spread by the
 token before it. Counts of counts of all buckets give the discounts; a block works out c(H) and alpha(H) of
-its histories, order by order, writes them to a second table (``weight``) and answers its misses; and all
+its histories, order by order, writes them to a table (``weight``) and answers its misses; and all
 that concerns a document is summed up. Positions are never joined one by one with a table.
 
-``count`` and ``weight`` are the model. ``counts`` and ``weights`` read them as rows, and ``score_stored``
-scores any other text with them, by joins and the recursion above.
+Words, ``history`` and ``weight`` are the model. ``words``, ``counts`` and ``weights`` read them as rows, and
+``score_stored`` scores any other text with them, by joins and the recursion above.
 
 Null or empty text is one end token. Rows without an id are training rows. Rows that repeat an id and a
 text are counted and returned each. Without training tokens every probability is 1. An empty table gives
@@ -51,7 +53,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiltframe.llm.packed import pack, small, steps, unpack
@@ -67,8 +70,10 @@ ORDER = 3
 HEAVY = 1024
 BUCKET_TOKENS = 1_500_000
 CHUNK_TOKENS = 1_500_000
-END = np.uint64(0xE0D0E0D0E0D0E0D1)
-START = np.uint64(0x57A2757A2757A275)
+#: Bytes of text, by which words are spread before they are counted.
+WORD_BYTES = 64 << 20
+#: The numbers of the start and of the end; words have larger ones.
+START, END, FIRST = 0, 1, 2
 NO_ID = -(1 << 63)
 #: Numbers per frequent history: its pairs by count, and what follows it by count.
 TOP = 2 * K + 2
@@ -91,47 +96,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def _frequent(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of all tokens, and the tokens that take a share of more than 1 / HEAVY of them, as
-    far as this shows within batches; there can be no more than HEAVY."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            words, first = word_hashes(batch.column(0))
-            total = len(words) + len(first) - 1
-            unique, n = np.unique(words, return_counts=True)
-            often = n * HEAVY > total
-            tokens = np.concatenate((unique[often].view(np.int64), END.view(np.int64)[None], np.zeros(1, np.int64)))
-            counts = np.concatenate((n[often], [len(first) - 1, total]))
-            kinds = np.concatenate((np.zeros(int(often.sum()) + 1, np.int64), [1]))
-            yield pa.record_batch([pa.array(kinds), pa.array(tokens), pa.array(counts)], ["kind", "token", "n"])
-
-    counts = rows.select("text").mapInArrow(found, "kind long, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
-    counts = counts.where("kind = 1").unionByName(counts.where("kind = 0").orderBy(F.desc("n"), "token").limit(2 * HEAVY)).collect()
-    total = sum(r.n for r in counts if r.kind == 1)
-    often = [r.token for r in counts if r.kind == 0 and r.n * HEAVY > total]
-    return total, np.sort(np.array(often, np.int64).view(np.uint64))
-
-
-def _exact(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
-    """The training counts of the frequent tokens."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            words, first = word_hashes(batch.column(0))
-            at = np.minimum(np.searchsorted(heavy, words), max(0, len(heavy) - 1))
-            hit = np.flatnonzero(heavy[at] == words) if len(heavy) else np.zeros(0, np.int64)
-            n = np.bincount(at[hit], minlength=len(heavy))
-            n[heavy == END] = len(first) - 1
-            yield pa.record_batch([pa.array(np.arange(len(heavy))), pa.array(n.astype(np.int64))], ["at", "n"])
-
-    out = np.zeros(len(heavy), np.int64)
-    found = rows.where("train = 1").select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    for r in found.collect():
-        out[r.at] = r.n
-    return out
-
-
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -153,97 +117,153 @@ def _is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _chain(past: list[np.ndarray]) -> list[np.ndarray]:
     """The histories of one token, two tokens and so on; ``past``: the last token, the one before, .."""
-    out = [past[0]]
+    out = [past[0].astype(np.uint64)]
     for older in past[1:]:
-        out.append(mix(mix(older) + out[-1]))
+        out.append(mix(mix(older.astype(np.uint64)) + out[-1]))
     return out
 
 
-def _with_past(words: np.ndarray, first: np.ndarray, order: int):
-    """Tokens of the texts (an end after each), the tokens before each, and the texts they are of."""
-    sizes = np.diff(first) + 1
-    ends = np.cumsum(sizes) - 1
-    token = np.empty(int(ends[-1]) + 1, np.uint64)
-    inner = np.ones(len(token), bool)
-    inner[ends] = False
-    token[ends] = END
-    token[inner] = words[first[0] : first[-1]]
-    begins = ends - sizes + 1
-    past = [token]
-    for _ in range(order - 1):
-        before = np.empty_like(token)
-        before[1:] = past[-1][:-1]
-        before[begins] = START
-        past.append(before)
-    return token, past[1:], np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _positions(rows: DataFrame, heavy: np.ndarray, buckets: int, order: int) -> DataFrame:
-    """(bucket, data): every position of every document, packed."""
+def _chunks(rows: DataFrame, blocks: int) -> DataFrame:
+    """(kind, chunk, block, data, totals): the tokens of each chunk as places in its list of words, and
+    for each block of words this list with the counts in training texts."""
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        n = 0
         for batch in slices(batches, 3, 3 * SLICE):
             words, first = word_hashes(batch.column(3))
             ids, prints, train = (batch.column(i).to_numpy() for i in range(3))
             at = 0
             while at < len(ids):
                 end = max(at + 1, int(np.searchsorted(first, first[at] + CHUNK_TOKENS, "right")) - 1)
-                texts = _with_past(words, first[at : end + 1], order)
-                own, data = _chunk(*texts, ids[at:end], prints[at:end], train[at:end], heavy, buckets)
-                yield pa.record_batch([pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+                own, sizes, learned = words[first[at] : first[end]], np.diff(first[at : end + 1]), train[at:end]
+                unique, place = np.unique(own, return_inverse=True)
+                block = _bucket(mix(unique), blocks)
+                by_block = np.argsort(block, kind="stable")
+                moved = np.empty(len(unique), np.int64)
+                moved[by_block] = np.arange(len(unique))
+                place = moved[place]
+                count = np.bincount(place, np.repeat(learned, sizes), len(unique)).astype(np.int64)
+                all_count = np.bincount(place, minlength=len(unique))
+                chunk = (part << 32) | n
+                n += 1
+                stream = pack(small(place), small(sizes), ids[at:end], prints[at:end].astype(np.uint32), learned.astype(np.uint8))
+                totals = [int(sizes.sum()) + len(sizes), int(learned.sum()), int((sizes * learned).sum())]
+                out = [("stream", chunk, 0, stream, totals)]
+                begin = 0
+                for b, those in _groups(block[by_block]) if len(block) else ():
+                    own_words = unique[by_block[begin : begin + len(those)]]
+                    values = (steps(own_words), small(count[those]), small(all_count[those]))
+                    out.append(("words", chunk, b, pack(*values), None))
+                    begin += len(those)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_CHUNK.names), _CHUNK, preserve_index=False)
                 at = end
 
-    return rows.select("doc", "print", "train", "text").mapInArrow(sent, "bucket int, data binary")
+    return rows.select("doc", "print", "train", "text").mapInArrow(
+        cut, "kind string, chunk long, block int, data binary, totals array<long>"
+    )
 
 
-def _indexed(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """One sorted list of the tokens of all columns, and for each column the places in it."""
-    every = np.unique(np.concatenate([np.unique(c) for c in columns]))
-    return every, [small(np.searchsorted(every, c)) for c in columns]
+_CHUNK = pa.schema(
+    [("kind", pa.string()), ("chunk", pa.int64()), ("block", pa.int32()), ("data", pa.binary()), ("totals", pa.list_(pa.int64()))]
+)
+
+
+def _numbered(block: int, chunks: list[int], data: list[bytes], blocks: int, total: int) -> list[tuple]:
+    """The words of a block with their numbers and counts, and the numbers for each chunk."""
+    found = [unpack(d) for d in data]
+    every = [np.cumsum(f[0]) for f in found]
+    known, at = np.unique(np.concatenate(every), return_inverse=True)
+    count, all_count = (np.bincount(at, np.concatenate([f[j] for f in found])).astype(np.int64) for j in (1, 2))
+    rank = np.empty(len(known), np.int64)
+    rank[np.lexsort((known, -all_count))] = np.arange(len(known))
+    number = FIRST + rank * blocks + block
+    rows = [("word", 0, block, pack(steps(known), small(number), small(count)), None, None)]
+    begin = 0
+    for chunk, words in zip(chunks, every, strict=True):
+        own = at[begin : begin + len(words)]
+        begin += len(words)
+        rows.append(("number", chunk, block, pack(small(number[own]), small(count[own])), None, None))
+    often = all_count * HEAVY > total
+    rows.append(("heavy", 0, block, b"", number[often].tolist(), all_count[often].tolist()))
+    rows.append(
+        ("totals", 0, block, b"", list(range(1, K + 3)), [int((count > 0).sum()), *(int((count == r).sum()) for r in range(1, K + 2))])
+    )
+    return rows
 
 
-def _chunk(token, past, doc, ids, prints, train, heavy, buckets) -> tuple[list[int], list[bytes]]:
+def _past(token: np.ndarray, begins: np.ndarray, order: int) -> list[np.ndarray]:
+    """The tokens before each token, the last one first."""
+    past = [token]
+    for _ in range(order - 1):
+        before = np.empty_like(token)
+        before[1:] = past[-1][:-1]
+        before[begins] = START
+        past.append(before)
+    return past[1:]
+
+
+def _sent(stream: bytes, numbers: list[tuple[int, bytes]], ends: int, heavy: np.ndarray, buckets: int, order: int):
+    """Rows of (bucket, data) for the positions of a chunk, and (-1 - block, data) for what concerns its documents."""
+    place, sizes, ids, prints, train = unpack(stream)
+    found = [unpack(d) for _, d in sorted(numbers)]
+    number = np.concatenate([f[0].astype(np.uint64) for f in found] or [np.zeros(0, np.uint64)])
+    count = np.concatenate([f[1].astype(np.int64) for f in found] or [np.zeros(0, np.int64)])
+    sizes = sizes.astype(np.int64) + 1
+    last = np.cumsum(sizes) - 1
+    inner = np.ones(int(last[-1]) + 1, bool)
+    inner[last] = False
+    token, ones = np.full(len(inner), END, np.uint64), np.full(len(inner), ends, np.int64)
+    token[inner], ones[inner] = number[place], count[place]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    past = _past(small(token), last - sizes + 1, order)
+    out = []
+    known, base = np.bincount(doc, ones > 0), np.bincount(doc, np.log10(ones + 1.0))
+    follow = np.bincount(doc, np.log10(np.maximum(ones, 1)))
+    for b, own in _groups(_doc_block(ids, prints, buckets)):
+        own = own[np.argsort(ids[own], kind="stable")]
+        values = (steps(ids[own]), prints[own], small(sizes[own]), small(known[own]), base[own])
+        out.append((-1 - b, pack(*values, *([follow[own]] if order == 2 else []))))
     keys = mix(token)
     hot = np.flatnonzero(_is_in(heavy, token)[1])
-    keys[hot] = mix(keys[hot] ^ past[0][hot])
-    out, data = [], []
+    keys[hot] = mix(keys[hot] ^ past[0][hot].astype(np.uint64))
     for b, own in _groups(_bucket(keys, buckets)):
-        tokens, which = np.unique(token[own], return_inverse=True)
-        own = own[np.argsort(small(which), kind="stable")]
-        histories, at = _indexed([p[own] for p in past])
-        docs, place = np.unique(doc[own], return_inverse=True)
-        out.append(b)
-        data.append(
-            pack(
-                steps(tokens), small(np.bincount(which)), steps(histories), *at, small(place),
-                steps(ids[docs]), prints[docs].astype(np.uint32), train[docs].astype(np.uint8),
-            )
-        )
-    return out, data
+        own = own[np.argsort(token[own], kind="stable")]
+        tokens, head, n = np.unique(token[own], return_index=True, return_counts=True)
+        docs, at = np.unique(doc[own], return_inverse=True)
+        values = (steps(tokens), small(n), small(ones[own[head]]), *(small(p[own]) for p in past), small(at))
+        out.append((b, pack(*values, steps(ids[docs]), prints[docs], train[docs])))
+    return out
 
 
 def _doc_block(ids: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
     return _bucket(mix(ids.astype(np.int64).view(np.uint64) ^ mix(prints.astype(np.uint64))), n)
 
 
+def _doc_keys(ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    keys = np.empty(len(ids), [("id", np.int64), ("print", np.uint32)])
+    keys["id"], keys["print"] = ids, prints
+    return keys
+
+
 def _history_block(past: list[np.ndarray], top: np.ndarray, n: int, other: np.ndarray | None = None) -> np.ndarray:
     """The block of a history: that of its last token, or of its last two (else of ``other``) after a frequent one."""
-    keys = mix(past[0])
+    keys = mix(past[0].astype(np.uint64))
     hot = np.flatnonzero(_is_in(top, past[0])[1])
     if len(hot):
-        keys[hot] = mix(keys[hot] ^ mix(past[1][hot] if len(past) > 1 else other[hot]))
+        keys[hot] = mix(keys[hot] ^ mix((past[1] if len(past) > 1 else other)[hot].astype(np.uint64)))
     return _bucket(keys, n)
 
 
-def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, top: np.ndarray, blocks: int, order: int):
-    """What one bucket leaves: rows of (kind, block, data, at, totals)."""
-    tokens, pasts, docs, ids, prints, trains = [], [], [], [], [], []
+def _counted(data: list[bytes], top: np.ndarray, blocks: int, order: int):
+    """What one bucket leaves: rows of (kind, block, data, tokens, at, totals)."""
+    tokens, ones, pasts, docs, ids, prints, trains = [], [], [], [], [], [], []
     base = 0
     for blob in data:
-        t, n, h, *at, place, i, p, train = unpack(blob)
-        h = np.cumsum(h)
-        tokens.append(np.repeat(np.cumsum(t), n))
-        pasts.append([h[a] for a in at])
+        t, n, one, *past, place, i, p, train = unpack(blob)
+        tokens.append(small(np.repeat(np.cumsum(t), n)))
+        ones.append(np.repeat(one, n))
+        pasts.append(past)
         docs.append(place.astype(np.int64) + base)
         ids.append(np.cumsum(i))
         prints.append(p)
@@ -251,33 +271,27 @@ def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, top: np.nd
         base += len(i)
     token, doc = np.concatenate(tokens), np.concatenate(docs)
     past = [np.concatenate([p[j] for p in pasts]) for j in range(order - 1)]
-    del tokens, docs, pasts
+    counts = [np.concatenate(ones)]
+    del tokens, ones, docs, pasts, data
     ids, prints, trains = np.concatenate(ids), np.concatenate(prints), np.concatenate(trains)
     learned = trains[doc] == 1
 
-    known, which = np.unique(token, return_inverse=True)
-    count = np.bincount(which, learned, len(known)).astype(np.int64)
-    at, often = _is_in(heavy, known)
-    count[often] = exact[at[often]]
-    counts = [count[which]]
-    del which
-    rows: list[tuple] = [("count", 1, pack(known[count > 0], count[count > 0]), None, None)]
-    own = count[~often]
-    totals = [int(own.sum()), int((own > 0).sum()), *(int((own == r).sum()) for r in range(1, K + 2))]
+    rows: list[tuple] = []
+    totals: list[int] = []
     for k, history in enumerate(_chain(past), 2):
-        key = mix(mix(history) + token)
+        key = mix(mix(history) + token.astype(np.uint64))
         by_key = np.argsort(key)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(key[by_key]) != 0)))
         grams = np.add.reduceat(learned[by_key].astype(np.int64), starts)
-        each = np.empty(len(token), np.int64)
+        grams = small(grams)
+        each = np.empty(len(token), grams.dtype)
         each[by_key] = np.repeat(grams, np.diff(np.append(starts, len(token))))
         heads = by_key[starts[grams > 0]]
         counts.append(each)
         del key, by_key, starts, each
         totals += [int((grams == r).sum()) for r in range(1, K + 2)]
-        rows.append(("count", k, pack(token[heads], history[heads], small(grams[grams > 0])), None, None))
-        rows += _histories(k, [p[heads] for p in past[: k - 1]], counts[-1][heads], counts[-2][heads], top, blocks)
-    rows.append(("totals", 0, b"", list(range(len(totals))), totals))
+        rows += _histories(k, token[heads], [p[heads] for p in past[: k - 1]], counts[-1][heads], counts[-2][heads], top, blocks)
+    rows.append(("totals", 0, b"", None, list(range(len(totals))), totals))
 
     # Documents: the counts of each of their positions here, ends first.
     by_doc = np.lexsort((token != END, doc))
@@ -288,8 +302,10 @@ def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, top: np.nd
         own = own[np.argsort(ids[own], kind="stable")]
         n = sizes[own]
         at = np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        values = (small(n), small(copies[own]), *(small(c[at]) for c in each))
-        rows.append(("doc", b, pack(steps(ids[own]), prints[own], *values), None, None))
+        values = [c[at] for c in each]
+        alone = values[0][values[1] == 0]
+        values = (small(n), small(copies[own]), small(alone), *(small(c) for c in values[1:]))
+        rows.append(("doc", b, pack(steps(ids[own]), prints[own], *values), None, None, None))
     # Misses, with the order at which something was seen.
     missed = np.flatnonzero(counts[-1] == 0)
     if len(missed):
@@ -298,32 +314,30 @@ def _counted(data: list[bytes], heavy: np.ndarray, exact: np.ndarray, top: np.nd
             found[counts[k - 1][missed] > 0] = k
         lost = [p[missed] for p in past]
         for b, own in _groups(_history_block(lost, top, blocks, ids[doc[missed]].view(np.uint64))):
-            histories, at = _indexed([p[own] for p in lost])
             docs_, place = np.unique(doc[missed[own]], return_inverse=True)
-            values = (steps(histories), *at, small(found[own]), small(place), steps(ids[docs_]), prints[docs_])
-            rows.append(("miss", b, pack(*values), None, None))
+            values = (*(small(p[own]) for p in lost), small(found[own]), small(place), steps(ids[docs_]), prints[docs_])
+            rows.append(("miss", b, pack(*values), None, None, None))
     return rows
 
 
-def _histories(k: int, past: list[np.ndarray], grams: np.ndarray, lower: np.ndarray, top: np.ndarray, blocks: int):
+def _histories(
+    k: int, token: np.ndarray, past: list[np.ndarray], grams: np.ndarray, lower: np.ndarray, top: np.ndarray, blocks: int
+) -> list[tuple]:
     """The n-grams of order k with the counts of themselves and without their oldest token."""
     rows = []
     if k == 2:
         at, hot = _is_in(top, past[0])
-        at, of, follow = at[hot], grams[hot], lower[hot]
+        at, of, follow = at[hot], grams[hot].astype(np.int64), lower[hot].astype(np.int64)
         sums = np.zeros((len(top), TOP), np.int64)
         np.add.at(sums, (at, np.minimum(of, K + 1) - 1), np.where(of > K, of, 1))
         np.add.at(sums, (at, np.minimum(follow, K + 1) + K), np.where(follow > K, follow, 1))
         some = np.flatnonzero(sums)
-        rows.append(("top", 0, b"", some.tolist(), sums.ravel()[some].tolist()))
-        past, grams, lower = [past[0][~hot]], grams[~hot], lower[~hot]
-    for b, own in _groups(_history_block(past, top, blocks)):
-        tokens, at = _indexed([p[own] for p in past])
-        sort = np.lexsort(at[::-1])
-        own = own[sort]
-        rows.append(
-            ("history", b, pack(np.array([k], np.uint8), steps(tokens), *(a[sort] for a in at), small(grams[own]), small(lower[own])), None, None)
-        )
+        rows.append(("top", 0, b"", None, some.tolist(), sums.ravel()[some].tolist()))
+    for b, own in _groups(_history_block(past, top, blocks, token)) if len(token) else ():
+        own = own[np.lexsort([p[own] for p in past[::-1]])]
+        values = (small(past[0][own]), *(small(p[own]) for p in past[1:]), small(grams[own]), small(lower[own]))
+        first = np.concatenate((values[0][:1], np.diff(values[0])))
+        rows.append(("history", b, pack(np.array([k], np.uint8), small(first), *values[1:]), pack(small(token[own])), None, None))
     return rows
 
 
@@ -372,8 +386,8 @@ class Model:
     """The numbers that all documents share: N, the number of words, the discounts of every order, and
     c(h) and alpha(h) of the frequent tokens as histories."""
 
-    def __init__(self, totals: list[int], order: int, top: np.ndarray, sums: np.ndarray):
-        self.order, self.tokens, self.words, self.top = order, totals[0], totals[1], top
+    def __init__(self, totals: list[int], order: int, ends: int, top: np.ndarray, sums: np.ndarray):
+        self.order, self.ends, self.tokens, self.words, self.top = order, ends, totals[0], totals[1], top
         self.keep = 1 - 1 / (self.tokens + 2)
         self.kept = np.ones((order, K + 2))
         for k in range(order):
@@ -411,9 +425,11 @@ class Model:
             if not own:
                 out.append((np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
                 continue
-            tokens = [np.cumsum(f[1]) for f in own]
-            past = [np.concatenate([t[f[2 + j]] for t, f in zip(tokens, own, strict=True)]) for j in range(k - 1)]
+            past = _read_past(own, k)
             grams, lower = (np.concatenate([f[j].astype(np.int64) for f in own]) for j in (-2, -1))
+            if k == 2:  # those after frequent tokens are summed up by the driver
+                rare = ~_is_in(self.top, past[0])[1]
+                past, grams, lower = [past[0][rare]], grams[rare], lower[rare]
             chain = _chain(past)
             histories, one, of = np.unique(chain[-1], return_index=True, return_inverse=True)
             m = len(histories)
@@ -446,9 +462,11 @@ class Model:
         return out
 
     def seen(self, counts: list[np.ndarray], end: np.ndarray) -> np.ndarray:
-        """log10 of d(r) r of the longest n-gram that was seen, less log10 c(H) of the longest history."""
+        """log10 of d(r) r of the longest n-gram that was seen, less log10 c(H) of the longest history. ``counts``:
+        of the tokens whose pair was never seen, then of all pairs and so on."""
         log_kept = np.log10(self.kept)
-        r, level = counts[0], np.zeros(len(end), np.int64)
+        r, level = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+        r[counts[1] == 0] = counts[0]
         for k in range(1, self.order):
             hit = counts[k] > 0
             r, level = np.where(hit, counts[k], r), np.where(hit, k, level)
@@ -456,8 +474,14 @@ class Model:
         out -= np.where((level == 0) & (r > 0), np.log10(max(1, self.tokens)), 0.0)
         out = np.where(r > 0, out, np.log10(self.unknown))
         # The longest history of a token is the next shorter n-gram of the token before; that of a first
-        # token, all starts, occurs as often as the end.
-        return out - np.log10(np.maximum(np.where(end, counts[0], counts[self.order - 2]), 1))
+        # token, all starts, occurs as often as the end. Of pairs it is a token, which the chunks have summed up.
+        if self.order > 2:
+            out -= np.log10(np.maximum(np.where(end, max(1, self.ends), counts[self.order - 2]), 1))
+        return out
+
+
+def _read_past(found: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    return [np.concatenate([np.cumsum(f[1], dtype=np.uint64) if not j else f[1 + j] for f in found]) for j in range(k - 1)]
 
 
 def _totals(stage: DataFrame, kind: str) -> dict[int, int]:
@@ -475,38 +499,64 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     spark = docs.sparkSession
     path = path or new_table_path(spark, "katz")
     rows = _rows(docs)
-    total, heavy = _frequent(rows)
-    exact = _exact(rows, heavy)
-    top = np.union1d(heavy, np.array([START]))
+    blocks = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // WORD_BYTES)
+    _chunks(rows, blocks).write.partitionBy("kind").parquet(f"{path}/chunks")
+    chunks = _read(spark, f"{path}/chunks", "chunk long, block int, data binary, totals array<long>")
+    found = chunks.where("kind = 'stream'").select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+    found = {r.at: r.n for r in found.collect()}
+    total, ends, inner = (found.get(i, 0) for i in range(3))
     buckets = max(1, -(-total // BUCKET_TOKENS))
 
-    def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        left = _counted(own["data"].tolist(), heavy, exact, top, buckets, order)
-        return pd.DataFrame(left, columns=["kind", "block", "data", "at", "totals"])
+    def number(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        left = _numbered(int(key[0]), own["chunk"].tolist(), own["data"].tolist(), blocks, total)
+        return pd.DataFrame(left, columns=["kind", "chunk", "block", "data", "at", "totals"])
+
+    schema = "kind string, chunk long, block int, data binary, at array<long>, totals array<long>"
+    words_ = chunks.where("kind = 'words'").select("chunk", "block", "data")
+    words_.groupBy("block").applyInPandas(number, schema).write.partitionBy("kind").parquet(f"{path}/words")
+    numbered = _read(spark, f"{path}/words", "chunk long, block int, data binary, at array<long>, totals array<long>")
+    first_order = _totals(numbered, "totals")
+    totals = [inner + ends] + [first_order.get(i, 0) for i in range(1, K + 3)]
+    if ends:
+        totals[1] += 1
+        if ends <= K + 1:
+            totals[1 + ends] += 1
+    heavy = np.array(sorted([END, *_totals(numbered, "heavy")]), np.uint64)
+    top = np.append(np.uint64(START), heavy)
+
+    def send(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        (stream,) = own["data"][own["kind"] == "stream"]
+        chosen = own[own["kind"] == "number"]
+        numbers = list(zip(chosen["block"].tolist(), chosen["data"].tolist(), strict=True))
+        return pd.DataFrame(_sent(stream, numbers, ends, heavy, buckets, order), columns=["bucket", "data"])
 
-    schema = "kind string, block int, data binary, at array<long>, totals array<long>"
-    counted = _positions(rows, heavy, buckets, order).groupBy("bucket").applyInPandas(count, schema)
-    counted.write.partitionBy("kind").parquet(f"{path}/counted")
-    stage = _read(spark, f"{path}/counted", "block int, data binary, at array<long>, totals array<long>")
+    def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            left = [("part", -1 - int(key[0]), d, None, None, None) for d in own["data"]]
+        else:
+            left = _counted(own["data"].tolist(), top, buckets, order)
+        return pd.DataFrame(left, columns=["kind", "block", "data", "tokens", "at", "totals"])
+
+    pieces = chunks.where("kind = 'stream'").select("kind", "chunk", "block", "data")
+    pieces = pieces.unionByName(numbered.where("kind = 'number'").select("kind", "chunk", "block", "data"))
+    sent = pieces.groupBy("chunk").applyInPandas(send, "bucket int, data binary")
+    schema = "block int, data binary, tokens binary, at array<long>, totals array<long>"
+    sent.groupBy("bucket").applyInPandas(count, f"kind string, {schema}").write.partitionBy("kind").parquet(f"{path}/counted")
+    stage = _read(spark, f"{path}/counted", schema)
     found = _totals(stage, "totals")
-    totals = [found.get(i, 0) for i in range(2 + order * (K + 1))]
-    for n in exact[exact > 0].tolist():
-        totals[0] += n
-        totals[1] += 1
-        if n <= K + 1:
-            totals[1 + n] += 1
+    totals += [found.get(i, 0) for i in range((order - 1) * (K + 1))]
     sums = np.zeros(len(top) * TOP)
     for at, n in _totals(stage, "top").items():
         sums[at] = n
-    model = Model(totals, order, top, sums.reshape(len(top), TOP))
+    model = Model(totals, order, ends, top, sums.reshape(len(top), TOP))
 
     def meet(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         known = model.histories(own["data"][own["kind"] == "history"].tolist())
         out = [("weight", k, pack(*w)) for k, w in enumerate(known, 2) if len(w[0])]
         for data in own["data"][own["kind"] == "miss"]:
-            h, *at, found, place, ids, prints = unpack(data)
-            h, ids = np.cumsum(h), np.cumsum(ids)
-            more = np.bincount(place, model.missing(known, [h[a] for a in at], found), len(ids))
+            *past, found, place, ids, prints = unpack(data)
+            ids = np.cumsum(ids)
+            more = np.bincount(place, model.missing(known, past, found), len(ids))
             for b, those in _groups(_doc_block(ids, prints, buckets)):
                 out.append(("more", b, pack(steps(ids[those]), prints[those], more[those])))
         return pd.DataFrame(out, columns=["kind", "block", "data"])
@@ -518,7 +568,7 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     met = met.unionByName(spark.createDataFrame([("weight", 2, first)], "kind string, block int, data binary"))
     met.write.partitionBy("kind").parquet(f"{path}/weighted")
     spark.createDataFrame(
-        [(order, model.tokens, model.words, float(model.unknown), model.kept.ravel().tolist())], _NUMBERS
+        [(order, ends, model.tokens, model.words, float(model.unknown), model.kept.ravel().tolist())], _NUMBERS
     ).write.parquet(f"{path}/numbers")
     more = _read(spark, f"{path}/weighted", "block int, data binary").where("kind = 'more'")
 
@@ -528,33 +578,33 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
         extra = [unpack(d) for d in own["data"][own["kind"] == "more"]]
         all_ids = np.concatenate([ids, *(np.cumsum(f[0]) for f in extra)])
         all_prints = np.concatenate([prints, *(f[1] for f in extra)])
-        by_id = np.lexsort((all_prints, all_ids))
-        new = np.ones(len(by_id), bool)
-        new[1:] = (np.diff(all_ids[by_id]) != 0) | (np.diff(all_prints[by_id].astype(np.int64)) != 0)
-        at = np.empty(len(by_id), np.int64)
-        at[by_id] = np.cumsum(new) - 1
-        m = int(new.sum())
+        keys, one, at = np.unique(_doc_keys(all_ids, all_prints), return_index=True, return_inverse=True)
+        m = len(keys)
         copies, tokens, known = np.zeros(m), np.zeros(m), np.zeros(m)
         values, base = np.zeros(m), np.zeros(m)
         past = 0
         for f in found:
-            sizes, ends = f[2].astype(np.int64), f[3].astype(np.int64)
+            sizes, ends_ = f[2].astype(np.int64), f[3].astype(np.int64)
             here = at[past : past + len(sizes)]
             past += len(sizes)
             place = np.repeat(here, sizes)
-            end = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(ends, sizes)
-            counts = [c.astype(np.int64) for c in f[4:]]
-            copies += np.bincount(here, ends, m)
-            tokens += np.bincount(place, minlength=m)
-            known += np.bincount(place, counts[0] > 0, m)
-            base += np.bincount(place, np.log10(counts[0] + 1.0), m)
-            values += np.bincount(place, model.seen(counts, end), m)
+            end = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(ends_, sizes)
+            copies += np.bincount(here, ends_, m)
+            values += np.bincount(place, model.seen([c.astype(np.int64) for c in f[4:]], end), m)
+        for data in own["data"][own["kind"] == "part"]:
+            i, p, sizes, some, log, *follow = unpack(data)
+            here = np.searchsorted(keys, _doc_keys(np.cumsum(i), p))
+            tokens += np.bincount(here, sizes, m)
+            known += np.bincount(here, some, m)
+            base += np.bincount(here, log, m)
+            if follow:
+                values -= np.bincount(here, follow[0], m)
         if extra:
             values += np.bincount(at[len(ids) :], np.concatenate([f[2] for f in extra]), m)
         base -= tokens * np.log10(model.tokens + model.words + 1)
         return pd.DataFrame(
             {
-                "doc": all_ids[by_id][new],
+                "doc": all_ids[one],
                 "copies": copies.astype(np.int64),
                 "n_tokens": (tokens / copies).round().astype(np.int64),
                 "n_known": (known / copies).round().astype(np.int64),
@@ -563,7 +613,7 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
             }
         )
 
-    parts = stage.where("kind = 'doc'").select("kind", "block", "data").unionByName(more.select("kind", "block", "data"))
+    parts = stage.where("kind IN ('doc', 'part')").select("kind", "block", "data").unionByName(more.select("kind", "block", "data"))
     done = parts.groupBy("block").applyInPandas(
         finish, "doc long, copies long, n_tokens long, n_known long, base_score double, score double"
     )
@@ -580,29 +630,42 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     )
 
 
-_NUMBERS = "order int, tokens long, words long, unknown double, kept array<double>"
+_NUMBERS = "order int, ends long, tokens long, words long, unknown double, kept array<double>"
 
 
 def _read(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return spark.read.schema(f"{columns}, kind string").parquet(path)
 
 
+def words(spark: SparkSession, path: str) -> DataFrame:
+    """(word, token, n): the hash, the number and the count of each word that was trained on."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                known, number, n = (a.astype(np.int64) for a in unpack(data))
+                columns = (c[n > 0] for c in (np.cumsum(known.view(np.uint64)).view(np.int64), number, n))
+                yield pa.record_batch([pa.array(c) for c in columns], ["word", "token", "n"])
+
+    stored = _read(spark, f"{path}/words", "data binary").where("kind = 'word'").select("data")
+    return stored.mapInArrow(rows, "word long, token long, n long")
+
+
 def counts(spark: SparkSession, path: str) -> DataFrame:
-    """(order, history, token, n): the stored n-grams by the hashes of history and token; 0 is the
-    history of single tokens."""
+    """(order, history, token, n): the stored n-grams of two and more tokens, by a number that stands for
+    the history and the number of the token."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                token, *history, n = unpack(data)
-                history = history[0] if history else np.zeros(len(token), np.uint64)
-                columns = (np.full(len(token), k, np.int32), history.view(np.int64), token.view(np.int64), n.astype(np.int64))
+            for data, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, (token,) = unpack(data), unpack(tokens)
+                k, n = int(found[0][0]), found[-2].astype(np.int64)
+                history = _chain(_read_past([found], k))[-1].view(np.int64)
+                columns = (np.full(len(n), k, np.int32), history, token.astype(np.int64), n)
                 yield pa.record_batch([pa.array(c) for c in columns], ["order", "history", "token", "n"])
 
-    stored = _read(spark, f"{path}/counted", "block int, data binary").where("kind = 'count'").select("block", "data")
-    found = stored.mapInArrow(rows, "order int, history long, token long, n long")
-    # A frequent token is in each of its buckets, with the same count.
-    return found.groupBy("order", "history", "token").agg(F.max("n").alias("n"))
+    stored = _read(spark, f"{path}/counted", "data binary, tokens binary").where("kind = 'history'").select("data", "tokens")
+    return stored.mapInArrow(rows, "order int, history long, token long, n long")
 
 
 def weights(spark: SparkSession, path: str) -> DataFrame:
@@ -628,27 +691,45 @@ def score_stored(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     (numbers,) = spark.read.schema(_NUMBERS).parquet(f"{path}/numbers").collect()
     order = numbers.order
-    names = ["doc", "print", "token", *(f"h{k}" for k in range(2, order + 1))]
+    hashes = [f"h{k}" for k in range(2, order + 1)]
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, SLICE):
-            words, first = word_hashes(batch.column(2))
+            found, first = word_hashes(batch.column(2))
             ids, prints = (batch.column(i).to_numpy() for i in range(2))
-            if len(ids):
-                token, past, doc = _with_past(words, first, order)
-                hashes = [token.view(np.int64), *(h.view(np.int64) for h in _chain(past))]
-                yield pa.record_batch([pa.array(c) for c in (ids[doc], prints[doc], *hashes)], names)
-
-    rows = _rows(docs).select("doc", "print", "text").distinct()
-    rows = rows.mapInArrow(positions, ", ".join(f"{n} long" for n in names)).withColumn("h1", F.lit(0).cast("long"))
+            sizes = np.diff(first)
+            at = np.arange(len(found)) - np.repeat(first[:-1] - first[0], sizes)
+            # The place after the last word is that of the end, which has no hash.
+            columns = (
+                np.concatenate((np.repeat(ids, sizes), ids)), np.concatenate((np.repeat(prints, sizes), prints)),
+                np.concatenate((at, sizes)),
+            )
+            end = np.arange(len(found) + len(ids)) >= len(found)
+            word = pa.array(np.concatenate((found, np.zeros(len(ids), np.uint64))).view(np.int64), mask=end)
+            yield pa.record_batch([*(pa.array(c) for c in columns), word], ["doc", "print", "at", "word"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            past = [batch.column(4 + j).to_numpy().view(np.uint64) for j in range(order - 1)]
+            chain = [pa.array(h.view(np.int64)) for h in _chain(past)]
+            yield pa.record_batch([*(batch.column(i) for i in range(4)), *chain], ["doc", "print", "token", "n1", *hashes])
+
+    rows = _rows(docs).select("doc", "print", "text").distinct().mapInArrow(listed, "doc long, print long, at long, word long")
+    rows = rows.join(words(spark, path).withColumnRenamed("n", "n1"), "word", "left")
+    is_end = F.col("word").isNull()
+    token = F.when(is_end, F.lit(END)).otherwise(F.coalesce("token", F.lit(-1))).cast("long")
+    rows = rows.select("doc", "print", "at", token.alias("token"), F.when(is_end, F.lit(numbers.ends)).otherwise(F.col("n1")).alias("n1"))
+    before = Window.partitionBy("doc", "print").orderBy("at")
+    past = [F.lag("token", j, START).over(before).alias(f"p{j}") for j in range(1, order)]
+    rows = rows.select("doc", "print", "token", "n1", *past)
+    rows = rows.mapInArrow(hashed, ", ".join(f"{n} long" for n in ["doc", "print", "token", "n1", *hashes]))
     every, weight = counts(spark, path), weights(spark, path)
-    for k in range(1, order + 1):
+    for k in range(2, order + 1):
         own = every.where(F.col("order") == k).select(F.col("history").alias(f"h{k}"), "token", F.col("n").alias(f"n{k}"))
         rows = rows.join(own, [f"h{k}", "token"], "left")
-        if k > 1:
-            own = weight.where(F.col("order") == k)
-            own = own.select(F.col("history").alias(f"h{k}"), F.col("log_count").alias(f"c{k}"), F.col("log_alpha").alias(f"a{k}"))
-            rows = rows.join(own, f"h{k}", "left")
+        own = weight.where(F.col("order") == k)
+        own = own.select(F.col("history").alias(f"h{k}"), F.col("log_count").alias(f"c{k}"), F.col("log_alpha").alias(f"a{k}"))
+        rows = rows.join(own, f"h{k}", "left")
 
     def kept(k: int) -> F.Column:
         table = F.array(*(F.lit(x) for x in numbers.kept[(k - 1) * _FEW : k * _FEW]))
