@@ -59,3 +59,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh table location below the shared folder."""
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``new_table_path`` placed and that no later step reads."""
+    if not path.startswith(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/"):
+        return
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
