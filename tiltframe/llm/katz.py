@@ -30,12 +30,12 @@ table partitioned by kind,
 * ``history``: the n-grams of each order with their counts, for the block of their history;
 * ``top``: how many pairs of which count follow a frequent token, a few numbers for the driver;
 * ``miss``: the histories of the positions whose longest n-gram was never seen, for the same blocks;
-* ``part``: what a chunk knows of its documents by itself.
+* ``part``: what a chunk knows of its documents by itself. Then the chunks are deleted.
 
 A block is that of the last token of a history; histories that end in a frequent token are spread by the
 token before it. Counts of counts of all buckets give the discounts; a block works out c(H) and alpha(H) of
 its histories, order by order, writes them to a table (``weight``) and answers its misses; and all
-that concerns a document is summed up. Positions are never joined one by one with a table.
+that concerns the documents of a chunk is summed up. Positions are never joined one by one with a table.
 
 Words, ``history`` and ``weight`` are the model. ``words``, ``counts`` and ``weights`` read them as rows, and
 ``score_stored`` scores any other text with them, by joins and the recursion above.
@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from tiltframe.llm.packed import pack, small, steps, unpack
 from tiltframe.llm.text import SLICE, mix, slices, word_hashes
-from tiltframe.session import new_table_path
+from tiltframe.session import drop_table, new_table_path
 
 log = logging.getLogger(__name__)
 
@@ -69,7 +69,7 @@ K = 5
 ORDER = 3
 HEAVY = 1024
 BUCKET_TOKENS = 1_500_000
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 2_000_000
 #: Bytes of text, by which words are spread before they are counted.
 WORD_BYTES = 64 << 20
 #: The numbers of the start and of the end; words have larger ones.
@@ -90,7 +90,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("print"),
         (~held_out(doc_id)).cast("int").alias("train"),
         text.alias("text"),
     )
@@ -129,41 +128,38 @@ def _chunks(rows: DataFrame, blocks: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        n = 0
-        for batch in slices(batches, 3, 3 * SLICE):
-            words, first = word_hashes(batch.column(3))
-            ids, prints, train = (batch.column(i).to_numpy() for i in range(3))
-            at = 0
-            while at < len(ids):
-                end = max(at + 1, int(np.searchsorted(first, first[at] + CHUNK_TOKENS, "right")) - 1)
-                own, sizes, learned = words[first[at] : first[end]], np.diff(first[at : end + 1]), train[at:end]
-                unique, place = np.unique(own, return_inverse=True)
-                block = _bucket(mix(unique), blocks)
-                by_block = np.argsort(block, kind="stable")
-                moved = np.empty(len(unique), np.int64)
-                moved[by_block] = np.arange(len(unique))
-                place = moved[place]
-                count = np.bincount(place, np.repeat(learned, sizes), len(unique)).astype(np.int64)
-                all_count = np.bincount(place, minlength=len(unique))
-                chunk = (part << 32) | n
-                n += 1
-                stream = pack(small(place), small(sizes), ids[at:end], prints[at:end].astype(np.uint32), learned.astype(np.uint8))
-                totals = [int(sizes.sum()) + len(sizes), int(learned.sum()), int((sizes * learned).sum())]
-                out = [("stream", chunk, 0, stream, totals)]
-                begin = 0
-                for b, those in _groups(block[by_block]) if len(block) else ():
-                    own_words = unique[by_block[begin : begin + len(those)]]
-                    values = (steps(own_words), small(count[those]), small(all_count[those]))
-                    out.append(("words", chunk, b, pack(*values), None))
-                    begin += len(those)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_CHUNK.names), _CHUNK, preserve_index=False)
-                at = end
-
-    return rows.select("doc", "print", "train", "text").mapInArrow(
+        n, held, waiting = 0, 0, []
+        for batch in slices(batches, 2):
+            words, first = word_hashes(batch.column(2))
+            waiting.append((words, np.diff(first), *(batch.column(i).to_numpy() for i in range(2))))
+            held += len(words) + len(first) - 1
+            if held >= CHUNK_TOKENS:
+                yield _listed((part << 32) | n, *(np.concatenate(c) for c in zip(*waiting, strict=True)), blocks)
+                n, held, waiting = n + 1, 0, []
+        if held:
+            yield _listed((part << 32) | n, *(np.concatenate(c) for c in zip(*waiting, strict=True)), blocks)
+
+    return rows.select("doc", "train", "text").mapInArrow(
         cut, "kind string, chunk long, block int, data binary, totals array<long>"
     )
 
 
+def _listed(chunk: int, words: np.ndarray, sizes: np.ndarray, ids: np.ndarray, learned: np.ndarray, blocks: int) -> pa.RecordBatch:
+    unique, place = np.unique(words, return_inverse=True)
+    block = _bucket(mix(unique), blocks)
+    by_block = np.argsort(block, kind="stable")
+    moved = np.empty(len(unique), np.int64)
+    moved[by_block] = np.arange(len(unique))
+    place = moved[place]
+    count = np.bincount(place, np.repeat(learned, sizes), len(unique)).astype(np.int64)
+    all_count = np.bincount(place, minlength=len(unique))
+    totals = [int(sizes.sum()) + len(sizes), int(learned.sum()), int((sizes * learned).sum())]
+    rows = [("stream", chunk, 0, pack(small(place), small(sizes), ids, learned.astype(np.uint8)), totals)]
+    for b, own in _groups(block[by_block]) if len(block) else ():
+        rows.append(("words", chunk, b, pack(steps(unique[by_block[own]]), small(count[own]), small(all_count[own])), None))
+    return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=_CHUNK.names), _CHUNK, preserve_index=False)
+
+
 _CHUNK = pa.schema(
     [("kind", pa.string()), ("chunk", pa.int64()), ("block", pa.int32()), ("data", pa.binary()), ("totals", pa.list_(pa.int64()))]
 )
@@ -203,9 +199,9 @@ def _past(token: np.ndarray, begins: np.ndarray, order: int) -> list[np.ndarray]
     return past[1:]
 
 
-def _sent(stream: bytes, numbers: list[tuple[int, bytes]], ends: int, heavy: np.ndarray, buckets: int, order: int):
-    """Rows of (bucket, data) for the positions of a chunk, and (-1 - block, data) for what concerns its documents."""
-    place, sizes, ids, prints, train = unpack(stream)
+def _sent(chunk: int, stream: bytes, numbers: list[tuple[int, bytes]], ends: int, heavy: np.ndarray, buckets: int, order: int):
+    """Rows of (bucket, data) for the positions of a chunk, and (-1, data) for what concerns its documents."""
+    place, sizes, ids, train = unpack(stream)
     found = [unpack(d) for _, d in sorted(numbers)]
     number = np.concatenate([f[0].astype(np.uint64) for f in found] or [np.zeros(0, np.uint64)])
     count = np.concatenate([f[1].astype(np.int64) for f in found] or [np.zeros(0, np.int64)])
@@ -220,10 +216,8 @@ def _sent(stream: bytes, numbers: list[tuple[int, bytes]], ends: int, heavy: np.
     out = []
     known, base = np.bincount(doc, ones > 0), np.bincount(doc, np.log10(ones + 1.0))
     follow = np.bincount(doc, np.log10(np.maximum(ones, 1)))
-    for b, own in _groups(_doc_block(ids, prints, buckets)):
-        own = own[np.argsort(ids[own], kind="stable")]
-        values = (steps(ids[own]), prints[own], small(sizes[own]), small(known[own]), base[own])
-        out.append((-1 - b, pack(*values, *([follow[own]] if order == 2 else []))))
+    mark = np.array([chunk])
+    out.append((-1, pack(mark, ids, small(sizes), small(known), base, *([follow] if order == 2 else []))))
     keys = mix(token)
     hot = np.flatnonzero(_is_in(heavy, token)[1])
     keys[hot] = mix(keys[hot] ^ past[0][hot].astype(np.uint64))
@@ -232,20 +226,10 @@ def _sent(stream: bytes, numbers: list[tuple[int, bytes]], ends: int, heavy: np.
         tokens, head, n = np.unique(token[own], return_index=True, return_counts=True)
         docs, at = np.unique(doc[own], return_inverse=True)
         values = (steps(tokens), small(n), small(ones[own[head]]), *(small(p[own]) for p in past), small(at))
-        out.append((b, pack(*values, steps(ids[docs]), prints[docs], train[docs])))
+        out.append((b, pack(mark, *values, small(steps(docs)), train[docs])))
     return out
 
 
-def _doc_block(ids: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
-    return _bucket(mix(ids.astype(np.int64).view(np.uint64) ^ mix(prints.astype(np.uint64))), n)
-
-
-def _doc_keys(ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    keys = np.empty(len(ids), [("id", np.int64), ("print", np.uint32)])
-    keys["id"], keys["print"] = ids, prints
-    return keys
-
-
 def _history_block(past: list[np.ndarray], top: np.ndarray, n: int, other: np.ndarray | None = None) -> np.ndarray:
     """The block of a history: that of its last token, or of its last two (else of ``other``) after a frequent one."""
     keys = mix(past[0].astype(np.uint64))
@@ -257,23 +241,23 @@ def _history_block(past: list[np.ndarray], top: np.ndarray, n: int, other: np.nd
 
 def _counted(data: list[bytes], top: np.ndarray, blocks: int, order: int):
     """What one bucket leaves: rows of (kind, block, data, tokens, at, totals)."""
-    tokens, ones, pasts, docs, ids, prints, trains = [], [], [], [], [], [], []
+    tokens, ones, pasts, docs, ids, chunks, trains = [], [], [], [], [], [], []
     base = 0
     for blob in data:
-        t, n, one, *past, place, i, p, train = unpack(blob)
+        chunk, t, n, one, *past, place, i, train = unpack(blob)
         tokens.append(small(np.repeat(np.cumsum(t), n)))
         ones.append(np.repeat(one, n))
         pasts.append(past)
         docs.append(place.astype(np.int64) + base)
         ids.append(np.cumsum(i))
-        prints.append(p)
+        chunks.append(np.repeat(chunk, len(i)))
         trains.append(train)
         base += len(i)
     token, doc = np.concatenate(tokens), np.concatenate(docs)
     past = [np.concatenate([p[j] for p in pasts]) for j in range(order - 1)]
     counts = [np.concatenate(ones)]
     del tokens, ones, docs, pasts, data
-    ids, prints, trains = np.concatenate(ids), np.concatenate(prints), np.concatenate(trains)
+    ids, chunks, trains = np.concatenate(ids), np.concatenate(chunks), np.concatenate(trains)
     learned = trains[doc] == 1
 
     rows: list[tuple] = []
@@ -293,19 +277,17 @@ def _counted(data: list[bytes], top: np.ndarray, blocks: int, order: int):
         rows += _histories(k, token[heads], [p[heads] for p in past[: k - 1]], counts[-1][heads], counts[-2][heads], top, blocks)
     rows.append(("totals", 0, b"", None, list(range(len(totals))), totals))
 
-    # Documents: the counts of each of their positions here, ends first.
+    # Documents: the counts of each of their positions here, ends first. Those of a chunk follow each other.
     by_doc = np.lexsort((token != END, doc))
     each = [c[by_doc] for c in counts]
-    sizes, copies = np.bincount(doc, minlength=base), np.bincount(doc, token == END, base).astype(np.int64)
-    begins = np.cumsum(sizes) - sizes
-    for b, own in _groups(_doc_block(ids, prints, blocks)):
-        own = own[np.argsort(ids[own], kind="stable")]
-        n = sizes[own]
-        at = np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        values = [c[at] for c in each]
-        alone = values[0][values[1] == 0]
-        values = (small(n), small(copies[own]), small(alone), *(small(c) for c in values[1:]))
-        rows.append(("doc", b, pack(steps(ids[own]), prints[own], *values), None, None, None))
+    sizes, ends = np.bincount(doc, minlength=base), np.bincount(doc, token == END, base).astype(np.int64)
+    stops = np.append(0, np.cumsum(sizes))
+    cuts = [*np.flatnonzero(np.diff(chunks, prepend=-1)), base]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        values = [c[stops[low] : stops[high]] for c in each]
+        values = (small(values[0][values[1] == 0]), *(small(c) for c in values[1:]))
+        head = (small(np.diff(ids[low:high], prepend=0)), small(sizes[low:high]), small(ends[low:high]))
+        rows.append(("doc", int(chunks[low]), pack(*head, *values), None, None, None))
     # Misses, with the order at which something was seen.
     missed = np.flatnonzero(counts[-1] == 0)
     if len(missed):
@@ -313,9 +295,9 @@ def _counted(data: list[bytes], top: np.ndarray, blocks: int, order: int):
         for k in range(2, order):
             found[counts[k - 1][missed] > 0] = k
         lost = [p[missed] for p in past]
-        for b, own in _groups(_history_block(lost, top, blocks, ids[doc[missed]].view(np.uint64))):
+        for b, own in _groups(_history_block(lost, top, blocks, doc[missed])):
             docs_, place = np.unique(doc[missed[own]], return_inverse=True)
-            values = (*(small(p[own]) for p in lost), small(found[own]), small(place), steps(ids[docs_]), prints[docs_])
+            values = (*(small(p[own]) for p in lost), small(found[own]), small(place), chunks[docs_], small(ids[docs_]))
             rows.append(("miss", b, pack(*values), None, None, None))
     return rows
 
@@ -528,11 +510,11 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
         (stream,) = own["data"][own["kind"] == "stream"]
         chosen = own[own["kind"] == "number"]
         numbers = list(zip(chosen["block"].tolist(), chosen["data"].tolist(), strict=True))
-        return pd.DataFrame(_sent(stream, numbers, ends, heavy, buckets, order), columns=["bucket", "data"])
+        return pd.DataFrame(_sent(int(key[0]), stream, numbers, ends, heavy, buckets, order), columns=["bucket", "data"])
 
     def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            left = [("part", -1 - int(key[0]), d, None, None, None) for d in own["data"]]
+            left = [("part", int(unpack(d)[0][0]), d, None, None, None) for d in own["data"]]
         else:
             left = _counted(own["data"].tolist(), top, buckets, order)
         return pd.DataFrame(left, columns=["kind", "block", "data", "tokens", "at", "totals"])
@@ -540,8 +522,9 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     pieces = chunks.where("kind = 'stream'").select("kind", "chunk", "block", "data")
     pieces = pieces.unionByName(numbered.where("kind = 'number'").select("kind", "chunk", "block", "data"))
     sent = pieces.groupBy("chunk").applyInPandas(send, "bucket int, data binary")
-    schema = "block int, data binary, tokens binary, at array<long>, totals array<long>"
+    schema = "block long, data binary, tokens binary, at array<long>, totals array<long>"
     sent.groupBy("bucket").applyInPandas(count, f"kind string, {schema}").write.partitionBy("kind").parquet(f"{path}/counted")
+    drop_table(spark, f"{path}/chunks")
     stage = _read(spark, f"{path}/counted", schema)
     found = _totals(stage, "totals")
     totals += [found.get(i, 0) for i in range((order - 1) * (K + 1))]
@@ -554,70 +537,52 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
         known = model.histories(own["data"][own["kind"] == "history"].tolist())
         out = [("weight", k, pack(*w)) for k, w in enumerate(known, 2) if len(w[0])]
         for data in own["data"][own["kind"] == "miss"]:
-            *past, found, place, ids, prints = unpack(data)
-            ids = np.cumsum(ids)
+            *past, found, place, chunks_, ids = unpack(data)
             more = np.bincount(place, model.missing(known, past, found), len(ids))
-            for b, those in _groups(_doc_block(ids, prints, buckets)):
-                out.append(("more", b, pack(steps(ids[those]), prints[those], more[those])))
+            names, at = np.unique(chunks_, return_inverse=True)
+            for c, those in _groups(at):
+                out.append(("more", int(names[c]), pack(ids[those], more[those])))
         return pd.DataFrame(out, columns=["kind", "block", "data"])
 
     both = stage.where("kind IN ('history', 'miss')").select("kind", "block", "data")
-    met = both.groupBy("block").applyInPandas(meet, "kind string, block int, data binary")
+    met = both.groupBy("block").applyInPandas(meet, "kind string, block long, data binary")
     frequent = model.top_count > 0
     first = pack(top[frequent], model.top_count[frequent], model.top_alpha[frequent])
-    met = met.unionByName(spark.createDataFrame([("weight", 2, first)], "kind string, block int, data binary"))
+    met = met.unionByName(spark.createDataFrame([("weight", 2, first)], "kind string, block long, data binary"))
     met.write.partitionBy("kind").parquet(f"{path}/weighted")
     spark.createDataFrame(
         [(order, ends, model.tokens, model.words, float(model.unknown), model.kept.ravel().tolist())], _NUMBERS
     ).write.parquet(f"{path}/numbers")
-    more = _read(spark, f"{path}/weighted", "block int, data binary").where("kind = 'more'")
+    more = _read(spark, f"{path}/weighted", "block long, data binary").where("kind = 'more'")
 
     def finish(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        found = [unpack(d) for d in own["data"][own["kind"] == "doc"]]
-        ids, prints = np.concatenate([np.cumsum(f[0]) for f in found]), np.concatenate([f[1] for f in found])
-        extra = [unpack(d) for d in own["data"][own["kind"] == "more"]]
-        all_ids = np.concatenate([ids, *(np.cumsum(f[0]) for f in extra)])
-        all_prints = np.concatenate([prints, *(f[1] for f in extra)])
-        keys, one, at = np.unique(_doc_keys(all_ids, all_prints), return_index=True, return_inverse=True)
-        m = len(keys)
-        copies, tokens, known = np.zeros(m), np.zeros(m), np.zeros(m)
-        values, base = np.zeros(m), np.zeros(m)
-        past = 0
-        for f in found:
-            sizes, ends_ = f[2].astype(np.int64), f[3].astype(np.int64)
-            here = at[past : past + len(sizes)]
-            past += len(sizes)
-            place = np.repeat(here, sizes)
+        (part,) = own["data"][own["kind"] == "part"]
+        _, ids, tokens, known, base, *follow = unpack(part)
+        m = len(ids)
+        values = -follow[0] if follow else np.zeros(m)
+        for data in own["data"][own["kind"] == "doc"]:
+            docs_, sizes, ends_, *counts_ = unpack(data)
+            sizes = sizes.astype(np.int64)
+            place = np.repeat(np.cumsum(docs_, dtype=np.int64), sizes)
             end = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(ends_, sizes)
-            copies += np.bincount(here, ends_, m)
-            values += np.bincount(place, model.seen([c.astype(np.int64) for c in f[4:]], end), m)
-        for data in own["data"][own["kind"] == "part"]:
-            i, p, sizes, some, log, *follow = unpack(data)
-            here = np.searchsorted(keys, _doc_keys(np.cumsum(i), p))
-            tokens += np.bincount(here, sizes, m)
-            known += np.bincount(here, some, m)
-            base += np.bincount(here, log, m)
-            if follow:
-                values -= np.bincount(here, follow[0], m)
-        if extra:
-            values += np.bincount(at[len(ids) :], np.concatenate([f[2] for f in extra]), m)
-        base -= tokens * np.log10(model.tokens + model.words + 1)
+            values += np.bincount(place, model.seen([c.astype(np.int64) for c in counts_], end), m)
+        for data in own["data"][own["kind"] == "more"]:
+            docs_, more_ = unpack(data)
+            values += np.bincount(docs_, more_, m)
         return pd.DataFrame(
             {
-                "doc": all_ids[one],
-                "copies": copies.astype(np.int64),
-                "n_tokens": (tokens / copies).round().astype(np.int64),
-                "n_known": (known / copies).round().astype(np.int64),
-                "base_score": base / copies,
-                "score": values / copies,
+                "doc": ids,
+                "n_tokens": tokens.astype(np.int64),
+                "n_known": known.astype(np.int64),
+                "base_score": base - tokens * np.log10(model.tokens + model.words + 1.0),
+                "score": values,
             }
         )
 
     parts = stage.where("kind IN ('doc', 'part')").select("kind", "block", "data").unionByName(more.select("kind", "block", "data"))
     done = parts.groupBy("block").applyInPandas(
-        finish, "doc long, copies long, n_tokens long, n_known long, base_score double, score double"
+        finish, "doc long, n_tokens long, n_known long, base_score double, score double"
     )
-    done = done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
     return done.select(
         doc_id.alias("doc_id"),
@@ -678,7 +643,7 @@ def weights(spark: SparkSession, path: str) -> DataFrame:
                 columns = (np.full(len(n), k, np.int32), history.view(np.int64), n, alpha)
                 yield pa.record_batch([pa.array(c) for c in columns], ["order", "history", "log_count", "log_alpha"])
 
-    stored = _read(spark, f"{path}/weighted", "block int, data binary").where("kind = 'weight'").select("block", "data")
+    stored = _read(spark, f"{path}/weighted", "block long, data binary").where("kind = 'weight'").select("block", "data")
     return stored.mapInArrow(rows, "order int, history long, log_count double, log_alpha double")
 
 
@@ -714,7 +679,7 @@ def score_stored(docs: DataFrame, path: str) -> DataFrame:
             chain = [pa.array(h.view(np.int64)) for h in _chain(past)]
             yield pa.record_batch([*(batch.column(i) for i in range(4)), *chain], ["doc", "print", "token", "n1", *hashes])
 
-    rows = _rows(docs).select("doc", "print", "text").distinct().mapInArrow(listed, "doc long, print long, at long, word long")
+    rows = _rows(docs).select("doc", F.xxhash64("text").alias("print"), "text").distinct().mapInArrow(listed, "doc long, print long, at long, word long")
     rows = rows.join(words(spark, path).withColumnRenamed("n", "n1"), "word", "left")
     is_end = F.col("word").isNull()
     token = F.when(is_end, F.lit(END)).otherwise(F.coalesce("token", F.lit(-1))).cast("long")
