@@ -21,7 +21,8 @@ absolute discounting by n1 / (n1 + 2 n2) stands in. The log says which was used.
 How it runs. Texts are read once: a piece of the documents (a chunk) becomes the list of its words and the
 places of its tokens in this list, in a table. The words of all chunks meet by their hash, are counted and
 numbered, frequent ones with small numbers, and each chunk gets the numbers of its words. It sends every position
-with its history, packed into arrays of numbers, to the bucket of its token; positions of a frequent token (there
+with its history, packed into arrays of numbers, to the bucket of its token, one share of the buckets after the
+other; positions of a frequent token (there
 are at most ``HEAVY``) are spread by the token before. The number of buckets follows the number of
 positions, so a bucket is bounded. A bucket holds all of each of its n-grams of every order. It leaves, in a
 table partitioned by kind,
@@ -30,9 +31,9 @@ table partitioned by kind,
 * ``history``: the n-grams of each order with their counts, for the block of their history;
 * ``top``: how many pairs of which count follow a frequent token, a few numbers for the driver;
 * ``miss``: the histories of the positions whose longest n-gram was never seen, for the same blocks;
-* ``part``: what a chunk knows of its documents by itself. Then the chunks are deleted.
+* ``part``: what a chunk knows of its documents by itself.
 
-A block is that of the last token of a history; histories that end in a frequent token are spread by the
+Chunks are deleted once they are counted. A block is that of the last token of a history; histories that end in a frequent token are spread by the
 token before it. Counts of counts of all buckets give the discounts; a block works out c(H) and alpha(H) of
 its histories, order by order, writes them to a table (``weight``) and answers its misses; and all
 that concerns the documents of a chunk is summed up. Positions are never joined one by one with a table.
@@ -59,7 +60,7 @@ from pyspark.sql import functions as F
 
 from tiltframe.llm.packed import pack, small, steps, unpack
 from tiltframe.llm.text import SLICE, mix, slices, word_hashes
-from tiltframe.session import drop_table, new_table_path
+from tiltframe.session import drop_table, new_table_path, short_lived_shuffles
 
 log = logging.getLogger(__name__)
 
@@ -72,6 +73,8 @@ BUCKET_TOKENS = 1_500_000
 CHUNK_TOKENS = 2_000_000
 #: Bytes of text, by which words are spread before they are counted.
 WORD_BYTES = 64 << 20
+#: Rounds in which the buckets are counted, so that no more than their share of the positions is under way.
+ROUNDS = 2
 #: The numbers of the start and of the end; words have larger ones.
 START, END, FIRST = 0, 1, 2
 NO_ID = -(1 << 63)
@@ -199,30 +202,34 @@ def _past(token: np.ndarray, begins: np.ndarray, order: int) -> list[np.ndarray]
     return past[1:]
 
 
-def _sent(chunk: int, stream: bytes, numbers: list[tuple[int, bytes]], ends: int, heavy: np.ndarray, buckets: int, order: int):
-    """Rows of (bucket, data) for the positions of a chunk, and (-1, data) for what concerns its documents."""
+def _sent(chunk: int, stream: bytes, numbers: bytes, ends: int, heavy: np.ndarray, buckets: int, order: int, turn: int):
+    """Rows of (bucket, data) for the positions of a chunk that are due in a round, and in the first one
+    (-1, data) for what concerns its documents."""
     place, sizes, ids, train = unpack(stream)
-    found = [unpack(d) for _, d in sorted(numbers)]
-    number = np.concatenate([f[0].astype(np.uint64) for f in found] or [np.zeros(0, np.uint64)])
-    count = np.concatenate([f[1].astype(np.int64) for f in found] or [np.zeros(0, np.int64)])
+    number, count = unpack(numbers)
     sizes = sizes.astype(np.int64) + 1
     last = np.cumsum(sizes) - 1
     inner = np.ones(int(last[-1]) + 1, bool)
     inner[last] = False
     token, ones = np.full(len(inner), END, np.uint64), np.full(len(inner), ends, np.int64)
-    token[inner], ones[inner] = number[place], count[place]
+    if len(place):
+        token[inner], ones[inner] = number[place], count[place]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     past = _past(small(token), last - sizes + 1, order)
     out = []
-    known, base = np.bincount(doc, ones > 0), np.bincount(doc, np.log10(ones + 1.0))
-    follow = np.bincount(doc, np.log10(np.maximum(ones, 1)))
     mark = np.array([chunk])
-    out.append((-1, pack(mark, ids, small(sizes), small(known), base, *([follow] if order == 2 else []))))
+    if turn == 0:
+        known, base = np.bincount(doc, ones > 0), np.bincount(doc, np.log10(ones + 1.0))
+        follow = [np.bincount(doc, np.log10(np.maximum(ones, 1)))] if order == 2 else []
+        out.append((-1, pack(mark, ids, small(sizes), small(known), base, *follow)))
     keys = mix(token)
     hot = np.flatnonzero(_is_in(heavy, token)[1])
     keys[hot] = mix(keys[hot] ^ past[0][hot].astype(np.uint64))
-    for b, own in _groups(_bucket(keys, buckets)):
-        own = own[np.argsort(token[own], kind="stable")]
+    bucket = _bucket(keys, buckets)
+    due = np.flatnonzero(bucket % ROUNDS == turn)
+    for b, own in _groups(bucket[due]) if len(due) else ():
+        own = due[own]
+        own = own[np.lexsort((past[0][own], token[own]))]
         tokens, head, n = np.unique(token[own], return_index=True, return_counts=True)
         docs, at = np.unique(doc[own], return_inverse=True)
         values = (steps(tokens), small(n), small(ones[own[head]]), *(small(p[own]) for p in past), small(at))
@@ -398,10 +405,12 @@ class Model:
         """What discounting takes from counts r of order k."""
         return (1 - self.kept[k - 1, np.minimum(r, K + 1)]) * r
 
-    def histories(self, data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order from 2: the histories of a block, sorted, log10 c(H) and log10 alpha(H)."""
+    def histories(self, data: list[bytes]):
+        """For each order from 2: the histories of a block, sorted, log10 c(H) and log10 alpha(H); and what
+        is stored of them."""
         found = [unpack(d) for d in data]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        stored: list[tuple[int, bytes]] = []
         for k in range(2, self.order + 1):
             own = [f for f in found if f[0][0] == k]
             if not own:
@@ -421,8 +430,11 @@ class Model:
                 below = np.rint(10.0 ** self.look(out, k - 1, chain[-2][one], past[0][one])[0])
             n = np.bincount(of, grams, m)
             rest = below - np.bincount(of, lower, m) + np.bincount(of, self.lost(k - 1, lower), m)
-            out.append((histories, *self._weights(n, np.bincount(of, self.lost(k, grams), m), rest, below)))
-        return out
+            log_n, alpha = self._weights(n, np.bincount(of, self.lost(k, grams), m), rest, below)
+            out.append((histories, log_n, alpha))
+            if m:
+                stored.append((k, packed_weights([p[one] for p in past], n.astype(np.int64), alpha)))
+        return out, stored
 
     def look(self, known, k: int, history: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 c(H) and log10 alpha(H), 0 where H was never seen."""
@@ -462,6 +474,14 @@ class Model:
         return out
 
 
+def packed_weights(past: list[np.ndarray], n: np.ndarray, alpha: np.ndarray) -> bytes:
+    """Histories by their tokens, their counts, and places in a list of the different weights."""
+    sort = np.lexsort(past[::-1])
+    values, place = np.unique(alpha[sort], return_inverse=True)
+    last = past[0][sort].astype(np.int64)
+    return pack(values, small(place), small(n[sort]), small(np.diff(last, prepend=0)), *(small(p[sort]) for p in past[1:]))
+
+
 def _read_past(found: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
     return [np.concatenate([np.cumsum(f[1], dtype=np.uint64) if not j else f[1 + j] for f in found]) for j in range(k - 1)]
 
@@ -495,7 +515,9 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
 
     schema = "kind string, chunk long, block int, data binary, at array<long>, totals array<long>"
     words_ = chunks.where("kind = 'words'").select("chunk", "block", "data")
-    words_.groupBy("block").applyInPandas(number, schema).write.partitionBy("kind").parquet(f"{path}/words")
+    with short_lived_shuffles(spark):
+        words_.groupBy("block").applyInPandas(number, schema).write.partitionBy("kind").parquet(f"{path}/words")
+    drop_table(spark, f"{path}/chunks/kind=words")
     numbered = _read(spark, f"{path}/words", "chunk long, block int, data binary, at array<long>, totals array<long>")
     first_order = _totals(numbered, "totals")
     totals = [inner + ends] + [first_order.get(i, 0) for i in range(1, K + 3)]
@@ -506,11 +528,30 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     heavy = np.array(sorted([END, *_totals(numbered, "heavy")]), np.uint64)
     top = np.append(np.uint64(START), heavy)
 
-    def send(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+    def code(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         (stream,) = own["data"][own["kind"] == "stream"]
-        chosen = own[own["kind"] == "number"]
-        numbers = list(zip(chosen["block"].tolist(), chosen["data"].tolist(), strict=True))
-        return pd.DataFrame(_sent(int(key[0]), stream, numbers, ends, heavy, buckets, order), columns=["bucket", "data"])
+        chosen = own[own["kind"] == "number"].sort_values("block")
+        found = [unpack(d) for d in chosen["data"]] or [[np.zeros(0, np.uint8)] * 2]
+        number, count = (small(np.concatenate([f[j].astype(np.int64) for f in found])) for j in range(2))
+        return pd.DataFrame({"chunk": [key[0]], "stream": [stream], "numbers": [pack(number, count)]})
+
+    pieces = chunks.where("kind = 'stream'").select("kind", "chunk", "block", "data")
+    pieces = pieces.unionByName(numbered.where("kind = 'number'").select("kind", "chunk", "block", "data"))
+    coded = "chunk long, stream binary, numbers binary"
+    with short_lived_shuffles(spark):
+        pieces.groupBy("chunk").applyInPandas(code, coded).write.parquet(f"{path}/coded")
+    drop_table(spark, f"{path}/chunks")
+    drop_table(spark, f"{path}/words/kind=number")
+
+    def sender(turn: int):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    out = _sent(row["chunk"], row["stream"], row["numbers"], ends, heavy, buckets, order, turn)
+                    own, data = zip(*out, strict=True) if out else ((), ())
+                    yield pa.record_batch([pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+        return send
 
     def count(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
@@ -519,12 +560,13 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
             left = _counted(own["data"].tolist(), top, buckets, order)
         return pd.DataFrame(left, columns=["kind", "block", "data", "tokens", "at", "totals"])
 
-    pieces = chunks.where("kind = 'stream'").select("kind", "chunk", "block", "data")
-    pieces = pieces.unionByName(numbered.where("kind = 'number'").select("kind", "chunk", "block", "data"))
-    sent = pieces.groupBy("chunk").applyInPandas(send, "bucket int, data binary")
     schema = "block long, data binary, tokens binary, at array<long>, totals array<long>"
-    sent.groupBy("bucket").applyInPandas(count, f"kind string, {schema}").write.partitionBy("kind").parquet(f"{path}/counted")
-    drop_table(spark, f"{path}/chunks")
+    for turn in range(ROUNDS):
+        sent = spark.read.schema(coded).parquet(f"{path}/coded").mapInArrow(sender(turn), "bucket int, data binary")
+        counted = sent.groupBy("bucket").applyInPandas(count, f"kind string, {schema}")
+        with short_lived_shuffles(spark):
+            counted.write.mode("append").partitionBy("kind").parquet(f"{path}/counted")
+    drop_table(spark, f"{path}/coded")
     stage = _read(spark, f"{path}/counted", schema)
     found = _totals(stage, "totals")
     totals += [found.get(i, 0) for i in range((order - 1) * (K + 1))]
@@ -534,8 +576,8 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     model = Model(totals, order, ends, top, sums.reshape(len(top), TOP))
 
     def meet(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        known = model.histories(own["data"][own["kind"] == "history"].tolist())
-        out = [("weight", k, pack(*w)) for k, w in enumerate(known, 2) if len(w[0])]
+        known, stored = model.histories(own["data"][own["kind"] == "history"].tolist())
+        out: list[tuple] = [("weight", k, w) for k, w in stored]
         for data in own["data"][own["kind"] == "miss"]:
             *past, found, place, chunks_, ids = unpack(data)
             more = np.bincount(place, model.missing(known, past, found), len(ids))
@@ -547,9 +589,10 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     both = stage.where("kind IN ('history', 'miss')").select("kind", "block", "data")
     met = both.groupBy("block").applyInPandas(meet, "kind string, block long, data binary")
     frequent = model.top_count > 0
-    first = pack(top[frequent], model.top_count[frequent], model.top_alpha[frequent])
+    first = packed_weights([top[frequent]], np.rint(10 ** model.top_count[frequent]).astype(np.int64), model.top_alpha[frequent])
     met = met.unionByName(spark.createDataFrame([("weight", 2, first)], "kind string, block long, data binary"))
-    met.write.partitionBy("kind").parquet(f"{path}/weighted")
+    with short_lived_shuffles(spark):
+        met.write.partitionBy("kind").parquet(f"{path}/weighted")
     spark.createDataFrame(
         [(order, ends, model.tokens, model.words, float(model.unknown), model.kept.ravel().tolist())], _NUMBERS
     ).write.parquet(f"{path}/numbers")
@@ -639,8 +682,9 @@ def weights(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                history, n, alpha = unpack(data)
-                columns = (np.full(len(n), k, np.int32), history.view(np.int64), n, alpha)
+                values, place, n, *past = unpack(data)
+                history = _chain([np.cumsum(past[0], dtype=np.uint64), *past[1:]])[-1]
+                columns = (np.full(len(n), k, np.int32), history.view(np.int64), np.log10(n.astype(float)), values[place])
                 yield pa.record_batch([pa.array(c) for c in columns], ["order", "history", "log_count", "log_alpha"])
 
     stored = _read(spark, f"{path}/weighted", "block long, data binary").where("kind = 'weight'").select("block", "data")
