@@ -70,7 +70,7 @@ K = 5
 ORDER = 3
 HEAVY = 1024
 BUCKET_TOKENS = 1_500_000
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Bytes of text, by which words are spread before they are counted.
 WORD_BYTES = 64 << 20
 #: Rounds in which the buckets are counted, so that no more than their share of the positions is under way.
@@ -214,7 +214,8 @@ def _sent(chunk: int, stream: bytes, numbers: bytes, ends: int, heavy: np.ndarra
     token, ones = np.full(len(inner), END, np.uint64), np.full(len(inner), ends, np.int64)
     if len(place):
         token[inner], ones[inner] = number[place], count[place]
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = small(np.repeat(np.arange(len(sizes)), sizes))
+    ones = small(ones)
     past = _past(small(token), last - sizes + 1, order)
     out = []
     mark = np.array([chunk])
@@ -226,6 +227,7 @@ def _sent(chunk: int, stream: bytes, numbers: bytes, ends: int, heavy: np.ndarra
     hot = np.flatnonzero(_is_in(heavy, token)[1])
     keys[hot] = mix(keys[hot] ^ past[0][hot].astype(np.uint64))
     bucket = _bucket(keys, buckets)
+    del keys
     due = np.flatnonzero(bucket % ROUNDS == turn)
     for b, own in _groups(bucket[due]) if len(due) else ():
         own = due[own]
