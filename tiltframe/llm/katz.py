@@ -22,10 +22,9 @@ How it runs. Texts are read once: a piece of the documents (a chunk) becomes the
 places of its tokens in this list, in a table. The words of all chunks meet by their hash, are counted and
 numbered, frequent ones with small numbers, and each chunk gets the numbers of its words. It sends every position
 with its history, packed into arrays of numbers, to the bucket of its token, one share of the buckets after the
-other; positions of a frequent token (there
-are at most ``HEAVY``) are spread by the token before. The number of buckets follows the number of
-positions, so a bucket is bounded. A bucket holds all of each of its n-grams of every order. It leaves, in a
-table partitioned by kind,
+other (``ROUNDS``); positions of a frequent token (there are at most ``HEAVY``) are spread by the token before.
+The number of buckets follows the number of positions; only a pair of tokens that makes up more than a bucket
+outgrows it. A bucket holds all of each of its n-grams of every order. It leaves, in a table partitioned by kind,
 
 * ``doc``: for each position of each document the counts of its n-grams, and of its token if that is all;
 * ``history``: the n-grams of each order with their counts, for the block of their history;
@@ -33,8 +32,8 @@ table partitioned by kind,
 * ``miss``: the histories of the positions whose longest n-gram was never seen, for the same blocks;
 * ``part``: what a chunk knows of its documents by itself.
 
-Chunks are deleted once they are counted. A block is that of the last token of a history; histories that end in a frequent token are spread by the
-token before it. Counts of counts of all buckets give the discounts; a block works out c(H) and alpha(H) of
+Chunks are deleted once they are counted. A block is that of the
+last token of a history; histories that end in a frequent token are spread by the token before it. Counts of counts of all buckets give the discounts; a block works out c(H) and alpha(H) of
 its histories, order by order, writes them to a table (``weight``) and answers its misses; and all
 that concerns the documents of a chunk is summed up. Positions are never joined one by one with a table.
 
@@ -220,8 +219,8 @@ def _sent(chunk: int, stream: bytes, numbers: bytes, ends: int, heavy: np.ndarra
     out = []
     mark = np.array([chunk])
     if turn == 0:
-        known, base = np.bincount(doc, ones > 0), np.bincount(doc, np.log10(ones + 1.0))
-        follow = [np.bincount(doc, np.log10(np.maximum(ones, 1)))] if order == 2 else []
+        known, base = np.bincount(doc, ones > 0), np.bincount(doc, np.log10(ones.astype(float) + 1))
+        follow = [np.bincount(doc, np.log10(np.maximum(ones, 1.0)))] if order == 2 else []
         out.append((-1, pack(mark, ids, small(sizes), small(known), base, *follow)))
     keys = mix(token)
     hot = np.flatnonzero(_is_in(heavy, token)[1])
