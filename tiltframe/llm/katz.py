@@ -32,10 +32,10 @@ outgrows it. A bucket holds all of each of its n-grams of every order. It leaves
 * ``miss``: the histories of the positions whose longest n-gram was never seen, for the same blocks;
 * ``part``: what a chunk knows of its documents by itself.
 
-Chunks are deleted once they are counted. A block is that of the
-last token of a history; histories that end in a frequent token are spread by the token before it. Counts of counts of all buckets give the discounts; a block works out c(H) and alpha(H) of
-its histories, order by order, writes them to a table (``weight``) and answers its misses; and all
-that concerns the documents of a chunk is summed up. Positions are never joined one by one with a table.
+Chunks are deleted once they are counted. A block is that of the last token of a history; histories that end in
+a frequent token are spread by the token before it. Counts of counts of all buckets give the discounts; a block
+works out c(H) and alpha(H) of its histories, order by order, writes them to a table (``weight``) and answers
+its misses; and all that concerns the documents of a chunk is summed up. Positions are never joined one by one with a table.
 
 Words, ``history`` and ``weight`` are the model. ``words``, ``counts`` and ``weights`` read them as rows, and
 ``score_stored`` scores any other text with them, by joins and the recursion above.
@@ -579,12 +579,16 @@ def score(docs: DataFrame, order: int = ORDER, path: str | None = None) -> DataF
     def meet(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         known, stored = model.histories(own["data"][own["kind"] == "history"].tolist())
         out: list[tuple] = [("weight", k, w) for k, w in stored]
+        answers = []
         for data in own["data"][own["kind"] == "miss"]:
             *past, found, place, chunks_, ids = unpack(data)
-            more = np.bincount(place, model.missing(known, past, found), len(ids))
+            answers.append((chunks_, ids.astype(np.int64), np.bincount(place, model.missing(known, past, found), len(ids))))
+        if answers:
+            chunks_, ids, more = (np.concatenate(c) for c in zip(*answers, strict=True))
             names, at = np.unique(chunks_, return_inverse=True)
             for c, those in _groups(at):
-                out.append(("more", int(names[c]), pack(ids[those], more[those])))
+                docs_, place = np.unique(ids[those], return_inverse=True)
+                out.append(("more", int(names[c]), pack(small(docs_), np.bincount(place, more[those]))))
         return pd.DataFrame(out, columns=["kind", "block", "data"])
 
     both = stage.where("kind IN ('history', 'miss')").select("kind", "block", "data")
