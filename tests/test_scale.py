@@ -86,3 +86,22 @@ def test_correlations_have_one_plan_for_any_number_of_pairs(spark):
     wide = spark.range(50).select(*[(F.col("id") * i % 7).cast("double").alias(f"c{i}") for i in range(64)])
     assert matrix_sums(wide, wide.columns, lambda x: x.T @ x).shape == (64, 64)
     assert matrix_sums(wide.limit(0), wide.columns, lambda x: x.sum(0)).tolist() == [0.0] * 64
+
+
+def test_exploded_events_are_not_shuffled_again(spark, sf):
+    """Events derived from lines lie by admission already: stays come to them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_of(QUERIES["first_day_vitals"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Lines, orders twice, and the partial sums.
+    assert len(re.findall(r"\bExchange ", text)) == 4, text
+
+
+def test_pieces_do_not_grow_with_the_input(spark):
+    """The session asks for 4 shuffle partitions; a task still gets no more than about 12 MB."""
+    rows = spark.range(1000).repartition("id").groupBy("id").count()
+    assert re.search(r"hashpartitioning\(id#\d+L, 1600\)", plan_of(rows))
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "12m"
