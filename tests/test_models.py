@@ -7,7 +7,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from tiltframe.operators.split import split_by_case
-from tiltframe.operators import attribution, folded, metrics, profiling, scaling, training
+from tiltframe.operators import attribution, folded, metrics, networks, profiling, scaling, training
 from tiltframe.operators.folded import LinearLogistic
 from tiltframe.operators.scorers import BatchScorer, ColumnScorer, MLScorer, Trees, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
@@ -327,3 +327,42 @@ def test_trees_equal_the_fitted_models(spark, rows, tmp_path):
         own = MLScorer(model, FEATURES).add_scores(rows, variants)
         for x, y in zip(walked.orderBy("case").collect(), own.orderBy("case").collect(), strict=True):
             assert [x[v] for v in variants] == pytest.approx([y[v] for v in variants])
+
+
+def test_network_gradient_and_loss_follow_the_definition(rows):
+    rng = np.random.default_rng(5)
+    sizes = [2, 4, 3, 2]
+    weights = rng.normal(size=2 * 4 + 4 + 4 * 3 + 3 + 3 * 2 + 2)
+    block = rows.select(*FEATURES, "label").toPandas().to_numpy(float)
+    got = networks.network_part(weights, sizes)(block)
+    assert got[0] == len(block)
+    for i in range(0, len(weights), 5):
+        step = np.zeros(len(weights))
+        step[i] = 1e-5
+        up, down = (networks.network_part(weights + s, sizes)(block)[1] for s in (step, -step))
+        assert got[2 + i] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-5)
+    bad = block.copy()
+    bad[3, 0] = np.nan
+    with pytest.raises(ValueError, match="finite"):
+        networks.network_part(weights, sizes)(bad)
+
+
+def test_network_learns_as_sparks_from_the_same_start(rows):
+    """Same start, same layout of weights, a mean loss no worse, and the same model however rows lie."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    sizes = [2, 6, 4, 2]
+    ours = training.train_mlp(rows, FEATURES, seed=9, hidden=(6, 4), iterations=30)
+    spread = training.train_mlp(rows.repartition(7), FEATURES, seed=9, hidden=(6, 4), iterations=30)
+    spark_one = MultilayerPerceptronClassifier(
+        featuresCol=training.VECTOR, labelCol="label", layers=sizes, seed=9, maxIter=30
+    ).fit(training._assembled(rows, FEATURES))
+    theirs = MLScorer(spark_one, FEATURES)
+    block = rows.orderBy("case").select(*FEATURES, "label").toPandas().to_numpy(float)
+    loss = [networks.network_part(m.model.weights.toArray(), sizes)(block)[1] / len(block) for m in (ours, spread, theirs)]
+    assert loss[0] == pytest.approx(loss[1], rel=1e-3)
+    assert loss[0] < loss[2] * 1.02
+    probs = [score_long(rows, FEATURES, {"m": m}, ["case"]).toPandas().sort_values("case")["prob"].to_numpy() for m in (ours, theirs)]
+    own = np.exp(-networks.network_part(ours.model.weights.toArray(), sizes)(block[:1])[1])
+    assert own == pytest.approx(probs[0][0] if block[0, -1] else 1 - probs[0][0])
+    assert np.abs(probs[0] - probs[1]).mean() < 0.05
