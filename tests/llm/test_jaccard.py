@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tiltframe.llm import jaccard
 from tiltframe.llm.components import components
@@ -93,3 +95,15 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in [*range(31), 100]}, 50: 50, 51: 50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Two hundred texts of 100 KB do not reach a worker in one batch of 20 MB."""
+    texts = spark.range(200).coalesce(1).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    got = jaccard._stored(texts.mapInArrow(sizes, "n long, bytes long"), "batches").toPandas()
+    assert got["n"].sum() == 200 and got["bytes"].max() < 4 << 20

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tiltframe.llm.bitmap import hash_bitmap, may_hold
 from tiltframe.llm.components import components
 from tiltframe.llm.text import mix, shingle_sets, slices, word_hashes
-from tiltframe.session import new_table_path
+from tiltframe.session import new_table_path, text_batches
 
 #: Sets that share a hash from which on it is ordered last.
 FREQUENT = 24
@@ -74,7 +74,8 @@ def _batches(docs: DataFrame):
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with text_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -99,7 +100,8 @@ def _frequent_among(docs: DataFrame, chosen) -> np.ndarray:
 
     k = chosen.keywords["k"]
     counts = _batches(docs).mapInArrow(picked, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return hash_bitmap(counts.where(F.col("n") >= FREQUENT), "hash")
+    with text_batches(docs.sparkSession):
+        return hash_bitmap(counts.where(F.col("n") >= FREQUENT), "hash")
 
 
 def _opening(s: np.ndarray, k: int, percent: int) -> np.ndarray:
