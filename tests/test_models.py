@@ -3,7 +3,9 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tiltframe.operators.split import split_by_case
@@ -56,6 +58,17 @@ def test_trained_models_separate_the_classes(rows):
     assert all(v > 0.9 for v in aucs.values()), aucs
 
 
+def test_forests_keep_the_nodes_of_rows_between_levels(rows):
+    """Without it each level of a forest walks all trees from their roots; the forest is the same."""
+    calibrated = training.train_forest_calibrated(rows, FEATURES, trees=10, depth=4, folds=2)
+    kept = calibrated.members[0][0].model
+    assert kept.getCacheNodeIds()
+    plain = RandomForestClassifier(featuresCol="v", numTrees=10, maxDepth=4, seed=7)
+    part = training._with_folds(rows, "case", 2, 7).where("__fold != 0")
+    part = part.withColumn("v", array_to_vector(F.array("a", "b")))
+    assert kept.toDebugString.split("\n")[1:] == plain.fit(part).toDebugString.split("\n")[1:]
+
+
 def test_oversampling_balances(rows):
     counts = {r["label"]: r["count"] for r in training.oversample(rows).groupBy("label").count().collect()}
     assert abs(counts[0] - counts[1]) < 0.1 * counts[0]
