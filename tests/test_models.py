@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tiltframe.operators.split import split_by_case
 from tiltframe.operators import attribution, folded, metrics, profiling, scaling, training
 from tiltframe.operators.folded import LinearLogistic
-from tiltframe.operators.scorers import BatchScorer, ColumnScorer, MLScorer, Trees, score_long, soft_vote
+from tiltframe.operators.scorers import BatchScorer, ColumnScorer, MLScorer, Trees, bin_number, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
 from tiltframe.sources import delimited, tables
 
@@ -69,6 +69,41 @@ def test_forests_keep_the_nodes_of_rows_between_levels(rows):
     assert kept.toDebugString.split("\n")[1:] == plain.fit(part).toDebugString.split("\n")[1:]
 
 
+def test_boosted_trees_learn_from_counted_cells(spark):
+    """3,000 rows in at most 2 * 2 * 7 * 5 cells give the trees that the rows give."""
+    n = F.col("id")
+    rows = spark.range(3000, numPartitions=3).select(
+        n.alias("case"),
+        (n * 7 % 13 % 7 - 2).cast("double").alias("a"),
+        (n * n % 11 % 5 / 4).alias("b"),
+        (n % 2).cast("double").alias("c"),
+        ((n * 7 % 13 % 7 + n * n % 11 % 5 + n * 31 % 17 % 4) > 6).cast("int").alias("label"),
+    )
+    features = ["a", "b", "c"]
+    edges = training._bin_edges(rows, features)
+    assert edges["a"] == [-1.0, 0.0, 1.0, 2.0, 3.0, 4.0] and edges["c"] == [1.0]
+    cells = training._cells(rows, features, edges)
+    assert cells.count() <= 140 and cells.agg(F.sum("__rows")).first()[0] == 3000
+    fits = {
+        "rows": training.train_boosted_trees(rows, features, rounds=6, depth=3),
+        "cells": training.train_boosted_trees(rows, features, rounds=6, depth=3, cells_from=1),
+    }
+    both = score_long(rows, features, fits, ["case", "label"]).groupBy("case").pivot("model", ["rows", "cells"])
+    both = both.agg(F.first("prob"))
+    assert both.agg(F.max(F.abs(F.col("rows") - F.col("cells")))).first()[0] < 1e-9
+    assert both.agg(F.stddev("rows")).first()[0] > 0.1
+
+
+def test_bins_of_many_values(spark):
+    rows = spark.range(10000).select((F.col("id") / 100).alias("x"), F.lit(None).cast("double").alias("n"))
+    edges = training._bin_edges(rows, ["x"])["x"]
+    assert len(edges) == training.BINS - 1 and edges == sorted(edges)
+    got = rows.select(bin_number(F.col("x"), edges).alias("k"), bin_number(F.col("n"), edges).alias("n"), "x").collect()
+    assert all(r["k"] == sum(e <= r["x"] for e in edges) and r["n"] is None for r in got)
+    counts = [sum(r["k"] == k for r in got) for k in range(training.BINS)]
+    assert min(counts) > 250 and max(counts) < 400
+
+
 def test_oversampling_balances(rows):
     counts = {r["label"]: r["count"] for r in training.oversample(rows).groupBy("label").count().collect()}
     assert abs(counts[0] - counts[1]) < 0.1 * counts[0]
