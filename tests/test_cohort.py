@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tiltframe.codes import COMORBIDITY_CODES
 from tiltframe.operators import comorbidity, measurements, records, visits
 from tiltframe.operators.ventilation import ventilation_episodes
+from tiltframe.plans import extraction
 
 T0 = dt.datetime(2101, 3, 1, 20)
 CHART = (
@@ -213,3 +214,34 @@ def test_note_windows_and_digest(spark):
     assert sorted(r["note_id"] for r in older.collect()) == [1, 3]
     digest = "".join(r["block"] for r in records.note_digest(notes).orderBy("position").collect())
     assert digest == "\n***NEXT NOTE***\n\n".join(["note 3", "note 1", "note 2", "note 0"])
+
+
+def test_cohort_is_the_same_as_by_the_episodes_of_all_stays(spark):
+    """Settings without a stay, of second stays and of second admissions neither add nor drop a stay."""
+    day = lambda n: T0 + dt.timedelta(days=n)
+    stays = [(10 * a + n, s, a, "MICU", day(d + 3 * n), day(d + 3 * n + 2)) for s, a, n, d in (
+        (1, 1, 1, 0), (1, 1, 2, 0), (1, 2, 1, 50), (2, 3, 1, 0), (3, 4, 1, 0), (4, 5, 1, 0))]
+    stays.append((None, 5, 6, "MICU", day(3), day(5)))
+    adm = [(a, s, day(d), day(d + 20), None, "WHITE", "EMERGENCY", "F", 1) for a, s, d in (
+        (1, 1, 0), (2, 1, 50), (3, 2, 0), (4, 3, 0), (5, 4, 0), (6, 5, 0))]
+    chart = []
+    for stay, start in ((11, 4), (12, 7), (21, 54), (31, 4), (41, 0), (None, 4)):
+        chart += [(1, 1, stay, 720, day(start) + dt.timedelta(hours=h), "SIMV", 1.0, None) for h in (0, 1, 30, 31)]
+    base = extraction.BaseTables(
+        icustays=spark.createDataFrame(stays, "icustay_id bigint, subject_id bigint, hadm_id bigint, first_careunit string, intime timestamp_ntz, outtime timestamp_ntz"),
+        admissions=spark.createDataFrame(adm, "hadm_id bigint, subject_id bigint, admittime timestamp_ntz, dischtime timestamp_ntz, deathtime timestamp_ntz, ethnicity string, admission_type string, diagnosis string, has_chartevents_data int"),
+        patients=spark.createDataFrame([(s, "M", dt.date(2060, 1, 1)) for s in range(1, 6)], "subject_id bigint, gender string, dob date"),
+        services=spark.createDataFrame([(s, a, day(d) + dt.timedelta(hours=80), None, "MED") for a, s, d in (
+            (1, 1, 0), (2, 1, 50), (3, 2, 0), (4, 3, 0), (5, 4, 0), (6, 5, 0))], "subject_id bigint, hadm_id bigint, transfertime timestamp_ntz, prev_service string, curr_service string"),
+        chartevents=spark.createDataFrame(chart, CHART),
+        procedures=spark.createDataFrame([(11, day(4) + dt.timedelta(hours=2), 225468), (None, day(4), 225468)], PROC),
+        labevents=None,
+        diagnoses=None,
+    )
+    demo = visits.clean_demographics(visits.stay_demographics(base.icustays, base.admissions, base.patients), 27)
+    whole = visits.cohort_selection(demo, ventilation_episodes(base.chartevents, base.procedures), base.services)
+    found = extraction.cohort(base, 27)
+    assert found.columns == whole.columns
+    rows = sorted(map(str, found.collect()))
+    assert rows == sorted(map(str, whole.collect()))
+    assert [r["icustay_id"] for r in found.orderBy("icustay_id").collect()] == [None, 11, 31, 51]
