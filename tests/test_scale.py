@@ -3,13 +3,15 @@
 import datetime as dt
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tiltframe.operators import measurements
 from tiltframe.operators.ventilation import vent_settings
-from tiltframe.session import tune
+from tiltframe.plans import extraction
+from tiltframe.session import setting, tune
 from workload import fixtures
-from workload.queries import QUERIES
+from workload.queries import QUERIES, _clinical
 
 T0 = dt.datetime(2101, 3, 1)
 
@@ -113,3 +115,56 @@ def test_pieces_do_not_grow_with_the_input(spark, sf):
     assert spark.conf.get(size) == before
     rows = spark.range(1000).repartition("id")
     assert ", 4)" in plan_of(rows)
+
+
+def below(plan, line):
+    """The lines of a plan tree below one of its lines."""
+    depth = lambda text: len(text) - len(text.lstrip(" :+-"))
+    lines = plan.splitlines()
+    found = []
+    for text in lines[lines.index(line) + 1 :]:
+        if depth(text) <= depth(line):
+            break
+        found.append(text)
+    return "\n".join(found)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """As with tables that are too large for it."""
+    tune(spark)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        with setting(spark, "spark.sql.adaptive.autoBroadcastJoinThreshold", "-1"):
+            yield
+
+
+def test_settings_of_other_stays_are_reduced_then_left_out_before_they_are_sorted(spark, sf, no_broadcasts):
+    plan = optimized(extraction.cohort(_clinical(spark, sf)))
+    windows = [line for line in plan.splitlines() if "Window " in line and "__day" in line]
+    assert windows
+    for line in windows:
+        rest = below(plan, line)
+        semi = [line for line in rest.splitlines() if "Join LeftSemi" in line]
+        assert any("Aggregate [icustay_id" in below(rest, line) for line in semi)
+
+
+def test_first_labs_are_computed_once_for_the_hourly_rows(spark, sf):
+    events = spark.range(20).select(
+        F.col("id").alias("subject_id"), F.col("id").alias("hadm_id"), F.col("id").alias("icustay_id"),
+        F.lit(T0).cast("timestamp_ntz").alias("event_time"), F.lit(1).alias("ventilated"),
+        F.lit(T0).cast("timestamp_ntz").alias("mv_start"),
+    )
+    hourly = measurements.hourly_vitals_labs(events, fixtures.labevents(spark, sf), fixtures.chartevents(spark, sf))
+    assert optimized(hourly).count("Join Inner, (l_orderkey") == 1
+
+
+def test_joins_of_small_pieces_do_not_sort(spark, sf, no_broadcasts):
+    """Two sorters a join take a page of memory each, however few their rows."""
+    df = QUERIES["stay_demographics"](spark, sf)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert "ShuffledHashJoin" in final and "SortMergeJoin" not in final
