@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import permutations
 
@@ -9,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tiltframe.operators.split import split_by_case
-from tiltframe.operators import attribution, folded, metrics, profiling, scaling, training
+from tiltframe.operators import attribution, folded, forests, metrics, profiling, scaling, training
 from tiltframe.operators.folded import LinearLogistic
 from tiltframe.operators.scorers import BatchScorer, ColumnScorer, MLScorer, Trees, bin_number, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
@@ -375,3 +376,91 @@ def test_trees_equal_the_fitted_models(spark, rows, tmp_path):
         own = MLScorer(model, FEATURES).add_scores(rows, variants)
         for x, y in zip(walked.orderBy("case").collect(), own.orderBy("case").collect(), strict=True):
             assert [x[v] for v in variants] == pytest.approx([y[v] for v in variants])
+
+
+def _many_features(spark, n=3000, width=10, pieces=3):
+    """Label from a few of ``width`` features with few and with many values."""
+    i = F.col("case")
+    values = [(F.hash(i, F.lit(j)) % (7 if j % 2 else 1000) / 7.0).alias(f"x{j}") for j in range(width)]
+    noise = F.abs(F.hash(i, F.lit("noise"))) % 10 < 2
+    called = ((F.col("x0") > 10) | (F.col("x1") > 0.2)) != noise
+    rows = spark.range(n, numPartitions=pieces).withColumnRenamed("id", "case").select("case", *values)
+    return rows.withColumn("label", called.cast("int")), [f"x{j}" for j in range(width)]
+
+
+def _place_by_steps(trees, tree, cells):
+    """The node of a row, walked split by split."""
+    place = 0
+    for level in range(trees.level):
+        node = (1 << level) - 1 + place
+        place = 2 * place + int(cells[trees.feature[tree, node]] > trees.cut[tree, node])
+    return place
+
+
+@pytest.mark.parametrize("width", [3, 10])
+def test_forests_grown_together_split_at_their_best(spark, width):
+    """Counted again row by row: every node's rows by its draws, and no better split by its features."""
+    rows, features = _many_features(spark, width=width)
+    data = training._with_folds(rows, "case", 3, 7).withColumn("key", F.xxhash64("case"))
+    edges = training._bin_edges(rows, features)
+    fit = lambda df: forests.fit_forests(df, features, "label", "__fold", "key", edges, 3, 4, 7, 7)
+    grown = fit(data)
+    pdf = data.orderBy("case").toPandas()
+    cells = forests.binned(pdf[features].to_numpy().T, [np.array(edges[f]) for f in features])
+    halves = pdf["key"].to_numpy().view(np.uint32)
+    k = math.ceil(math.sqrt(width))
+    for fold, tree in ((0, 0), (2, 3)):
+        trees, values = grown[fold].trees, grown[fold].values[tree]
+        often = forests.draws(halves[::2].copy(), halves[1::2].copy(), 7, tree) * (pdf["__fold"] != fold).to_numpy()
+        assert abs(often.sum() - (pdf["__fold"] != fold).sum()) < 200
+        last = np.array([_place_by_steps(trees, tree, c) for c in cells.T])
+        label, splits = pdf["label"].to_numpy(), 0
+        for level in range(7):
+            chosen = forests._chosen(7, tree, fold, level, width, k)
+            for p in range(1 << level):
+                node, here = (1 << level) - 1 + p, last >> (7 - level) == p
+                if trees.cut[tree, node] == forests.NO_CUT:
+                    continue
+                splits += 1
+                def gini(at):
+                    n, ones = often[at].sum(), often[at & (label == 1)].sum()
+                    return 0.0 if n == 0 else n * 2 * (ones / n) * (1 - ones / n)
+                left = {(f, c): here & (cells[f] <= c) for f in chosen[p] for c in range(len(edges[features[f]]))}
+                cost = {at: gini(m) + gini(here & ~m) for at, m in left.items()}
+                taken = (trees.feature[tree, node], trees.cut[tree, node])
+                assert cost[taken] == pytest.approx(min(cost.values())) and cost[taken] < gini(here)
+        assert splits > 10
+        for place in np.unique(last):
+            in_leaf = (last == place) & (often > 0)
+            if in_leaf.any():
+                assert values[place] == pytest.approx((often * label)[in_leaf].sum() / often[in_leaf].sum())
+        one = forests.BinnedForest(forests.Trees(trees.feature[tree : tree + 1], trees.cut[tree : tree + 1], trees.bins, 7), values[None], grown[fold].edges)
+        assert one(pdf[features]).tolist() == values[last].tolist()
+    if width == 3:
+        again = fit(data.repartition(7))
+        assert all((a.values == b.values).all() and (a.trees.cut == b.trees.cut).all() for a, b in zip(grown, again, strict=True))
+
+
+def test_forests_grown_together_learn_as_sparks(spark):
+    """From many rows on no forest is grown by itself; the probabilities are as good and alike."""
+    rows, features = _many_features(spark)
+    fits = {
+        name: training.train_forest_calibrated(rows, features, trees=20, depth=5, folds=3, together_from=least)
+        for name, least in (("spark", 10**9), ("together", 1))
+    }
+    assert all(isinstance(m[0], BatchScorer) for m in fits["together"].members)
+    scores = score_long(rows, features, fits, ["case", "label"]).cache()
+    aucs = {r["model"]: r["roc_auc"] for r in metrics.roc_auc(scores, ["model"]).collect()}
+    assert aucs["together"] > 0.8 and abs(aucs["together"] - aucs["spark"]) < 0.03
+    both = scores.groupBy("case").pivot("model", ["spark", "together"]).agg(F.first("prob"))
+    assert both.agg(F.corr("spark", "together")).first()[0] > 0.9
+
+
+def test_forests_with_odd_rows_are_left_to_spark(spark, rows):
+    assert training._plain_rows(rows, FEATURES) == 400
+    assert training._plain_rows(rows.withColumn("a", F.when(F.col("case") > 0, F.col("a"))), FEATURES) == 0
+    assert training._plain_rows(rows.withColumn("label", F.col("label") * 2), FEATURES) == 0
+    constant = rows.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(2.0))
+    fitted = training.train_forest_calibrated(constant, FEATURES, trees=3, depth=4, folds=2, together_from=1)
+    probs = score_long(constant, FEATURES, {"m": fitted}, ["case"]).agg(F.min("prob"), F.max("prob")).first()
+    assert probs[0] == probs[1] and 0.1 < probs[0] < 0.5
