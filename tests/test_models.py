@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tiltframe.operators.split import split_by_case
-from tiltframe.operators import attribution, folded, forests, metrics, profiling, scaling, training
+from tiltframe.operators import attribution, folded, forests, metrics, networks, profiling, scaling, training
 from tiltframe.operators.folded import LinearLogistic
 from tiltframe.operators.scorers import BatchScorer, ColumnScorer, MLScorer, Trees, bin_number, score_long, soft_vote
 from tiltframe.plans.panel import weights_from_metrics
@@ -397,13 +397,13 @@ def _place_by_steps(trees, tree, cells):
     return place
 
 
-@pytest.mark.parametrize("width", [3, 10])
-def test_forests_grown_together_split_at_their_best(spark, width):
+@pytest.mark.parametrize(("width", "depth"), [(3, 7), (10, 3)])
+def test_forests_grown_together_split_at_their_best(spark, width, depth):
     """Counted again row by row: every node's rows by its draws, and no better split by its features."""
     rows, features = _many_features(spark, width=width)
     data = training._with_folds(rows, "case", 3, 7).withColumn("key", F.xxhash64("case"))
     edges = training._bin_edges(rows, features)
-    fit = lambda df: forests.fit_forests(df, features, "label", "__fold", "key", edges, 3, 4, 7, 7)
+    fit = lambda df: forests.fit_forests(df, features, "label", "__fold", "key", edges, 3, 4, depth, 7)
     grown = fit(data)
     pdf = data.orderBy("case").toPandas()
     cells = forests.binned(pdf[features].to_numpy().T, [np.array(edges[f]) for f in features])
@@ -415,10 +415,10 @@ def test_forests_grown_together_split_at_their_best(spark, width):
         assert abs(often.sum() - (pdf["__fold"] != fold).sum()) < 200
         last = np.array([_place_by_steps(trees, tree, c) for c in cells.T])
         label, splits = pdf["label"].to_numpy(), 0
-        for level in range(7):
+        for level in range(depth):
             chosen = forests._chosen(7, tree, fold, level, width, k)
             for p in range(1 << level):
-                node, here = (1 << level) - 1 + p, last >> (7 - level) == p
+                node, here = (1 << level) - 1 + p, last >> (depth - level) == p
                 if trees.cut[tree, node] == forests.NO_CUT:
                     continue
                 splits += 1
@@ -429,12 +429,12 @@ def test_forests_grown_together_split_at_their_best(spark, width):
                 cost = {at: gini(m) + gini(here & ~m) for at, m in left.items()}
                 taken = (trees.feature[tree, node], trees.cut[tree, node])
                 assert cost[taken] == pytest.approx(min(cost.values())) and cost[taken] < gini(here)
-        assert splits > 10
+        assert splits > 2
         for place in np.unique(last):
             in_leaf = (last == place) & (often > 0)
             if in_leaf.any():
                 assert values[place] == pytest.approx((often * label)[in_leaf].sum() / often[in_leaf].sum())
-        one = forests.BinnedForest(forests.Trees(trees.feature[tree : tree + 1], trees.cut[tree : tree + 1], trees.bins, 7), values[None], grown[fold].edges)
+        one = forests.BinnedForest(forests.Trees(trees.feature[tree : tree + 1], trees.cut[tree : tree + 1], trees.bins, depth), values[None], grown[fold].edges)
         assert one(pdf[features]).tolist() == values[last].tolist()
     if width == 3:
         again = fit(data.repartition(7))
@@ -445,7 +445,7 @@ def test_forests_grown_together_learn_as_sparks(spark):
     """From many rows on no forest is grown by itself; the probabilities are as good and alike."""
     rows, features = _many_features(spark)
     fits = {
-        name: training.train_forest_calibrated(rows, features, trees=20, depth=5, folds=3, together_from=least)
+        name: training.train_forest_calibrated(rows, features, trees=20, depth=5, folds=2, together_from=least)
         for name, least in (("spark", 10**9), ("together", 1))
     }
     assert all(isinstance(m[0], BatchScorer) for m in fits["together"].members)
@@ -464,3 +464,37 @@ def test_forests_with_odd_rows_are_left_to_spark(spark, rows):
     fitted = training.train_forest_calibrated(constant, FEATURES, trees=3, depth=4, folds=2, together_from=1)
     probs = score_long(constant, FEATURES, {"m": fitted}, ["case"]).agg(F.min("prob"), F.max("prob")).first()
     assert probs[0] == probs[1] and 0.1 < probs[0] < 0.5
+
+
+def test_network_gradient_and_loss_follow_the_definition(rows):
+    rng = np.random.default_rng(5)
+    sizes = [2, 4, 3, 2]
+    weights = rng.normal(size=2 * 4 + 4 + 4 * 3 + 3 + 3 * 2 + 2)
+    block = rows.select(*FEATURES, "label", (1 + F.col("case") % 3)).toPandas().to_numpy(float)
+    got = networks.network_part(weights, sizes)(block)
+    assert got[0] == block[:, -1].sum()
+    (one, a), (two, b), (three, c) = networks._layers(weights, sizes)
+    hidden = 1 / (1 + np.exp(-(1 / (1 + np.exp(-(block[:, :2] @ one.T + a))) @ two.T + b)))
+    shares = np.exp(hidden @ three.T + c)
+    shares /= shares.sum(1, keepdims=True)
+    assert got[1] == pytest.approx(-(block[:, -1] * np.log(shares[np.arange(400), block[:, 2].astype(int)])).sum())
+    for i in range(0, len(weights), 5):
+        step = np.zeros(len(weights))
+        step[i] = 1e-5
+        up, down = (networks.network_part(weights + s, sizes)(block)[1] for s in (step, -step))
+        assert got[2 + i] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-5)
+
+
+def test_networks_over_blocks_learn_as_sparks_from_the_same_start(rows):
+    """From many rows on no row is copied: same start, a loss no worse, and the same model however rows lie."""
+    fit = lambda df, least: training.train_mlp(
+        df, FEATURES, seed=9, hidden=(6, 4), balanced=True, iterations=12, blocks_from=least
+    )
+    ours, spread, theirs = fit(rows, 1), fit(rows.repartition(7), 1), fit(rows, 10**9)
+    copies = rows.select(*FEATURES, "label", training._copies(rows, "case", 9)).toPandas().to_numpy(float)
+    assert copies[:, -1].sum() == training.oversample(rows, "case", 9).count()
+    weights = [m.model.weights.toArray() for m in (ours, spread, theirs)]
+    loss = [networks.network_part(w, [2, 6, 4, 2])(copies)[1] / copies[:, -1].sum() for w in weights]
+    assert loss[0] == pytest.approx(loss[1], rel=1e-3) and loss[0] < loss[2] * 1.02
+    probs = [score_long(rows, FEATURES, {"m": m}, ["case"]).toPandas().sort_values("case")["prob"].to_numpy() for m in (ours, theirs)]
+    assert np.abs(probs[0] - probs[1]).mean() < 0.05
