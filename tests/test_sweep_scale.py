@@ -1,7 +1,9 @@
 """The sweep and the panel's operators at scale: compiled cells, cheap rounding, small files."""
 
+import gzip
 import math
 import os
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -68,6 +70,24 @@ def test_sweep_files_are_compressed_and_not_sorted(spark, tmp_path):
     assert spark.conf.get(key) == before
 
 
+def test_sweep_files_are_packed_at_the_quickest_level(spark, tmp_path):
+    n = F.col("id")
+    rows = spark.range(4000, numPartitions=1).select(
+        n.alias("case"), F.lit(0).alias("timepoint"), F.sin(n).alias("a"), F.cos(n).alias("b"), (n % 2).cast("double").alias("c")
+    )
+    sweep = fx.perturbation_sweep(rows, PLAN, MODELS, [None, 0.5])
+    write_sweep_csv(sweep, str(tmp_path / "out"))
+    files = [os.path.join(at, f) for at, _, names in os.walk(tmp_path / "out") for f in names if f.endswith(".csv.gz")]
+    lines = 0
+    for path in files:
+        packed = open(path, "rb").read()
+        text = gzip.decompress(packed)
+        lines += text.count(b"\n") - 1
+        quick, usual = (len(zlib.compress(text, level)) for level in (1, 6))
+        assert abs(len(packed) - quick) < abs(len(packed) - usual)
+    assert lines == sweep.count()
+
+
 def test_rounding_is_that_of_spark(spark):
     values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -0.5e-6, 0.1234565, 1.0000005, -1.2345675, 1e-9, -1e-9, 123456.7890125]
     values += [1e17 / 3, 1e300, math.inf, -math.inf, math.nan, None, *(math.sin(i) * 10 ** (i % 9) for i in range(500))]
