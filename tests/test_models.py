@@ -488,7 +488,7 @@ def test_network_gradient_and_loss_follow_the_definition(rows):
 def test_networks_over_blocks_learn_as_sparks_from_the_same_start(rows):
     """From many rows on no row is copied: same start, a loss no worse, and the same model however rows lie."""
     fit = lambda df, least: training.train_mlp(
-        df, FEATURES, seed=9, hidden=(6, 4), balanced=True, iterations=12, blocks_from=least
+        df, FEATURES, seed=9, hidden=(6, 4), balanced=True, iterations=30, blocks_from=least
     )
     ours, spread, theirs = fit(rows, 1), fit(rows.repartition(7), 1), fit(rows, 10**9)
     copies = rows.select(*FEATURES, "label", training._copies(rows, "case", 9)).toPandas().to_numpy(float)
